@@ -41,16 +41,21 @@ def common_times(left: DataFrame, right: DataFrame, by: Sequence[str] = SERIES)
     return left.select(*keys).distinct().join(right.select(*keys).distinct(), keys)
 
 
-def limits_or_sigma(df: DataFrame, limits: DataFrame, sigma: float = 2.5, by: Sequence[str] = SERIES) -> DataFrame:
-    """Per series the configured limits, else mean ± sigma · std; rows get lower / upper."""
+def series_limits(df: DataFrame, limits: DataFrame, sigma: float = 2.5, by: Sequence[str] = SERIES) -> DataFrame:
+    """Per series n, mean, std and the configured limits, else mean ± sigma · std."""
     stats = series_stats(df, by).join(limits, [c for c in by if c in limits.columns], "left")
-    bounds = stats.select(
+    reach = sigma * F.coalesce("std", F.lit(0.0))
+    return stats.select(
         *by, "n", "mean", "std",
-        F.coalesce("lower_limit", F.col("mean") - sigma * F.coalesce("std", F.lit(0.0))).alias("lower"),
-        F.coalesce("upper_limit", F.col("mean") + sigma * F.coalesce("std", F.lit(0.0))).alias("upper"),
+        F.coalesce("lower_limit", F.col("mean") - reach).alias("lower"),
+        F.coalesce("upper_limit", F.col("mean") + reach).alias("upper"),
         F.col("upper_limit").isNotNull().alias("configured"),
     )
-    return df.join(bounds, list(by))
+
+
+def limits_or_sigma(df: DataFrame, limits: DataFrame, sigma: float = 2.5, by: Sequence[str] = SERIES) -> DataFrame:
+    """Rows beside the limits of their series."""
+    return df.join(series_limits(df, limits, sigma, by), list(by))
 
 
 def nearest_speed(df: DataFrame, speed: DataFrame, minutes: float = 10) -> DataFrame:

@@ -279,3 +279,59 @@ def run_lengths(df: DataFrame, flag: Column, *, keys: Sequence[str] = SERIES, or
         .groupBy(*keys, "run_id")
         .agg(F.min("time").alias("run_start"), F.max("time").alias("run_end"), F.count("*").alias("run_length"))
     )
+
+
+def run_summary(
+    df: DataFrame,
+    flag: Column,
+    *,
+    sums: dict[str, Column] | None = None,
+    latest: dict[str, Column] | None = None,
+    keys: Sequence[str] = SERIES,
+) -> DataFrame:
+    """One row per series: ``rows``, ``longest_run`` of the flag, sums, newest values.
+
+    Runs are counted inside each piece (no running total over the series is needed) and
+    chained over the pieces: a piece is summed up by its rows, its longest run and the
+    runs touching its two ends.
+    """
+    sums, latest = sums or {}, latest or {}
+    on = F.coalesce(flag, F.lit(False))
+    window = Window.partitionBy(*keys, PIECE).orderBy(MICROS).rowsBetween(Window.unboundedPreceding, 0)
+    marked = lay_out(df, keys).withColumns({"_on": on, "_off": F.sum(F.when(on, 0).otherwise(1)).over(window)})
+    runs = marked.groupBy(*keys, PIECE, F.when(F.col("_on"), F.col("_off")).alias("_run")).agg(
+        F.count("*").alias("_c"), F.max("_off").alias("_offs"),
+        *[F.sum(c).alias(n) for n, c in sums.items()],
+        F.max(F.struct(F.col(MICROS), *[c.alias(n) for n, c in latest.items()])).alias("_latest"),
+    )
+    pieces = runs.groupBy(*keys, PIECE).agg(
+        F.sum("_c").alias("_rows"), F.max("_offs").alias("_offs"),
+        F.max(F.when(F.col("_run").isNotNull(), F.col("_c"))).alias("_best"),
+        F.max(F.when(F.col("_run") == 0, F.col("_c"))).alias("_head"),
+        F.max(F.when(F.col("_run").isNotNull(), F.struct("_run", "_c"))).alias("_last"),
+        *[F.sum(n).alias(n) for n in sums],
+        F.max("_latest").alias("_latest"),
+    )
+    tail = F.when(F.col("_last._run") == F.col("_offs"), F.col("_last._c"))
+    zero = F.lit(0).cast("long")
+    link = F.struct(
+        PIECE, F.col("_rows").alias("rows"), F.coalesce("_best", zero).alias("best"), F.coalesce("_head", zero).alias("head"), F.coalesce(tail, zero).alias("tail")
+    )
+    chained = pieces.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(link)).alias("_links"), F.sum("_rows").alias("rows"),
+        *[F.sum(n).alias(n) for n in sums],
+        F.max("_latest").alias("_latest"),
+    )
+
+    def join(state: Column, piece: Column) -> Column:
+        whole = piece["head"] == piece["rows"]
+        open_run = state["open"] + piece["head"]
+        return F.struct(
+            F.when(whole, open_run).otherwise(piece["tail"]).alias("open"),
+            F.greatest(state["best"], piece["best"], open_run).alias("best"),
+        )
+
+    start = F.struct(zero.alias("open"), zero.alias("best"))
+    return chained.select(
+        *keys, "rows", F.aggregate("_links", start, join)["best"].alias("longest_run"), *sums, *[F.col(f"_latest.{n}").alias(n) for n in latest]
+    )

@@ -97,10 +97,11 @@ def fetch_hours(spark, sf):
 
 
 @query("X8_day_numbers", "event_id:l time:t back:d", """
-    SELECT event_id, ts AS time, epoch_us(ts) / 8.64e10 + 25569 AS back FROM events""")
+    SELECT event_id, make_timestamp(CAST(round((epoch_us(ts) / 86400e6 + 25569 - 25569) * 86400e6) AS BIGINT)) AS time,
+           epoch_us(ts) / 86400e6 + 25569 AS back FROM events""")
 def day_numbers(spark, sf):
     serial = times.to_day_number(F.col("ts").cast("timestamp"))
-    raw = table(spark, sf, "events").select("event_id", serial.cast("decimal(20,12)").cast("string").alias("time"), serial.alias("back"))
+    raw = table(spark, sf, "events").select("event_id", serial.cast("string").alias("time"), serial.alias("back"))
     return readers.resolve_times(raw).withColumn("time", F.timestamp_micros(F.unix_micros("time")))
 
 

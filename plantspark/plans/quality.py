@@ -44,7 +44,7 @@ def freshness_with_metadata(spark, sf):
 
 
 WANTED = f"""{FRESH}, wanted AS (SELECT plant, unit, tag FROM ages UNION ALL SELECT plant, unit, tag || '-new' FROM ages WHERE tag = 'AF'),
-    decided AS (SELECT w.plant, w.unit, w.tag, last_time, age_hours, age_hours IS NULL OR age_hours > 48 AS fetch FROM wanted w LEFT JOIN ages a USING (plant, unit, tag))"""
+    decided AS (SELECT w.plant, w.unit, w.tag, last_time, age_hours, age_hours IS NULL OR age_hours > 48 AS "fetch" FROM wanted w LEFT JOIN ages a USING (plant, unit, tag))"""
 
 
 def wanted_tags(spark, sf):
@@ -58,7 +58,7 @@ def fetch_decisions(spark, sf):
 
 
 @query("H5_scan_plan", "plant unit tags:l to_fetch:l cached:l cached_rate:d", """
-    SELECT plant, unit, count(*) AS tags, count(*) FILTER (fetch) AS to_fetch, count(*) FILTER (NOT fetch) AS cached, count(*) FILTER (NOT fetch) * 1.0 / count(*) AS cached_rate
+    SELECT plant, unit, count(*) AS tags, count(*) FILTER (WHERE "fetch") AS to_fetch, count(*) FILTER (WHERE NOT "fetch") AS cached, count(*) FILTER (WHERE NOT "fetch") * 1.0 / count(*) AS cached_rate
     FROM decided GROUP BY plant, unit""", WANTED)
 def scan_plan(spark, sf):
     return health.scan_plan(wanted_tags(spark, sf), shipments(spark, sf), 48)
