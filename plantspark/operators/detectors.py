@@ -487,7 +487,7 @@ def breakouts(
 
     ``windows_by_unit``: speed_low / speed_high per unit; without it every time counts.
     """
-    grid = sequence.strip(on_grid(df, minutes, by, span))
+    grid = on_grid(df, minutes, by, span)
     series = grid.where(F.col("tag") != speed_tag)
     enough = max(3, rows // 2)
 

@@ -39,29 +39,47 @@ def _expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(big, 2.0 * (np.log(m - 1.0) + EULER) - 2.0 * (m - 1.0) / m, out)
 
 
-def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int, float]]:
-    """One tree as nodes (feature, threshold, left, right, path length); feature -1 is a leaf."""
-    limit = int(np.ceil(np.log2(max(2, len(rows)))))
-    nodes: list = [None]
-    todo = [(0, rows, 0)]
-    while todo:
-        at, part, depth = todo.pop()
-        low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= limit or len(part) <= 1 or len(usable) == 0:
-            nodes[at] = (-1, 0.0, 0, 0, depth + float(_expected_path(len(part))))
-            continue
-        feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = part[:, feature] < threshold
-        left = len(nodes)
-        nodes += [None, None]
-        nodes[at] = (feature, threshold, left, left + 1, 0.0)
-        todo += [(left, part[goes_left], depth + 1), (left + 1, part[~goes_left], depth + 1)]
-    return nodes
-
-
-MODEL = "n_fit long, roots array<int>, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
+def _grow(samples: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """All trees at once, level by level. ``samples``: trees x rows x features.
+
+    Nodes are numbered over all trees, roots first; feature -1 marks a leaf, whose
+    ``depth`` is the path length it stands for.
+    """
+    trees, size, width = samples.shape
+    rows, node = samples.reshape(-1, width), np.repeat(np.arange(trees), size)
+    parts: list[dict[str, np.ndarray]] = []
+    limit, level, ids, following = int(np.ceil(np.log2(max(2, size)))), 0, np.arange(trees), trees
+    while len(ids):
+        order = np.argsort(node, kind="stable")
+        rows, node = rows[order], node[order]
+        starts = np.searchsorted(node, ids)
+        counts = np.diff(np.append(starts, len(node)))
+        low, high = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
+        usable = high > low
+        splits = (counts > 1) & usable.any(axis=1) & (level < limit)
+        feature = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        at = np.arange(len(ids))
+        # Above the lowest and up to the highest value, so neither side is empty.
+        threshold = high[at, feature] - rng.random(len(ids)) * (high[at, feature] - low[at, feature])
+        left = np.where(splits, following + 2 * (np.cumsum(splits) - 1), 0)
+        parts.append(
+            {
+                "feature": np.where(splits, feature, -1), "threshold": np.where(splits, threshold, 0.0), "left": left,
+                "right": np.where(splits, left + 1, 0), "depth": np.where(splits, 0.0, level + _expected_path(counts)),
+            }
+        )
+        place = np.searchsorted(ids, node)
+        kept = splits[place]
+        rows, place = rows[kept], place[kept]
+        goes_right = rows[np.arange(len(rows)), feature[place]] >= threshold[place]
+        node = left[place] + goes_right
+        ids = np.arange(following, following + 2 * int(splits.sum()))
+        following += len(ids)
+        level += 1
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
+MODEL = "n_fit long, trees int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
 
 def _builder(keys: list[str], features: list[str], trees: int, seed: int):
@@ -69,17 +87,9 @@ def _builder(keys: list[str], features: list[str], trees: int, seed: int):
         data = pool.sort_values("_order")[features].to_numpy(dtype=float)
         rng = np.random.default_rng(seed)
         size = min(SAMPLE, len(data))
-        roots, flat = [], []
-        for _ in range(trees):
-            grown = _grow(data[rng.choice(len(data), size, replace=False)], rng)
-            base = len(flat)
-            roots.append(base)
-            flat += [(f, t, left + base, right + base, d) for f, t, left, right, d in grown]
-        f, t, left, right, d = zip(*flat)
-        row = {k: [pool[k].iloc[0]] for k in keys}
-        return pd.DataFrame(
-            row | {"n_fit": [size], "roots": [roots], "feature": [list(f)], "threshold": [list(t)], "left": [list(left)], "right": [list(right)], "depth": [list(d)]}
-        )
+        samples = np.stack([data[rng.choice(len(data), size, replace=False)] for _ in range(trees)])
+        row = {k: [pool[k].iloc[0]] for k in keys} | {"n_fit": [size], "trees": [trees]}
+        return pd.DataFrame(row | {name: [nodes] for name, nodes in _grow(samples, rng).items()})
 
     return build
 
@@ -89,7 +99,7 @@ def _scores(data: np.ndarray, model: pd.Series) -> np.ndarray:
     left, right, depth = np.asarray(model.left), np.asarray(model.right), np.asarray(model.depth)
     total = np.zeros(len(data))
     lines = np.arange(len(data))
-    for root in model.roots:
+    for root in range(model.trees):
         at = np.full(len(data), root)
         while True:
             f = feature[at]
@@ -100,7 +110,7 @@ def _scores(data: np.ndarray, model: pd.Series) -> np.ndarray:
             at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
         total += depth[at]
     norm = max(float(_expected_path(model.n_fit)), 1e-12)
-    return np.round(np.power(2.0, -(total / len(model.roots)) / norm), SCORE_DIGITS)
+    return np.round(np.power(2.0, -(total / model.trees) / norm), SCORE_DIGITS)
 
 
 def forest_scores(
@@ -121,16 +131,16 @@ def forest_scores(
     """
     keys, features = list(keys), list(features)
     ready = df.withColumn("_fit", F.coalesce(fit, F.lit(False)) if fit is not None else F.lit(True))
-    sizes = ready.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_fit").alias("_m")).where(F.col("_m") >= min_rows)
+    sizes = ready.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count_if("_fit").alias("_fits")).where(F.col("_fits") >= min_rows)
     sized = ready.join(sizes, keys)
     order = F.xxhash64(F.lit(seed), *keys, *identity)
-    chosen = F.pmod(order, F.lit(1_000_000_007)) < F.lit(POOL * 1_000_000_007.0) / F.col("_m")
+    chosen = F.pmod(order, F.lit(1_000_000_007)) < F.lit(POOL * 1_000_000_007.0) / F.col("_fits")
     pool = sized.where(F.col("_fit") & chosen).select(*keys, *[F.col(f).cast("double").alias(f) for f in features], order.alias("_order"))
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, trees, seed), f"{key_ddl}, {MODEL}")
 
-    shares = F.ceil(F.col("_n") / ROWS_PER_SHARE).cast("int")
-    salted = sized.withColumn("_share", F.pmod(order, shares).cast("int")).drop("_fit", "_m", "_n")
+    shares = F.ceil(F.col("_rows") / ROWS_PER_SHARE).cast("int")
+    salted = sized.withColumn("_share", F.pmod(order, shares).cast("int")).drop("_fit", "_fits", "_rows")
     spread = models.join(sizes.select(*keys, shares.alias("_shares")), keys).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
 

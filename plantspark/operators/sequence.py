@@ -4,7 +4,8 @@ A window over (plant, unit, tag) puts a tag in one task, and one tag may hold a
 of all readings. The helpers here cut such a hot series into time pieces of bounded
 size and make the ordered operators exact across the cuts:
 
-* ``lay_out``      adds the piece number; series below ``target_rows`` stay whole;
+* ``lay_out``      adds the piece number; series below ``target_rows`` stay whole, and
+                   when all do (one small counting job tells) the plan is plain windows;
 * ``row_frame``    lag and rows-between frames, with the few edge rows of the
                    neighbouring pieces repeated at the cut;
 * ``running``      running sums, with the totals of earlier pieces added;
@@ -62,20 +63,41 @@ def piece_of(at: Column) -> Column:
     return F.coalesce(F.size(F.filter(CUTS, lambda c: c <= at)), F.lit(0))
 
 
+def has_hot_series(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | None = None) -> bool:
+    """Does any series exceed the rows one task should order? A small job, run while planning.
+
+    Like the sampling job of a range partitioning it decides the shape of the plan: the
+    row count comes first (no shuffle), counts per series only when that is not enough.
+    """
+    target_rows = target_rows or TARGET_ROWS
+    if df.count() <= target_rows:
+        return False
+    return not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target_rows).isEmpty()
+
+
 def lay_out(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | None = None) -> DataFrame:
     """Add piece number, number of pieces, cuts and microseconds to every reading."""
     if PIECE in df.columns:
         return df
-    # Filters rule null keys out of joins; readings without a key are not a series.
+    stamped = df.withColumn(MICROS, F.unix_micros("time"))
+    if not has_hot_series(df, keys, target_rows):
+        whole = {"whole": True}
+        return stamped.select(
+            "*", F.lit(0).alias(PIECE), F.lit(1).alias(PIECES, metadata=whole), F.lit(None).cast("array<bigint>").alias(CUTS)
+        )
     cuts = cut_table(df, keys, target_rows)
     return (
-        df.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn(MICROS, F.unix_micros("time"))
+        stamped.join(F.broadcast(cuts), list(keys), "left")
         .withColumn(PIECE, F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(piece_of(F.col(MICROS))))
         .withColumn(PIECES, F.coalesce(F.size(CUTS), F.lit(0)) + 1)
     )
 
 
+def is_whole(laid: DataFrame) -> bool:
+    """True when no series of the frame is cut, so no edge has to be looked after."""
+    return bool(laid.schema[PIECES].metadata.get("whole"))
+
+
 def strip(df: DataFrame) -> DataFrame:
     return df.drop(*LAYOUT_COLUMNS)
 
@@ -121,6 +143,8 @@ def row_frame(
 ) -> DataFrame:
     """Evaluate window expressions that look at most ``before`` / ``after`` rows away."""
     laid = lay_out(df, keys, target_rows)
+    if is_whole(laid):
+        return laid.withColumns(outputs(piece_window(keys, order)))
     rows = laid.withColumn("_edge_row", F.lit(False))
     for count, following in ((before, False), (after, True)):
         if count:
@@ -147,8 +171,10 @@ def running(
     """Running sums in series order (``F.lit(1)`` gives the row position)."""
     laid = lay_out(df, keys, target_rows)
     window = piece_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = F.broadcast(_earlier_totals(laid, sums, keys))
     local = laid.withColumns({n: F.sum(c).over(window) for n, c in sums.items()})
+    if is_whole(laid):
+        return local
+    offsets = F.broadcast(_earlier_totals(laid, sums, keys))
     joined = local.join(offsets, [*keys, PIECE], "left")
     return joined.withColumns(
         {n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums}
@@ -171,6 +197,9 @@ def carry(
     # A reversed order turns "next known" into "last known": frames that run to the
     # end of the partition are quadratic in Spark, frames from its start are linear.
     window = piece_window(keys, order, reverse=backward).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    local = laid.withColumn(output, F.last(column, ignorenulls=True).over(window))
+    if is_whole(laid):
+        return local
     pick = F.min_by if backward else F.max_by
     known = (
         laid.where((F.col(PIECES) > 1) & F.col(column).isNotNull())
@@ -184,7 +213,6 @@ def carry(
         .withColumn("_carried", F.last("_known", ignorenulls=True).over(side.rowsBetween(Window.unboundedPreceding, -1)))
         .drop("_known")
     )
-    local = laid.withColumn(output, F.last(column, ignorenulls=True).over(window))
     joined = local.join(F.broadcast(earlier), [*keys, PIECE], "left")
     return joined.withColumn(output, F.coalesce(output, "_carried")).drop("_carried")
 
@@ -204,9 +232,11 @@ def trailing(
     centred first so that the difference keeps its precision.
     """
     laid = lay_out(df, keys, target_rows)
-    whole = _trailing_whole(laid.where(F.col(PIECES) == 1), width_micros, value, keys)
-    cut = _trailing_cut(laid.where(F.col(PIECES) > 1), width_micros, value, keys)
-    sums = whole.unionByName(cut)
+    if is_whole(laid):
+        sums = _trailing_whole(laid, width_micros, value, keys)
+    else:
+        whole = _trailing_whole(laid.where(F.col(PIECES) == 1), width_micros, value, keys)
+        sums = whole.unionByName(_trailing_cut(laid.where(F.col(PIECES) > 1), width_micros, value, keys))
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
     variance = F.when(n > 1, F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1)))
     return sums.withColumns(

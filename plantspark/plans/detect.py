@@ -350,7 +350,7 @@ def one_per_minute(spark, sf):
       (SELECT *, row_number() OVER (PARTITION BY plant, unit ORDER BY total_anomalies DESC, tag) AS rank FROM (SELECT plant, unit, tag, count(*) AS total_anomalies FROM zs WHERE abs(z) > 2.5 GROUP BY plant, unit, tag))
     JOIN (SELECT plant, unit, tag, count(*) AS i, count(*) FILTER (severity = 'HIGH') AS h, max(time) AS l FROM inc GROUP BY plant, unit, tag) USING (plant, unit, tag)
     LEFT JOIN (VALUES ('U-0', 'Compressor A'), ('U-1', 'Compressor B')) e(unit, name) USING (unit) WHERE rank <= 3""",
-    INCIDENTS.replace(READINGS, f"{INSTRUMENTS}, source AS (SELECT * FROM instruments)").replace("FROM readings", "FROM source"))
+    f"{INSTRUMENTS}{INCIDENTS.removeprefix(READINGS).replace('readings', 'instruments')}")
 def incident_report(spark, sf):
     df = instruments(spark, sf)
     equipment = spark.createDataFrame(
