@@ -13,7 +13,7 @@ are not reproduced.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -139,19 +139,34 @@ def forest_scores(
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, trees, seed), f"{key_ddl}, {MODEL}")
 
-    shares = F.ceil(F.col("_rows") / ROWS_PER_SHARE).cast("int")
-    salted = sized.withColumn("_share", F.pmod(order, shares).cast("int")).drop("_fit", "_fits", "_rows")
-    spread = models.join(sizes.select(*keys, shares.alias("_shares")), keys).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    scored = sized.drop("_fit", "_fits")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    return apply_model(
+        scored, models, keys, order, lambda rows, model: rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model)), schema
+    )
+
+
+def apply_model(
+    rows: DataFrame, models: DataFrame, keys: Sequence[str], spread: Column, fn: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: T.StructType
+) -> DataFrame:
+    """Run ``fn(rows, model)`` with each group's small model beside its rows.
+
+    ``rows`` carry their group's size as ``_rows``: a group is dealt out by the hash
+    ``spread`` into shares of bounded size and only the model is repeated per share.
+    """
+    shares = F.greatest(F.lit(1), F.ceil(F.col("_rows") / ROWS_PER_SHARE)).cast("int")
+    dealt = rows.withColumn("_share", F.pmod(spread, shares).cast("int"))
+    counts = rows.groupBy(*keys).agg(F.max("_rows").alias("_rows"))
+    copies = models.join(counts, list(keys)).withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_rows")
+    names = [f.name for f in schema.fields]
 
-    def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_share")
-        if model.empty or rows.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        return rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model.iloc[0]))
+    def run(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if model.empty or part.empty:
+            return pd.DataFrame(columns=names)
+        return fn(part.drop(columns=["_share", "_rows"]), model.iloc[0])[names]
 
     grouping = [*keys, "_share"]
-    return salted.groupBy(*grouping).cogroup(spread.groupBy(*grouping)).applyInPandas(score, schema)
+    return dealt.groupBy(*grouping).cogroup(copies.groupBy(*grouping)).applyInPandas(run, schema)
 
 
 def cut_by_share(scored: DataFrame, share: Column | float, *, keys: Sequence[str] = SERIES, among: Column | None = None) -> DataFrame:
