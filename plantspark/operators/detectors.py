@@ -12,6 +12,7 @@ from plantspark.operators import dedup, forest, joins, sequence, speed, windows
 from plantspark.operators.quantiles import grouped_quantiles
 from plantspark.schema import SERIES, UNIT, hours, hours_between, ratio, valid
 from plantspark.schema import as_of as as_of_column
+from plantspark.session import cut_lineage
 
 IDENTITY = (*SERIES, "time")
 
@@ -271,7 +272,7 @@ def forest_verified(tau: DataFrame, df: DataFrame, trees: int = 100) -> DataFram
     wanted = tau.groupBy(*SERIES).agg(F.count("*").alias("_v"), F.max("n").alias("_n"))
     small = F.col("_n") < 10
     scored = forest.forest_scores(with_features(df).join(wanted.where(~small).select(*SERIES, "_v", "_n"), list(SERIES)), FEATURES, trees=trees)
-    flagged = forest.cut_by_share(scored, F.least(F.lit(0.1), F.col("_v") / F.col("_n"))).where("is_outlier")
+    flagged = forest.cut_by_share(cut_lineage(scored), F.least(F.lit(0.1), F.col("_v") / F.col("_n"))).where("is_outlier")
     kept = tau.join(flagged.select(*IDENTITY, F.col("score").alias("forest_score")), list(IDENTITY))
     untested = tau.join(wanted.where(small).select(*SERIES), list(SERIES), "left_semi").withColumn("forest_score", F.lit(None).cast("double"))
     return kept.unionByName(untested)

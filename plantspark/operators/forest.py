@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantspark.schema import SERIES
+from plantspark.session import cut_lineage
 
 POOL = 8_192
 SAMPLE = 256
@@ -139,25 +140,23 @@ def forest_scores(
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, trees, seed), f"{key_ddl}, {MODEL}")
 
-    scored = sized.drop("_fit", "_fits")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     return apply_model(
-        scored, models, keys, order, lambda rows, model: rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model)), schema
+        df, models, sizes.select(*keys, "_rows"), keys, order, lambda rows, model: rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model)), schema
     )
 
 
 def apply_model(
-    rows: DataFrame, models: DataFrame, keys: Sequence[str], spread: Column, fn: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: T.StructType
+    rows: DataFrame, models: DataFrame, sizes: DataFrame, keys: Sequence[str], spread: Column, fn: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: T.StructType
 ) -> DataFrame:
     """Run ``fn(rows, model)`` with each group's small model beside its rows.
 
-    ``rows`` carry their group's size as ``_rows``: a group is dealt out by the hash
+    ``sizes`` holds each group's row count as ``_rows``: a group is dealt out by the hash
     ``spread`` into shares of bounded size and only the model is repeated per share.
     """
     shares = F.greatest(F.lit(1), F.ceil(F.col("_rows") / ROWS_PER_SHARE)).cast("int")
-    dealt = rows.withColumn("_share", F.pmod(spread, shares).cast("int"))
-    counts = rows.groupBy(*keys).agg(F.max("_rows").alias("_rows"))
-    copies = models.join(counts, list(keys)).withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_rows")
+    dealt = rows.join(sizes, list(keys)).withColumn("_share", F.pmod(spread, shares).cast("int"))
+    copies = models.join(sizes, list(keys)).withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_rows")
     names = [f.name for f in schema.fields]
 
     def run(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -187,6 +186,6 @@ def cut_by_share(scored: DataFrame, share: Column | float, *, keys: Sequence[str
 
 
 def outliers(df: DataFrame, features: Sequence[str] = ("value",), contamination: float = 0.1, *, keys: Sequence[str] = SERIES, **options) -> DataFrame:
-    """Fit, score and flag in one go."""
-    return cut_by_share(forest_scores(df, features, keys=keys, **options), contamination, keys=keys)
+    """Fit, score and flag in one go; the scores are written once and read twice."""
+    return cut_by_share(cut_lineage(forest_scores(df, features, keys=keys, **options)), contamination, keys=keys)
 

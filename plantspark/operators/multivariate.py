@@ -54,8 +54,8 @@ def feature_matrix(df: DataFrame, minutes: int = 60, max_features: int = 20) ->
 def split_baseline(matrix: DataFrame, fraction: float) -> DataFrame:
     """Mark the first ``fraction`` of every unit's rows in time as baseline."""
     placed = sequence.strip(sequence.running(matrix, {"_pos": F.lit(1)}, keys=UNIT))
-    sizes = matrix.groupBy(*UNIT).agg(F.count("*").alias("_rows"))
-    return placed.join(sizes, KEYS).withColumn("is_base", F.col("_pos") <= F.floor(F.col("_rows") * fraction)).drop("_pos")
+    joined = placed.join(unit_sizes(matrix), KEYS)
+    return joined.withColumn("is_base", F.col("_pos") <= F.floor(F.col("_rows") * fraction)).drop("_pos", "_rows")
 
 
 def moments(rows: DataFrame) -> DataFrame:
@@ -98,10 +98,14 @@ def _distance(rows: pd.DataFrame, model: pd.Series) -> pd.DataFrame:
     return rows.assign(distance=np.sqrt(np.clip(np.einsum("ij,jk,ik->i", d, inverse, d), 0, None)))
 
 
+def unit_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*UNIT).agg(F.count("*").alias("_rows"))
+
+
 def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Mahalanobis distance of every row from its unit's model; flat features are left out."""
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_rows"] + [T.StructField("distance", T.DoubleType())])
-    return forest.apply_model(rows, model, KEYS, F.xxhash64("time"), _distance, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("distance", T.DoubleType())])
+    return forest.apply_model(rows, model, unit_sizes(rows), KEYS, F.xxhash64("time"), _distance, schema)
 
 
 def robust_model(base: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
@@ -112,18 +116,22 @@ def robust_model(base: DataFrame, support: float = 0.75, steps: int = 3) -> Data
     """
     model = cut_lineage(moments(base))
     for _ in range(steps):
-        measured = distances(base, model)
+        measured = cut_lineage(distances(base, model))
         limit = grouped_quantiles(measured, UNIT, "distance", {"_limit": support}).drop("n")
         model = cut_lineage(moments(measured.join(limit, KEYS).where(F.col("distance") <= F.col("_limit"))))
     return model
 
 
 def distance_anomalies(matrix: DataFrame, *, baseline_fraction: float = 0.7, quantile: float = 0.99, robust: bool = False, support: float = 0.75) -> DataFrame:
-    """M5: rows after the baseline whose distance exceeds the baseline's own quantile."""
-    rows = split_baseline(matrix, min(0.9, max(0.5, baseline_fraction)))
+    """M5: rows after the baseline whose distance exceeds the baseline's own quantile.
+
+    The matrix is far smaller than the readings it comes from and is passed over several
+    times, so it and the distances are written once (checkpoint) instead of recomputed.
+    """
+    rows = cut_lineage(split_baseline(cut_lineage(matrix), min(0.9, max(0.5, baseline_fraction))))
     base = rows.where("is_base")
-    model = robust_model(base, min(0.95, max(0.5, support))) if robust else moments(base)
-    measured = distances(rows, model)
+    model = robust_model(base, min(0.95, max(0.5, support))) if robust else cut_lineage(moments(base))
+    measured = cut_lineage(distances(rows, model))
     limit = grouped_quantiles(measured.where("is_base"), UNIT, "distance", {"threshold": min(0.9999, max(0.9, quantile))}).drop("n")
     return measured.join(limit, KEYS).withColumn("is_anomaly", ~F.col("is_base") & (F.col("distance") > F.col("threshold")))
 
@@ -144,9 +152,10 @@ def unpacked(matrix: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
 
 def matrix_forest(matrix: DataFrame, *, width: int = 21, contamination: float = 0.1, split: float | None = None, trees: int = 100) -> DataFrame:
     """M7 / M8: forest on the matrix, fitted on the first share when ``split`` is given."""
+    matrix = cut_lineage(matrix)
     rows = split_baseline(matrix, split) if split is not None else matrix.withColumn("is_base", F.lit(True))
-    flat, names = unpacked(rows.drop("_rows"), width)
-    scored = forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base"))
+    flat, names = unpacked(rows, width)
+    scored = cut_lineage(forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base")))
     cut = forest.cut_by_share(scored, contamination, keys=UNIT, among=F.col("is_base"))
     return cut.withColumn("is_anomaly", F.col("is_outlier") & (~F.col("is_base") if split is not None else F.lit(True)))
 
@@ -256,9 +265,11 @@ def _reconstruction(components: int):
 
 def reconstruction_anomalies(matrix: DataFrame, components: int = 2, quantile: float = 0.995) -> DataFrame:
     """Rows a few principal components rebuild worst; threshold is a high quantile."""
-    rows = matrix.join(matrix.groupBy(*UNIT).agg(F.count("*").alias("_rows")), KEYS)
+    matrix = cut_lineage(matrix)
     schema = T.StructType([*matrix.schema.fields, T.StructField("error", T.DoubleType())])
-    measured = forest.apply_model(rows, moments(matrix), KEYS, F.xxhash64("time"), _reconstruction(components), schema)
+    measured = cut_lineage(
+        forest.apply_model(matrix, moments(matrix), unit_sizes(matrix), KEYS, F.xxhash64("time"), _reconstruction(components), schema)
+    )
     limit = grouped_quantiles(measured, UNIT, "error", {"threshold": min(0.9999, max(0.9, quantile))}).drop("n")
     return measured.join(limit, KEYS).withColumn("is_anomaly", F.col("error") > F.col("threshold"))
 
@@ -275,8 +286,7 @@ def tune_distance(df: DataFrame, *, fractions: Sequence[float] = (0.6, 0.7), qua
 
     The two matrices are built once; every grid point reads them.
     """
-    plain = feature_matrix(df, max_features=max_features)
-    spiked = feature_matrix(backtest.inject(df, rate, seed), max_features=max_features)
+    plain, spiked = (cut_lineage(feature_matrix(d, max_features=max_features)) for d in (df, backtest.inject(df, rate, seed)))
     out = None
     for fraction in fractions:
         for quantile in quantiles:
@@ -288,13 +298,13 @@ def tune_distance(df: DataFrame, *, fractions: Sequence[float] = (0.6, 0.7), qua
 
 def tune_forest(df: DataFrame, *, contaminations: Sequence[float] = (0.01, 0.02, 0.03), tree_counts: Sequence[int] = (100,), max_features: int = 24, rate: float = 0.005, penalty: float = 2.0, seed: int = 42) -> DataFrame:
     """Grid over contamination and trees; one forest per tree count, one cut per contamination."""
-    matrices = [feature_matrix(d, max_features=max_features) for d in (df, backtest.inject(df, rate, seed))]
+    matrices = [cut_lineage(feature_matrix(d, max_features=max_features)) for d in (df, backtest.inject(df, rate, seed))]
     out = None
     for trees in tree_counts:
         scored = []
         for matrix in matrices:
-            flat, names = unpacked(split_baseline(matrix, 0.7).drop("_rows"), max_features + 1)
-            scored.append(forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base")))
+            flat, names = unpacked(split_baseline(matrix, 0.7), max_features + 1)
+            scored.append(cut_lineage(forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base"))))
         for contamination in contaminations:
             pair = []
             for frame in scored:
