@@ -43,23 +43,19 @@ def write_dataset(
     by_tag: bool = False,
     max_rows_per_file: int = 5_000_000,
     compression: str = "zstd",
-    spread: int = 16,
     mode: str = "overwrite",
 ) -> None:
     """Hive layout plant / unit [/ tag] / year / month.
 
-    Rows of one partition folder go to ``spread`` writers, so a hot unit is not written
-    by one task; ``tag`` and ``time`` are sort columns, which makes row-group statistics
-    prune tag filters without one folder per tag.
+    The rebalance hint lets Spark size the writers by data: small folders share a task,
+    a hot folder is split over many. ``tag`` and ``time`` are sort columns, which makes
+    row-group statistics prune tag filters without one folder per tag.
     """
     keys = ["plant", "unit", *(["tag"] if by_tag else []), "year", "month"]
-    salt = F.pmod(F.xxhash64("tag", F.date_trunc("day", "time")), F.lit(spread))
     (
         with_calendar(df)
-        .withColumn("_salt", salt)
-        .repartition(*keys, "_salt")
-        .drop("_salt")
-        .sortWithinPartitions(*keys, "tag", "time")
+        .hint("rebalance", *[F.col(k) for k in keys])
+        .sortWithinPartitions(*dict.fromkeys([*keys, "tag", "time"]))
         .write.mode(mode)
         .option("maxRecordsPerFile", max_rows_per_file)
         .option("compression", compression)
