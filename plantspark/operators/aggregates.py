@@ -65,13 +65,20 @@ def latest_times(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     return df.groupBy(*by).agg(F.max("time").alias("last_time"))
 
 
-def unit_analytics(df: DataFrame, *, tie: str = "seq") -> DataFrame:
+def latest_values(df: DataFrame, by: Sequence[str] = UNIT) -> DataFrame:
+    """Newest value per key: newest per series first (a hash aggregate over the rows), then
+    per key over that small table; at one time the last tag by name wins."""
+    per_series = df.groupBy(*SERIES).agg(F.max_by("value", "time").alias("_v"), F.max("time").alias("latest_time"))
+    at = F.struct("latest_time", "tag")
+    return per_series.groupBy(*by).agg(F.max_by("_v", at).alias("latest_value"), F.max("latest_time").alias("latest_time"))
+
+
+def unit_analytics(df: DataFrame) -> DataFrame:
     """Records, span, moments, latest value, mean + 3 sigma and what lies above it."""
     base = df.groupBy(*UNIT).agg(
         F.count("*").alias("records"), *_span(), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max_by("value", F.struct("time", tie)).alias("latest_value"),
-    )
+    ).join(latest_values(df).select(*UNIT, "latest_value"), list(UNIT))
     limits = base.withColumn("threshold", F.col("mean") + 3 * F.col("std"))
     above = (
         df.join(limits.select(*UNIT, "threshold"), list(UNIT))

@@ -18,10 +18,10 @@ KEY = NATURAL_KEY
 
 def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    at = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
-    if len(rest) == 1:
-        return df.groupBy(*keys).agg(pick(rest[0], at).alias(rest[0]))
-    kept = df.groupBy(*keys).agg(pick(F.struct(*rest), at).alias("_kept"))
+    if len(order) == 1:
+        # One aggregate per column keeps the buffers primitive, so Spark can hash.
+        return df.groupBy(*keys).agg(*[pick(c, order[0]).alias(c) for c in rest])
+    kept = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_kept"))
     return kept.select(*keys, "_kept.*")
 
 
@@ -42,8 +42,12 @@ def keep_last(df: DataFrame, keys: Sequence[str] = KEY, order: Sequence[str] = (
 
 def merge_new_wins(existing: DataFrame, new: DataFrame, keys: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
     """U4: existing and new rows; new ones replace existing ones, later ones earlier ones."""
-    both = existing.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    return _keep(both, keys, ("_side", seq), F.max_by).drop("_side")
+    both = existing.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    rest = [c for c in existing.columns if c not in keys]
+    new_seq, old_seq = F.when(F.col("_new"), F.col(seq)), F.when(~F.col("_new"), F.col(seq))
+    picks = [p for c in rest for p in (F.max_by(c, new_seq).alias(f"_n_{c}"), F.max_by(c, old_seq).alias(f"_o_{c}"))]
+    merged = both.groupBy(*keys).agg(F.max("_new").alias("_replaced"), *picks)
+    return merged.select(*keys, *[F.when(F.col("_replaced"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in rest])
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:

@@ -332,7 +332,7 @@ def run_summary(
     runs = marked.groupBy(*keys, PIECE, F.when(F.col("_on"), F.col("_off")).alias("_run")).agg(
         F.count("*").alias("_c"), F.max("_off").alias("_offs"),
         *[F.sum(c).alias(n) for n, c in sums.items()],
-        F.max(F.struct(F.col(MICROS), *[c.alias(n) for n, c in latest.items()])).alias("_latest"),
+        F.max(MICROS).alias("_at"), *[F.max_by(c, F.col(MICROS)).alias(n) for n, c in latest.items()],
     )
     pieces = runs.groupBy(*keys, PIECE).agg(
         F.sum("_c").alias("_rows"), F.max("_offs").alias("_offs"),
@@ -340,7 +340,7 @@ def run_summary(
         F.max(F.when(F.col("_run") == 0, F.col("_c"))).alias("_head"),
         F.max(F.when(F.col("_run").isNotNull(), F.struct("_run", "_c"))).alias("_last"),
         *[F.sum(n).alias(n) for n in sums],
-        F.max("_latest").alias("_latest"),
+        F.max("_at").alias("_at"), *[F.max_by(n, "_at").alias(n) for n in latest],
     )
     tail = F.when(F.col("_last._run") == F.col("_offs"), F.col("_last._c"))
     zero = F.lit(0).cast("long")
@@ -349,8 +349,7 @@ def run_summary(
     )
     chained = pieces.groupBy(*keys).agg(
         F.array_sort(F.collect_list(link)).alias("_links"), F.sum("_rows").alias("rows"),
-        *[F.sum(n).alias(n) for n in sums],
-        F.max("_latest").alias("_latest"),
+        *[F.sum(n).alias(n) for n in sums], *[F.max_by(n, "_at").alias(n) for n in latest],
     )
 
     def join(state: Column, piece: Column) -> Column:
@@ -363,5 +362,5 @@ def run_summary(
 
     start = F.struct(zero.alias("open"), zero.alias("best"))
     return chained.select(
-        *keys, "rows", F.aggregate("_links", start, join)["best"].alias("longest_run"), *sums, *[F.col(f"_latest.{n}").alias(n) for n in latest]
+        *keys, "rows", F.aggregate("_links", start, join)["best"].alias("longest_run"), *sums, *latest
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantspark.functions import scoring, tags
-from plantspark.operators.aggregates import moments
+from plantspark.operators.aggregates import latest_values, moments
 from plantspark.operators.dedup import latest_rows
 from plantspark.schema import SERIES, UNIT, days, hours, ratio
 from plantspark.schema import as_of as as_of_column
@@ -316,11 +316,10 @@ def config_summary(config: DataFrame) -> DataFrame:
     )
 
 
-def speed_monitor(df: DataFrame, config: DataFrame, tie: str = "seq") -> DataFrame:
+def speed_monitor(df: DataFrame, config: DataFrame) -> DataFrame:
     """Tags, method and latest speed of every unit."""
     wanted = config.select(*UNIT, configured_tags().alias("_tags"), F.coalesce("compensation_method", F.lit(DEFAULTS["method"])).alias("method"))
-    last = df.join(wanted.select(*UNIT, F.explode("_tags").alias("tag")), list(SERIES)).groupBy(*UNIT).agg(
-        F.max_by("value", F.struct("time", tie)).alias("latest_speed"), F.max("time").alias("latest_time")
-    )
+    rows = df.join(wanted.select(*UNIT, F.explode("_tags").alias("tag")), list(SERIES))
+    last = latest_values(rows).withColumnRenamed("latest_value", "latest_speed")
     return wanted.join(last, list(UNIT), "left").select(*UNIT, F.size("_tags").alias("speed_tags"), "method", "latest_speed", "latest_time")
 

@@ -154,7 +154,7 @@ def latest_times(spark, sf):
     SELECT b.*, coalesce(above, 0) AS above_count, coalesce(above, 0) * 100.0 / records AS above_percent, latest_above FROM
       (SELECT plant, unit, count(*) AS records, date_diff('microsecond', min(time), max(time)) / 3.6e9 AS hours_covered,
               avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
-              arg_max(value, (time, seq)) AS latest_value, max(value) - min(value) AS value_range,
+              arg_max(value, (time, tag)) AS latest_value, max(value) - min(value) AS value_range,
               avg(value) + 3 * stddev_samp(value) AS threshold FROM readings GROUP BY plant, unit) b
     LEFT JOIN (SELECT r.plant, r.unit, count(*) AS above, max(time) AS latest_above FROM readings r JOIN
               (SELECT plant, unit, avg(value) + 3 * stddev_samp(value) AS t FROM readings GROUP BY plant, unit) l

@@ -192,7 +192,7 @@ def config_validation(spark, sf):
 
 
 @query("P17_speed_monitor", "plant unit speed_tags:l method latest_speed:d latest_time:t", """
-    SELECT c.plant, c.unit, CASE WHEN t1 IS NULL THEN 0 WHEN t2 IS NULL THEN 1 ELSE 2 END AS speed_tags, method, arg_max(value, (time, seq)) AS latest_speed, max(time) AS latest_time
+    SELECT c.plant, c.unit, CASE WHEN t1 IS NULL THEN 0 WHEN t2 IS NULL THEN 1 ELSE 2 END AS speed_tags, method, arg_max(value, (time, tag)) AS latest_speed, max(time) AS latest_time
     FROM cfg c LEFT JOIN readings r ON c.plant = r.plant AND c.unit = r.unit AND r.tag IN (t1, t2) GROUP BY ALL""", FACTORS)
 def speed_monitor(spark, sf):
     return speed.speed_monitor(readings(spark, sf), config(spark))
