@@ -21,10 +21,11 @@ def _blocks(first: Column, last: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(first / width).cast("long"), F.floor(last / width).cast("long")))
 
 
-def _tagged(asking: DataFrame, seen: DataFrame, keys: Sequence[str], value: str, reach_back: int, reach_on: int) -> DataFrame:
+def _tagged(asking: DataFrame, seen: DataFrame, keys: Sequence[str], value: str, reach_back: int, reach_on: int, sparse: bool) -> DataFrame:
     """One frame of askers (payload kept) and copies of the seen rows, with block ids.
 
     ``reach_back`` / ``reach_on``: how far before / after an asker a seen row may lie.
+    ``sparse``: few rows ask, so seen rows of blocks nobody asks from are left out first.
     """
     width = 4 * max(reach_back, reach_on, 1)
     ask = asking.select(
@@ -42,6 +43,8 @@ def _tagged(asking: DataFrame, seen: DataFrame, keys: Sequence[str], value: str,
         F.unix_micros("time").alias("_seen_us"),
     )
     see = see.select("*", _blocks(F.col("_us") - reach_on, F.col("_us") + reach_back, width).alias(BLOCK))
+    if sparse:
+        see = see.join(ask.select(*keys, BLOCK).distinct(), [*keys, BLOCK], "left_semi")
     return ask.unionByName(see)
 
 
@@ -60,7 +63,7 @@ def nearest_in_time(
     one with the smallest value (first) so that the answer is defined.
     """
     seen = seen.groupBy(*keys, "time").agg(F.min(value).alias(value))
-    both = _tagged(asking, seen, keys, value, tolerance_micros, tolerance_micros)
+    both = _tagged(asking, seen, keys, value, tolerance_micros, tolerance_micros, sparse=False)
     forward = Window.partitionBy(*keys, BLOCK).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     backward = Window.partitionBy(*keys, BLOCK).orderBy(F.col("_us").desc()).rangeBetween(Window.unboundedPreceding, 0)
     pair = F.when(F.col("_seen_us").isNotNull(), F.struct("_seen_us", "_seen"))
@@ -90,7 +93,7 @@ def around(
     Sums over the frame are differences of running sums inside the block: linear in
     the rows, whatever the reach.
     """
-    both = _tagged(asking, seen, keys, value, reach_micros, reach_micros)
+    both = _tagged(asking, seen, keys, value, reach_micros, reach_micros, sparse=True)
     part = Window.partitionBy(*keys, BLOCK)
     up_to_right = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, reach_micros)
     up_to_left = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -reach_micros - 1)

@@ -146,7 +146,7 @@ def stable_band(df: DataFrame, sigma: float = 2.5) -> DataFrame:
 
 def stabilised(df: DataFrame, sigma: float = 2.5) -> DataFrame:
     """Spikes against the stable band replaced by interpolation in time."""
-    joined = df.join(stable_band(df, sigma), list(SERIES))
+    joined = sequence.lay_out(df).join(stable_band(df, sigma), list(SERIES))
     spike = F.abs((F.col("value") - F.col("stable_mean")) / F.col("stable_std")) > sigma
     opened = joined.withColumn("is_spike", F.coalesce(spike, F.lit(False))).withColumn("_open", F.when(~F.coalesce(spike, F.lit(False)), F.col("value")))
     return windows.interpolate(opened, "_open", "stabilised").drop("_open")
@@ -193,7 +193,8 @@ def process_aware(df: DataFrame, limits: DataFrame, hours_back: float | None = 2
     recent = valid(df)
     if hours_back is not None:
         recent = recent.where(F.col("time") >= as_of_column(df, as_of) - hours(hours_back))
-    bounded = joins.limits_or_sigma(recent, limits, 4.0).where(F.col("n") >= min_points)
+    laid = sequence.lay_out(recent)
+    bounded = laid.join(joins.series_limits(recent, limits, 4.0), list(SERIES)).where(F.col("n") >= min_points)
     hit = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     table = sequence.run_summary(
         bounded, hit, sums={"anomaly_count": hit.cast("long")},
@@ -477,7 +478,11 @@ def on_grid(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES, span:
     grid = means.select(*by).distinct().join(ends, list(span))
     grid = grid.select(*by, F.explode(F.sequence("_a", "_b", F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))).alias("bucket"))
     full = grid.join(means, [*by, "bucket"], "left").withColumnRenamed("bucket", "time")
-    return sequence.carry(full, "value", "value", keys=by)
+    # A series has at most one row per bucket of the whole span.
+    span_micros = df.agg(F.max(F.unix_micros("time")) - F.min(F.unix_micros("time"))).first()[0] or 0
+    may_be_hot = span_micros / (minutes * 60_000_000) + 1 > sequence.TARGET_ROWS
+    laid = sequence.lay_out(full, by, hot=None if may_be_hot else False)
+    return sequence.carry(laid, "value", "value", keys=by)
 
 
 def breakouts(

@@ -95,12 +95,17 @@ def tag_activity(df: DataFrame, active_days: float = 90, as_of=None) -> DataFram
 
 def fleet_status(df: DataFrame, warn_hours: float = 0.5, limit_hours: float = 1.0, as_of=None) -> DataFrame:
     """H8: FRESH / WARNING / CRITICAL per unit with the alert text."""
+    return judged_fleet(aged(df, ("unit",), as_of), warn_hours, limit_hours)
+
+
+def judged_fleet(ages: DataFrame, warn_hours: float = 0.5, limit_hours: float = 1.0) -> DataFrame:
+    """H8 over a table of units that already has ``records``, ``last_time``, ``age_hours``."""
     age = F.col("age_hours")
     status = F.when(age > limit_hours, "CRITICAL").when(age > warn_hours, "WARNING").otherwise("FRESH")
     alert = F.when(
         age > limit_hours, F.format_string(f"Data age %.1fh exceeds {limit_hours:.1f}h limit", age)
     ).when(age > warn_hours, F.format_string("Data age %.1fh approaching limit", age))
-    return aged(df, ("unit",), as_of).select("unit", "records", "last_time", age, status.alias("status"), alert.alias("alert"))
+    return ages.select("unit", "records", "last_time", age, status.alias("status"), alert.alias("alert"))
 
 
 def fleet_summary(status: DataFrame) -> DataFrame:

@@ -75,12 +75,16 @@ def has_hot_series(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int
     return not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target_rows).isEmpty()
 
 
-def lay_out(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | None = None) -> DataFrame:
-    """Add piece number, number of pieces, cuts and microseconds to every reading."""
+def lay_out(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
+    """Add piece number, number of pieces, cuts and microseconds to every reading.
+
+    ``hot``: what the caller already knows about hot series; None asks the data. Lay out
+    the readings before joining to them, so that nothing derived is counted.
+    """
     if PIECE in df.columns:
         return df
     stamped = df.withColumn(MICROS, F.unix_micros("time"))
-    if not has_hot_series(df, keys, target_rows):
+    if not (has_hot_series(df, keys, target_rows) if hot is None else hot):
         whole = {"whole": True}
         return stamped.select(
             "*", F.lit(0).alias(PIECE), F.lit(1).alias(PIECES, metadata=whole), F.lit(None).cast("array<bigint>").alias(CUTS)

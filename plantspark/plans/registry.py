@@ -19,6 +19,15 @@ NUDGE = 1.000000000001
 _SPARK = {"s": "string", "l": "bigint", "d": "double", "b": "boolean", "t": "timestamp_ntz", "D": "date"}
 _DUCK = {"s": "VARCHAR", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN", "t": "TIMESTAMP", "D": "DATE"}
 
+# Times are UTC; a hot key of a sort-merge join is split even where the next step would
+# otherwise reuse the join's partitioning.
+SESSION = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,7 +63,8 @@ def query(name: str, contract: str, sql: str | None = None, ctes: str = ""):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for setting, value in SESSION.items():
+                spark.conf.set(setting, value)
             return shaped(plan(spark, sf_dir), contract)
 
         run.__name__, run.__doc__ = plan.__name__, plan.__doc__

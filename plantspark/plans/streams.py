@@ -143,4 +143,4 @@ def fleet_monitor(spark, sf):
     base, name = pipelines.scratch(spark, "monitor")
     readings(spark, sf).write.mode("append").parquet(f"{base}/incoming")
     pipelines.monitor_fleet(spark, f"{base}/incoming", f"{base}/results", name)
-    return spark.read.parquet(f"{base}/results")
+    return spark.read.parquet(f"{base}/results/status")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantspark.operators import dedup, detectors, health
-from plantspark.schema import SERIES, UNIT
+from plantspark.schema import SERIES, UNIT, hours_between
 from plantspark.session import checkpoint_root
 from plantspark.sources import writers
 
@@ -155,7 +155,8 @@ def ingest_new_files(spark: SparkSession, incoming: str, dataset: str, name: str
 def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, results: str, name: str, max_age_hours: float = 1.0) -> None:
     """One cycle: merge what arrived, then run the default detector on the units it refreshed.
 
-    Each batch adds its findings (with the units' staleness before the merge) to ``results``.
+    Each batch leaves its findings, with the units' staleness, in its own folder of
+    ``results``, so a repeated batch replaces them.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -165,16 +166,23 @@ def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, result
         stored = spark.read.parquet(dataset).join(F.broadcast(refreshed), list(UNIT), "left_semi")
         table = detectors.sigma_runs(stored, gate=False)
         stale = health.stale_units(stored, max_age_hours, now).select(*UNIT, "age_hours", "is_stale")
-        table.join(stale, list(UNIT)).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(results)
+        table.join(stale, list(UNIT)).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
     each_batch(read_stream(spark, incoming), name, work)
 
 
 def monitor_fleet(spark: SparkSession, incoming: str, results: str, name: str, warn_hours: float = 0.5, limit_hours: float = 1.0) -> None:
-    """Newest reading per unit so far, judged after every batch."""
+    """Newest reading per unit so far, judged after every batch.
+
+    Each batch leaves one row per unit; the status reads those rows, not the readings.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        seen = spark.read.schema(STORED).parquet(incoming)
-        health.fleet_status(seen, warn_hours, limit_hours).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(results)
+        seen = batch.groupBy("unit").agg(F.max("time").alias("last_time"), F.count("*").alias("records"))
+        seen.write.mode("overwrite").parquet(f"{results}/seen/batch={batch_id}")
+        units = spark.read.parquet(f"{results}/seen").where(F.col("batch") <= batch_id)
+        ages = units.groupBy("unit").agg(F.max("last_time").alias("last_time"), F.sum("records").alias("records"))
+        ages = ages.withColumn("age_hours", hours_between(units.select(F.max("last_time")).scalar(), F.col("last_time")))
+        health.judged_fleet(ages, warn_hours, limit_hours).write.mode("overwrite").parquet(f"{results}/status/batch={batch_id}")
 
     each_batch(read_stream(spark, incoming), name, work)

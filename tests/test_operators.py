@@ -12,7 +12,8 @@ KEYS = ["plant", "unit", "tag"]
 
 
 @pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantiles(readings, frame, monkeypatch, accuracy):
+def test_exact_quantiles(readings, frame, layout, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "GRID", 10)
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     monkeypatch.setattr(quantiles, "MARGIN", 4.0 / accuracy)
     wanted = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.95, "f": 1.0}
