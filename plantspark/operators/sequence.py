@@ -30,7 +30,9 @@ from pyspark.sql.window import WindowSpec
 from plantspark.schema import SERIES
 
 TARGET_ROWS = 4_000_000
-MAX_PIECES = 1024
+MAX_PIECES = 4096
+# Cuts are searched in two steps, block heads first, so a row meets about 2 * 64 of them.
+BLOCK_CUTS = 64
 PIECE, PIECES, CUTS, MICROS = "_piece", "_pieces", "_cuts", "_us"
 LAYOUT_COLUMNS = (PIECE, PIECES, CUTS, MICROS)
 
@@ -43,7 +45,7 @@ def cut_table(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | No
     # One text literal instead of a thousand number literals keeps the plan small.
     grid = F.split(F.lit(",".join(str(i / MAX_PIECES) for i in range(1, MAX_PIECES))), ",").cast("array<double>")
     pieces = F.least(F.lit(MAX_PIECES), F.ceil(F.col("_n") / target_rows).cast("int"))
-    return (
+    cuts = (
         stamped.join(F.broadcast(hot), list(keys))
         .groupBy(*keys, "_n")
         .agg(F.percentile_approx(MICROS, grid, 20 * MAX_PIECES).alias("_q"))
@@ -54,13 +56,23 @@ def cut_table(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | No
                     F.sequence(F.lit(1), pieces - 1),
                     lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * MAX_PIECES / pieces).cast("int"))),
                 )
-            ).alias(CUTS),
+            ).alias("_c"),
         )
     )
+    last = F.floor((F.size("_c") - 1) / BLOCK_CUTS).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("_c", i * BLOCK_CUTS + 1, BLOCK_CUTS))
+    heads = F.transform(blocks, lambda b: F.element_at(b, 1))
+    return cuts.select(*keys, F.struct(F.size("_c").alias("size"), heads.alias("heads"), blocks.alias("blocks")).alias(CUTS))
+
+
+CUTS_TYPE = "struct<size: int, heads: array<bigint>, blocks: array<array<bigint>>>"
 
 
 def piece_of(at: Column) -> Column:
-    return F.coalesce(F.size(F.filter(CUTS, lambda c: c <= at)), F.lit(0))
+    """Number of cuts at or before ``at``; 0 for a series without cuts."""
+    block = F.size(F.filter(F.col(f"{CUTS}.heads"), lambda c: c <= at))
+    inside = F.size(F.filter(F.try_element_at(f"{CUTS}.blocks", block), lambda c: c <= at))
+    return F.when(F.col(CUTS).isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * BLOCK_CUTS + inside)
 
 
 def has_hot_series(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | None = None) -> bool:
@@ -87,13 +99,13 @@ def lay_out(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | None
     if not (has_hot_series(df, keys, target_rows) if hot is None else hot):
         whole = {"whole": True}
         return stamped.select(
-            "*", F.lit(0).alias(PIECE), F.lit(1).alias(PIECES, metadata=whole), F.lit(None).cast("array<bigint>").alias(CUTS)
+            "*", F.lit(0).alias(PIECE), F.lit(1).alias(PIECES, metadata=whole), F.lit(None).cast(CUTS_TYPE).alias(CUTS)
         )
     cuts = cut_table(df, keys, target_rows)
     return (
         stamped.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn(PIECE, F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(piece_of(F.col(MICROS))))
-        .withColumn(PIECES, F.coalesce(F.size(CUTS), F.lit(0)) + 1)
+        .withColumn(PIECE, piece_of(F.col(MICROS)))
+        .withColumn(PIECES, F.coalesce(F.col(f"{CUTS}.size"), F.lit(0)) + 1)
     )
 
 

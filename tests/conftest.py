@@ -35,4 +35,5 @@ def layout(request, monkeypatch):
 
     if request.param == "cut":
         monkeypatch.setattr(sequence, "TARGET_ROWS", 8)
+        monkeypatch.setattr(sequence, "BLOCK_CUTS", 2)
     return request.param
