@@ -282,30 +282,36 @@ def _trailing_whole(laid: DataFrame, width: int, value: str, keys: Sequence[str]
 def _trailing_cut(laid: DataFrame, width: int, value: str, keys: Sequence[str]) -> DataFrame:
     """The same sums when (t - width) falls into another piece than t.
 
-    Every time is looked up twice: at t (sign +) and at t - width (sign -). Look-ups
-    and readings are ordered together per piece; a look-up reads the running sum.
+    The sum up to t is read at the reading itself. The sum up to t - width is looked up
+    in the piece that holds this time: look-ups and readings are ordered together there
+    and a look-up reads the running sum. Times before the first reading need no look-up.
     """
-    means = laid.groupBy(*keys).agg(F.avg(value).alias("_centre"))
-    rows = laid.join(F.broadcast(means), list(keys))
+    ends = laid.groupBy(*keys).agg(F.avg(value).alias("_centre"), F.min(MICROS).alias("_start"))
+    rows = laid.join(F.broadcast(ends), list(keys))
     sums = _powers(value)
     names = list(sums)
-    readings = rows.select(*keys, PIECE, F.col(MICROS).alias("_at"), *[c.alias(n) for n, c in sums.items()], F.lit(None).cast("long").alias("_for"), F.lit(0).alias("_sign"))
-    times = rows.select(*keys, CUTS, MICROS).groupBy(*keys, CUTS, MICROS).agg(F.lit(1).alias("_one"))
-    look_ups = times.select(
-        *keys, CUTS, F.col(MICROS).alias("_for"),
-        F.explode(F.array(F.struct(F.col(MICROS).alias("at"), F.lit(1).alias("sign")), F.struct((F.col(MICROS) - width).alias("at"), F.lit(-1).alias("sign")))).alias("_x"),
-    ).select(*keys, piece_of(F.col("_x.at")).alias(PIECE), F.col("_x.at").alias("_at"), *[F.lit(0).cast("double" if n != "_n" else "int").alias(n) for n in names], "_for", F.col("_x.sign").alias("_sign"))
-    local = Window.partitionBy(*keys, PIECE).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     offsets = F.broadcast(_earlier_totals(rows, sums, keys))
-    found = (
-        readings.unionByName(look_ups)
-        .withColumns({n: F.sum(n).over(local) for n in names})
-        .where(F.col("_sign") != 0)
-        .join(offsets, [*keys, PIECE], "left")
-        .groupBy(*keys, F.col("_for").alias(MICROS))
-        .agg(*[F.sum(F.col("_sign") * (F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)))).alias(n) for n in names])
+
+    def up_to(at: str) -> WindowSpec:
+        return Window.partitionBy(*keys, PIECE).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+
+    def with_offsets(df: DataFrame) -> DataFrame:
+        joined = df.join(offsets, [*keys, PIECE], "left")
+        total = {n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in names}
+        return joined.withColumns(total).drop(*[f"_before_{n}" for n in names])
+
+    now = with_offsets(rows.withColumns({n: F.sum(c).over(up_to(MICROS)) for n, c in sums.items()}))
+    left = F.col(MICROS) - width
+    nothing = [F.lit(0).cast("int" if n == "_n" else "double").alias(n) for n in names]
+    look_ups = rows.where(left >= F.col("_start")).select(*keys, piece_of(left).alias(PIECE), left.alias("_at"), *nothing, F.col(MICROS).alias("_for"))
+    readings = rows.select(*keys, PIECE, F.col(MICROS).alias("_at"), *[c.alias(n) for n, c in sums.items()], F.lit(None).cast("long").alias("_for"))
+    ordered = readings.unionByName(look_ups).withColumns({n: F.sum(n).over(up_to("_at")) for n in names})
+    found = with_offsets(ordered.where(F.col("_for").isNotNull())).groupBy(*keys, F.col("_for").alias(MICROS)).agg(
+        *[F.first(n).alias(f"_left{n}") for n in names]
     )
-    return rows.join(found, [*keys, MICROS])
+    joined = now.join(found, [*keys, MICROS], "left")
+    gone = {n: F.col(n) - F.coalesce(F.col(f"_left{n}"), F.lit(0)) for n in names}
+    return joined.withColumns(gone).drop("_start", *[f"_left{n}" for n in names])
 
 
 def run_ids(df: DataFrame, breaks: Column, output: str = "run_id", *, keys: Sequence[str] = SERIES, order: Sequence[str] = ("time",)) -> DataFrame:
