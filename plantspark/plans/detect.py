@@ -178,11 +178,11 @@ def primary_sigma(spark, sf):
     return primary(spark, sf)
 
 
-def tau_ctes(source: str, primary_name: str) -> str:
-    return f"""near AS (SELECT p.plant, p.unit, p.tag, p.time, p.value, max(p.n) AS n, max(p.mean) AS mean, max(p.std) AS std, count(r.value) AS nn, avg(r.value) AS nm, stddev_samp(r.value) AS ns FROM {primary_name} p JOIN {source} r
+def tau_ctes(source: str, primary_name: str, end: str = "") -> str:
+    return f"""near{end} AS (SELECT p.plant, p.unit, p.tag, p.time, p.value, max(p.n) AS n, max(p.mean) AS mean, max(p.std) AS std, count(r.value) AS nn, avg(r.value) AS nm, stddev_samp(r.value) AS ns FROM {primary_name} p JOIN {source} r
       ON p.plant = r.plant AND p.unit = r.unit AND p.tag = r.tag AND r.time BETWEEN p.time - INTERVAL 1 HOUR AND p.time + INTERVAL 1 HOUR GROUP BY p.plant, p.unit, p.tag, p.time, p.value),
-    taus AS (SELECT plant, unit, tag, time, value, CASE WHEN nn < 10 THEN n ELSE nn END AS k, abs(value - CASE WHEN nn < 10 THEN mean ELSE nm END) / nullif(CASE WHEN nn < 10 THEN std ELSE ns END, 0) AS tau FROM near),
-    ok AS (SELECT *, CASE WHEN k <= 10 THEN 1.15 WHEN k <= 50 THEN 1.4 ELSE 1.5 END AS tau_limit FROM taus WHERE k >= 3 AND tau > CASE WHEN k <= 10 THEN 1.15 WHEN k <= 50 THEN 1.4 ELSE 1.5 END)"""
+    taus{end} AS (SELECT plant, unit, tag, time, value, CASE WHEN nn < 10 THEN n ELSE nn END AS k, abs(value - CASE WHEN nn < 10 THEN mean ELSE nm END) / nullif(CASE WHEN nn < 10 THEN std ELSE ns END, 0) AS tau FROM near{end}),
+    ok{end} AS (SELECT *, CASE WHEN k <= 10 THEN 1.15 WHEN k <= 50 THEN 1.4 ELSE 1.5 END AS tau_limit FROM taus{end} WHERE k >= 3 AND tau > CASE WHEN k <= 10 THEN 1.15 WHEN k <= 50 THEN 1.4 ELSE 1.5 END)"""
 
 
 @query("T13_tau_verified", ROW + " tau:d tau_limit:d", f"SELECT {KEY}, tau, tau_limit FROM ok", f"{PRIMARY}, {tau_ctes('readings', 'prim')}")
@@ -253,7 +253,20 @@ def speed_aware(spark, sf):
     return detectors.speed_aware(readings(spark, sf), config(spark), "statistical", min_confidence=0.3)
 
 
-@query("T22_speed_aware_report", "plant unit data_points:l original_anomalies:l compensated_anomalies:l speed_correlated:l reduction:d confidence_score:d factor:d compensation_confidence:d warnings_count:l")
+REPORT = f"""{PRIMARY}, p0 AS (SELECT * FROM zs WHERE n >= 20 AND abs(z) > 2.5), {tau_ctes("readings", "p0")},
+    zc AS (SELECT r.*, n, mean, std, (value - mean) / nullif(std, 0) AS z FROM compensated r JOIN (SELECT plant, unit, tag, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM compensated GROUP BY plant, unit, tag) s USING (plant, unit, tag)),
+    pc AS (SELECT zc.* FROM zc LEFT JOIN scv USING (plant, unit) WHERE n >= 20 AND abs(z) > CASE WHEN cv > 0.2 THEN 2.2 WHEN cv < 0.05 THEN 2.7 ELSE 2.5 END), {tau_ctes("compensated", "pc", "_c")},
+    spd AS (SELECT r.plant, r.unit, r.time, r.value FROM readings r JOIN cfg c ON c.plant = r.plant AND c.unit = r.unit AND r.tag IN (t1, t2)),
+    corr AS (SELECT o.plant, o.unit, o.tag, o.time, count(s.value) AS k, avg(s.value) AS m, stddev_samp(s.value) AS sd FROM ok o JOIN spd s ON s.plant = o.plant AND s.unit = o.unit AND s.time BETWEEN o.time - INTERVAL 30 MINUTE AND o.time + INTERVAL 30 MINUTE GROUP BY ALL),
+    counts AS (SELECT f.*, d, coalesce(o, 0) AS o, coalesce(k, 0) AS k, coalesce(x, 0) AS x, CASE WHEN coalesce(o, 0) > 0 THEN greatest(0, (o - coalesce(k, 0)) * 1.0 / o) ELSE 0 END AS red,
+      CASE f.unit WHEN 'U-2' THEN CASE WHEN confidence < 0.3 THEN 3 ELSE 2 END WHEN 'U-3' THEN 1 ELSE 0 END AS w FROM factors f JOIN (SELECT plant, unit, count(*) AS d FROM readings GROUP BY ALL) USING (plant, unit)
+      LEFT JOIN (SELECT plant, unit, count(*) AS o FROM ok GROUP BY ALL) USING (plant, unit) LEFT JOIN (SELECT plant, unit, count(*) AS k FROM ok_c GROUP BY ALL) USING (plant, unit)
+      LEFT JOIN (SELECT plant, unit, count(*) AS x FROM corr WHERE k >= 3 AND m > 0 AND sd / m > 0.1 GROUP BY ALL) USING (plant, unit))"""
+
+
+@query("T22_speed_aware_report", "plant unit data_points:l original_anomalies:l compensated_anomalies:l speed_correlated:l reduction:d confidence_score:d factor:d compensation_confidence:d warnings_count:l", """
+    SELECT plant, unit, d AS data_points, o AS original_anomalies, k AS compensated_anomalies, x AS speed_correlated, red AS reduction, CASE WHEN applied THEN raw_factor ELSE 1 END AS factor, confidence AS compensation_confidence, w AS warnings_count,
+           greatest(0, least(1, (confidence + CASE WHEN o > 0 THEN least(0.3, red * 0.5) ELSE 0 END) * CASE WHEN speed_points < 10 THEN 0.8 ELSE 1 END - w * 0.05)) AS confidence_score FROM counts""", REPORT)
 def speed_aware_report(spark, sf):
     return detectors.speed_aware(readings(spark, sf), config(spark), "sigma_tau", min_confidence=0.3)
 
