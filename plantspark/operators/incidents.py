@@ -29,7 +29,7 @@ def jump_incidents(df: DataFrame, quantile: float = 0.95, min_rows: int = 10) ->
     """Steps above the series' own 95th percentile step, HIGH above twice that."""
     stepped = sequence.row_frame(valid(df), lambda w: {"_step": F.abs(F.col("value") - F.lag("value").over(w))}, before=1)
     steps = stepped.where(F.col("_step").isNotNull())
-    limit = grouped_quantiles(steps, SERIES, "_step", {"_limit": quantile}).where(F.col("n") + 1 >= min_rows)
+    limit = grouped_quantiles(steps, SERIES, "_step", {"_limit": quantile}, not sequence.is_whole(stepped)).where(F.col("n") + 1 >= min_rows)
     hits = steps.join(limit, list(SERIES)).where(F.col("_step") > F.col("_limit"))
     return hits.select(
         *SERIES, "time", "value", F.col("_step").alias("size"), F.when(F.col("_step") > 2 * F.col("_limit"), "HIGH").otherwise("MEDIUM").alias("severity"),

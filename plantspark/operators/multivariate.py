@@ -172,7 +172,7 @@ def trends(df: DataFrame, minutes: int = 60, top: int = 10) -> DataFrame:
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.regr_slope("value", "_pos").alias("slope"), F.stddev_pop("value").alias("volatility"),
     )
-    quart = grouped_quantiles(sequence.strip(filled), SERIES, "value", {"q25": 0.25, "q75": 0.75}).drop("n")
+    quart = grouped_quantiles(sequence.strip(filled), SERIES, "value", {"q25": 0.25, "q75": 0.75}, not sequence.is_whole(filled)).drop("n")
     return stats.join(quart, list(SERIES))
 
 

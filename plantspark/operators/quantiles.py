@@ -23,8 +23,12 @@ MARGIN = 4.0 / ACCURACY
 GRID = 1_000
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """One row per group: keys, ``n`` and one exact quantile column per entry."""
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], hot: bool | None = None) -> DataFrame:
+    """One row per group: keys, ``n`` and one exact quantile column per entry.
+
+    ``hot``: does a group exceed what one task should rank? None asks the data; callers
+    that derived ``df`` from laid-out readings know it already.
+    """
     keys = list(keys)
     probs = sorted(set(quantiles.values()))
     edges = sorted({min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)})
@@ -40,7 +44,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles:
 
     brackets = F.array(*[F.struct(edge(p, -1).alias("lo"), edge(p, 1).alias("hi")) for p in probs])
     marks = marks.select(*keys, "n", brackets.alias("_brackets"))
-    if has_hot_series(data, keys):
+    if has_hot_series(data, keys) if hot is None else hot:
         marks = _narrowed(data, marks, keys, probs)
     marks = marks.withColumn("_edges", F.flatten(F.transform("_brackets", lambda b: F.array(b["lo"], b["hi"]))))
 

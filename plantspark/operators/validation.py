@@ -32,9 +32,10 @@ def _outside(value: Column, low: float | None, high: float | None) -> Column:
 def statistical_check(df: DataFrame, min_points: int = 30) -> DataFrame:
     """Outlier rates by z, by quartile fences and by median deviation, averaged."""
     rows = valid(df)
-    q = grouped_quantiles(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    hot = sequence.has_hot_series(rows)
+    q = grouped_quantiles(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot)
     centred = rows.join(q.drop("n"), list(SERIES)).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
-    mad = grouped_quantiles(centred, SERIES, "_dev", {"mad": 0.5}).drop("n")
+    mad = grouped_quantiles(centred, SERIES, "_dev", {"mad": 0.5}, hot).drop("n")
     stats = joins.series_stats(rows).join(q.drop("n"), list(SERIES)).join(mad, list(SERIES)).where(F.col("n") >= min_points)
     iqr = F.col("q3") - F.col("q1")
     v = F.col("value")
@@ -69,7 +70,7 @@ def engineering_check(df: DataFrame) -> DataFrame:
 
 def step_noise(df: DataFrame) -> DataFrame:
     """Longest stuck stretch in percent, noise ratio and share of large jumps."""
-    rows = valid(df).select(*SERIES, "time", "value")
+    rows = sequence.lay_out(valid(df).select(*SERIES, "time", "value"))
     stepped = sequence.strip(sequence.row_frame(rows, lambda w: {"_step": F.col("value") - F.lag("value").over(w)}, before=1))
     base = stepped.groupBy(*SERIES).agg(
         F.count("*").alias("n"), F.count("_step").alias("steps"), F.stddev_pop("_step").alias("_noise"), F.stddev_pop("value").alias("_signal")
