@@ -138,7 +138,7 @@ class LabelModel:
 
 
 #: Where the estimation starts and what its pseudo-votes say: votes for bad quality are rare on good texts.
-START = {"prior": 0.85, "on_good": 0.98, "on_bad": 0.4, "pseudo_votes": 5.0}
+START = {"prior": 0.85, "on_good": 0.98, "on_bad": 0.4, "pseudo_votes": 1.0}
 
 
 def expectation_maximisation(votes: np.ndarray, weights: np.ndarray, rounds: int = 1000) -> LabelModel:
