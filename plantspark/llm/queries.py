@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, simhash, token_counts
+from . import byte_bpe, decontaminate, pii, quality, simhash, token_counts
 from .common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_documents(spark, sf_dir)).select("doc_id", "pii")
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *(pii.number(F.col("pii"), k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(quality.measure(_documents(spark, sf_dir)).drop("text"))
