@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantspark.session import ship
+
 DIGITS = 6
 NUDGE = 1.000000000001
 _SPARK = {"s": "string", "l": "bigint", "d": "double", "b": "boolean", "t": "timestamp_ntz", "D": "date"}
@@ -63,6 +65,7 @@ def query(name: str, contract: str, sql: str | None = None, ctes: str = ""):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             for setting, value in SESSION.items():
                 spark.conf.set(setting, value)
             return shaped(plan(spark, sf_dir), contract)

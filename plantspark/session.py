@@ -1,8 +1,10 @@
-"""Session settings the package relies on, and where it may cut lineage."""
+"""Session settings the package relies on, where it may cut lineage, and how it reaches executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +29,15 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "plantspark")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only if unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="plantspark-checkpoint-")
+    """The shared folder the cluster names. Only a local master may go without: it gets one temporary folder."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root:
+        return root
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="plantspark-checkpoint-")
+    sc.setCheckpointDir(root)
     return root
 
 
@@ -40,3 +47,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context: functions run there by their module's name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plantspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="plantspark-")) / "plantspark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, Path(package.name) / file.relative_to(package))
+    sc.addPyFile(str(archive))
+    sc._plantspark_shipped = True
