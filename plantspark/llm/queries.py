@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantspark.session import ship
+
 from . import byte_bpe, decontaminate, html_text, pii, quality, sharding, simhash, substring_dedup, token_counts
 from .common import cut, table, text_or_empty
 
@@ -15,9 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(run: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[run.__name__] = run
-    return run
+def query(plan: Callable[[SparkSession, str], DataFrame]):
+    @wraps(plan)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return plan(spark, sf_dir)
+
+    QUERIES[plan.__name__] = run
+    return plan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

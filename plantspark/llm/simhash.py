@@ -167,15 +167,38 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def roots(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, least, root) per distinct fingerprint: the smallest id that has it, the smallest fingerprint of its component."""
+    classes = cut(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")))
+    found = components(links(classes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
+    return classes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def clustered(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Add ``component_id``, the smallest id in the component of each row's fingerprint.
 
     ``prints`` is read several times: pass a written or checkpointed table of narrow rows.
     """
-    classes = cut(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")))
-    roots = components(links(classes.select("fp"), distance, blocks))
-    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = roots(prints, id_col, fp_col, distance, blocks)
     least = _spread(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
     members = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
     rest = [F.col(f"`{c}`") for c in prints.columns if c != "component_id"]
     return prints.select(*rest).join(_spread(members), F.col(fp_col) == F.col("fp"), "left").drop("fp")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """One row of each component: that with the smallest id, the smallest hash of all columns where ids are equal or null."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.xxhash64(*columns)
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), own.alias("own"), text_or_empty(text_col).alias("text"))
+    prints = cut(fingerprints(keyed).drop("text"))
+    # A component's first row by (id is null, id, own); copies collapse before the shuffles.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own"))
+    firsts = prints.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first"))
+    kept = roots(prints, "id", "fingerprint", distance, blocks).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = _spread(kept.select(F.col("first.id").alias("__llm_id"), F.col("first.own").alias("__llm_own")))
+    chosen = docs.withColumn("__llm_row", own)
+    out = chosen.join(keep, (F.col("__llm_row") == F.col("__llm_own")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__llm_id")), "left_semi")
+    if prints.groupBy("id", "own").count().where("count > 1").isEmpty():
+        return out.drop("__llm_row")
+    return out.dropDuplicates(["__llm_row", id_col]).drop("__llm_row")
