@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plantspark.session import ship
 
-from . import byte_bpe, decontaminate, html_text, pii, quality, sharding, simhash, substring_dedup, token_counts
+from . import byte_bpe, decontaminate, html_text, pii, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
 from .common import cut, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(pii.number(F.col("pii"), k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
 
 
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, sf_dir))
+    counts = (secret_scan.number(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3])
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(quality.measure(_documents(spark, sf_dir)).drop("text"))
