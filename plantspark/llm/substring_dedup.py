@@ -202,7 +202,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = text_or_empty(text_col)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    sources = cut(source.mapInPandas(lambda rows: _scan(rows, window, k), f"doc_id {id_type}, key long, n_words long, kept_sha256 string, grams array<long>"))
+    sources = written(source.mapInPandas(lambda rows: _scan(rows, window, k), f"doc_id {id_type}, key long, n_words long, kept_sha256 string, grams array<long>"))
 
     # 1. Edges seen twice, as places in the list of each distinct text.
     edges = sources.select("key", "n_words", F.posexplode("grams").alias("edge", "gram"))
@@ -216,7 +216,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 2. Paths seen twice are compacted: their windows are settled in all sources.
     kind = "h1 long, h2 long, key long, n_words long"
-    paths = cut(texts.mapInPandas(lambda rows: _path_rows(rows, window, k), f"{kind}, path long, weight long"))
+    paths = written(texts.mapInPandas(lambda rows: _path_rows(rows, window, k), f"{kind}, path long, weight long"))
     lead = F.min(F.struct("key", "n_words", "path")).alias("lead")
     settled = paths.join(_twice(paths, lead), ["h1", "h2"])
     speaks = F.when(F.struct("key", "n_words", "path") == F.col("lead"), 1).otherwise(0).cast("long")
@@ -224,7 +224,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 3. The windows beside branches are compared one by one.
     open_texts = texts.join(settled, ["key", "n_words"], "left").select("key", "text", "edges", "weight", "settled")
-    windows = cut(open_texts.mapInPandas(lambda rows: _window_rows(rows, window, k), f"{kind}, start long, weight long"))
+    windows = written(open_texts.mapInPandas(lambda rows: _window_rows(rows, window, k), f"{kind}, start long, weight long"))
     starts = windows.join(_twice(windows), ["h1", "h2"]).groupBy("key", "n_words").agg(F.collect_set("start").alias("starts"))
 
     spans = settled.join(starts, ["key", "n_words"], "full")
