@@ -230,8 +230,8 @@ def two_sigma_labels(df: DataFrame, bucket: Column | None = None) -> DataFrame:
     return scored.groupBy(*UNIT, "time").agg(F.count("*").alias("tags"), F.coalesce(F.bool_or(far), F.lit(False)).alias("abnormal"))
 
 
-def long_series(df: DataFrame, min_points: int = 100, top: int = 5) -> DataFrame:
-    """Forecasting sets: the top tags per unit with more than ``min_points`` readings."""
+def long_series(df: DataFrame, min_points: int = 100, top: int | None = None) -> DataFrame:
+    """Forecasting sets: the tags (or ``top`` per unit) with more than ``min_points`` readings."""
     from plantspark.operators.windows import top_per_unit
 
     counts = df.groupBy(*SERIES).agg(F.count("*").alias("count")).where(F.col("count") > min_points)

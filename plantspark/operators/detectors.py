@@ -469,12 +469,17 @@ def plot_selection(table: DataFrame, most: int = 5) -> DataFrame:
 
 # -- breakout --------------------------------------------------------------------------
 
-def on_grid(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES, span: Sequence[str] = UNIT) -> DataFrame:
-    """Bucket means of every series on its unit's common grid, filled forward."""
+def on_grid(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES, span: Sequence[str] = UNIT, wanted: DataFrame | None = None) -> DataFrame:
+    """Bucket means of every series on its unit's common grid, filled forward.
+
+    ``wanted``: the series to lay out (default all); the grid's ends are the whole unit's.
+    """
     from plantspark.operators.aggregates import resample
 
     means = resample(df, minutes, by)
     ends = means.groupBy(*span).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
+    if wanted is not None:
+        means = means.join(wanted, list(by), "left_semi")
     grid = means.select(*by).distinct().join(ends, list(span))
     grid = grid.select(*by, F.explode(F.sequence("_a", "_b", F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))).alias("bucket"))
     full = grid.join(means, [*by, "bucket"], "left").withColumnRenamed("bucket", "time")

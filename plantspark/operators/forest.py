@@ -1,10 +1,11 @@
 """Isolation forest per group as a Spark job.
 
-* a hash of the row keeps about ``POOL`` rows per group for fitting, whatever its size;
-* one small task per group builds the trees from that pool (numpy, at most 256 rows a tree);
+* every tree draws its rows from the whole group: a hash of row and tree decides, about
+  ``max_samples`` rows a tree, so a group sends at most trees x max_samples rows to its
+  one small fitting task (numpy), whatever its size;
 * rows are scored in salted shares of a group, so a hot group spreads over many tasks;
-* scores are rounded to four digits, so the cut by contamination is a count per score
-  value, at most ten thousand small rows per group.
+* scores are rounded to four digits and ties broken by a hash of the row, so the cut by
+  contamination is exact and made of counts: per score value, then per hash bucket.
 
 Splits are uniform inside a feature's range, so scaling features changes nothing and is
 left out. Scores follow the published method; labels of another library's random trees
@@ -24,10 +25,9 @@ from pyspark.sql import types as T
 from plantspark.schema import SERIES
 from plantspark.session import cut_lineage
 
-POOL = 8_192
-SAMPLE = 256
 ROWS_PER_SHARE = 250_000
 SCORE_DIGITS = 4
+TIE_BUCKETS = 4_096
 EULER = 0.5772156649
 
 
@@ -40,16 +40,16 @@ def _expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(big, 2.0 * (np.log(m - 1.0) + EULER) - 2.0 * (m - 1.0) / m, out)
 
 
-def _grow(samples: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """All trees at once, level by level. ``samples``: trees x rows x features.
+def _grow(rows: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """All trees at once, level by level. ``rows``: one line per draw, ``tree``: 0, 1, ... for each.
 
     Nodes are numbered over all trees, roots first; feature -1 marks a leaf, whose
     ``depth`` is the path length it stands for.
     """
-    trees, size, width = samples.shape
-    rows, node = samples.reshape(-1, width), np.repeat(np.arange(trees), size)
+    trees = int(tree.max()) + 1
+    node = tree
     parts: list[dict[str, np.ndarray]] = []
-    limit, level, ids, following = int(np.ceil(np.log2(max(2, size)))), 0, np.arange(trees), trees
+    level, ids, following = 0, np.arange(trees), trees
     while len(ids):
         order = np.argsort(node, kind="stable")
         rows, node = rows[order], node[order]
@@ -80,17 +80,35 @@ def _grow(samples: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray
     return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
 
 
-MODEL = "n_fit long, trees int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
+MODEL = "n_fit double, trees int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
 
-def _builder(keys: list[str], features: list[str], trees: int, seed: int):
+def draws(identity: Sequence[str], fits: Column, trees: int, max_samples: int, seed: int) -> Column:
+    """The trees that draw a row, each with probability max_samples / ``fits`` (1 at most).
+
+    One hash decides over as many trees as one draw in all of them is expected from, so a
+    row of a large group costs one hash, not one per tree.
+    """
+    share = F.least(F.lit(1.0), F.lit(float(max_samples)) / fits)
+    at_once = F.greatest(F.lit(1), F.least(F.lit(trees), F.floor(1.0 / share))).cast("int")
+    rounds = F.sequence(F.lit(0), F.ceil(F.lit(trees) / at_once).cast("int") - 1)
+
+    def drawn(r: Column) -> Column:
+        uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), r, *identity), 11) * F.lit(2.0**-53)
+        return F.struct((r * at_once).alias("first"), F.floor(uniform / share).alias("step"))
+
+    hits = F.filter(F.transform(rounds, drawn), lambda d: (d["step"] < at_once) & (d["first"] + d["step"] < trees))
+    return F.transform(hits, lambda d: (d["first"] + d["step"]).cast("int"))
+
+
+def _builder(keys: list[str], features: list[str], max_samples: int, seed: int):
     def build(pool: pd.DataFrame) -> pd.DataFrame:
-        data = pool.sort_values("_order")[features].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed)
-        size = min(SAMPLE, len(data))
-        samples = np.stack([data[rng.choice(len(data), size, replace=False)] for _ in range(trees)])
-        row = {k: [pool[k].iloc[0]] for k in keys} | {"n_fit": [size], "trees": [trees]}
-        return pd.DataFrame(row | {name: [nodes] for name, nodes in _grow(samples, rng).items()})
+        pool = pool.sort_values(["_tree", "_order"])
+        _, tree, sizes = np.unique(pool["_tree"], return_inverse=True, return_counts=True)
+        limit = int(np.ceil(np.log2(max(2, min(max_samples, sizes.max())))))
+        nodes = _grow(pool[features].to_numpy(dtype=float), tree, limit, np.random.default_rng(seed))
+        row = {k: [pool[k].iloc[0]] for k in keys} | {"n_fit": [float(sizes.mean())], "trees": [len(sizes)]}
+        return pd.DataFrame(row | {name: [column] for name, column in nodes.items()})
 
     return build
 
@@ -121,13 +139,15 @@ def forest_scores(
     keys: Sequence[str] = SERIES,
     identity: Sequence[str] = ("time",),
     trees: int = 100,
+    max_samples: int = 256,
     seed: int = 42,
     min_rows: int = 10,
     fit: Column | None = None,
 ) -> DataFrame:
     """Rows of groups with at least ``min_rows`` fitting rows, with ``score`` in (0, 1).
 
-    ``identity``: columns that tell the rows of a group apart (they seed the sampling).
+    ``identity``: columns that tell the rows of a group apart (they decide the draws).
+    ``max_samples``: rows a tree is expected to draw, the method's own subsample.
     ``fit``: rows the forest learns from (default all); every row is scored.
     """
     keys, features = list(keys), list(features)
@@ -135,10 +155,10 @@ def forest_scores(
     sizes = ready.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count_if("_fit").alias("_fits")).where(F.col("_fits") >= min_rows)
     sized = ready.join(sizes, keys)
     order = F.xxhash64(F.lit(seed), *keys, *identity)
-    chosen = F.pmod(order, F.lit(1_000_000_007)) < F.lit(POOL * 1_000_000_007.0) / F.col("_fits")
-    pool = sized.where(F.col("_fit") & chosen).select(*keys, *[F.col(f).cast("double").alias(f) for f in features], order.alias("_order"))
+    tree = F.explode(draws([*keys, *identity], F.col("_fits"), trees, max_samples, seed)).alias("_tree")
+    pool = sized.where("_fit").select(*keys, *[F.col(f).cast("double").alias(f) for f in features], order.alias("_order"), tree)
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, trees, seed), f"{key_ddl}, {MODEL}")
+    models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, max_samples, seed), f"{key_ddl}, {MODEL}")
 
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     return apply_model(
@@ -168,24 +188,44 @@ def apply_model(
     return dealt.groupBy(*grouping).cogroup(copies.groupBy(*grouping)).applyInPandas(run, schema)
 
 
-def cut_by_share(scored: DataFrame, share: Column | float, *, keys: Sequence[str] = SERIES, among: Column | None = None) -> DataFrame:
-    """Add ``is_outlier``: fewer than share · n rows of the group score higher.
+def cut_by_share(scored: DataFrame, share: Column | float, *, keys: Sequence[str] = SERIES, identity: Sequence[str] = ("time",), among: Column | None = None) -> DataFrame:
+    """Add ``is_outlier``: the ceil(share * n) rows of a group with the highest scores.
 
-    ``among``: rows that set the cut (default all). ``share`` may differ per group.
+    Equal scores are ranked by a hash of ``identity``. ``among``: rows that set the cut
+    (default all). ``share`` may differ per group.
     """
     keys = list(keys)
-    base = scored.where(among) if among is not None else scored
-    slots = base.withColumn("_wish", share if isinstance(share, Column) else F.lit(float(share))).groupBy(*keys, "score").agg(
-        F.count("*").alias("_c"), F.max("_wish").alias("_wish")
-    )
+    tie = F.shiftrightunsigned(F.xxhash64(*keys, *identity), 1)
+    rows = scored.withColumns({"_tie": tie, "_bucket": F.pmod(tie, F.lit(TIE_BUCKETS)).cast("int")})
+    base = rows.where(among) if among is not None else rows
+    wish = share if isinstance(share, Column) else F.lit(float(share))
     side = Window.partitionBy(*keys)
-    above = F.coalesce(F.sum("_c").over(side.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = slots.withColumn("_above", above).withColumn("_total", F.sum("_c").over(side)).withColumn("_wish", F.max("_wish").over(side))
-    cut = ranked.where(F.col("_above") < F.col("_wish") * F.col("_total")).groupBy(*keys).agg(F.min("score").alias("_cut"))
-    return scored.join(cut, keys, "left").withColumn("is_outlier", F.coalesce(F.col("score") >= F.col("_cut"), F.lit(False))).drop("_cut")
-
-
-def outliers(df: DataFrame, features: Sequence[str] = ("value",), contamination: float = 0.1, *, keys: Sequence[str] = SERIES, **options) -> DataFrame:
+    before = Window.unboundedPreceding, -1
+
+    # Counts per score, from the top: the score at which the wanted number is reached.
+    slots = base.withColumn("_wish", wish).groupBy(*keys, "score").agg(F.count("*").alias("_c"), F.max("_wish").alias("_wish"))
+    above = F.coalesce(F.sum("_c").over(side.orderBy(F.col("score").desc()).rowsBetween(*before)), F.lit(0))
+    wanted = F.ceil(F.max("_wish").over(side) * F.sum("_c").over(side) - 1e-9)
+    at = slots.select(*keys, F.col("score").alias("_cut"), "_c", above.alias("_above"), wanted.alias("_wanted"))
+    at = at.where((F.col("_above") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_above") + F.col("_c"))).select(*keys, "_cut", (F.col("_wanted") - F.col("_above")).alias("_left"))
+
+    # Among the rows of that score: counts per hash bucket, then the rows of one bucket.
+    level = base.join(at, keys).where(F.col("score") == F.col("_cut")).select(*keys, "_tie", "_bucket", "_left")
+    filled = level.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"), F.max("_left").alias("_left"))
+    under = F.coalesce(F.sum("_c").over(side.orderBy("_bucket").rowsBetween(*before)), F.lit(0))
+    last = filled.select(*keys, F.col("_bucket").alias("_last"), "_c", under.alias("_under"), "_left")
+    last = last.where((F.col("_under") < F.col("_left")) & (F.col("_left") <= F.col("_under") + F.col("_c")))
+    some = level.drop("_left").join(last.select(*keys, "_last", (F.col("_left") - F.col("_under")).alias("_rest")), keys).where(F.col("_bucket") == F.col("_last"))
+    numbered = some.withColumn("_n", F.row_number().over(side.orderBy("_tie"))).where(F.col("_n") <= F.col("_rest"))
+    edge = numbered.groupBy(*keys).agg(F.max("_last").alias("_last"), F.max("_tie").alias("_edge"))
+
+    tied = (F.col("_bucket") < F.col("_last")) | ((F.col("_bucket") == F.col("_last")) & (F.col("_tie") <= F.col("_edge")))
+    is_outlier = (F.col("score") > F.col("_cut")) | ((F.col("score") == F.col("_cut")) & tied)
+    judged = rows.join(at.drop("_left").join(edge, keys), keys, "left").withColumn("is_outlier", F.coalesce(is_outlier, F.lit(False)))
+    return judged.drop("_tie", "_bucket", "_cut", "_last", "_edge")
+
+
+def outliers(df: DataFrame, features: Sequence[str] = ("value",), contamination: float = 0.1, *, keys: Sequence[str] = SERIES, identity: Sequence[str] = ("time",), **options) -> DataFrame:
     """Fit, score and flag in one go; the scores are written once and read twice."""
-    return cut_by_share(cut_lineage(forest_scores(df, features, keys=keys, **options)), contamination, keys=keys)
-
+    scored = cut_lineage(forest_scores(df, features, keys=keys, identity=identity, **options))
+    return cut_by_share(scored, contamination, keys=keys, identity=identity)

@@ -86,7 +86,13 @@ def compare_counts(before: DataFrame, after: DataFrame, by: Sequence[str] = SERI
 
 
 def clip_and_union(df: DataFrame, sigma_times: DataFrame, external: DataFrame) -> DataFrame:
-    """External times inside each unit's own range, united with its sigma times."""
+    """External times inside each unit's own range, united with its sigma times.
+
+    A unit's range is laid out in months, so the join is an equi-join on the month.
+    """
     ranges = df.groupBy(*UNIT).agg(F.min("time").alias("_from"), F.max("time").alias("_to"))
-    inside = external.select("time").distinct().join(ranges, (F.col("time") >= F.col("_from")) & (F.col("time") <= F.col("_to")))
+    months = F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.make_ym_interval(F.lit(0), F.lit(1)))
+    spread = ranges.withColumn("_month", F.explode(months))
+    asked = external.select("time").distinct().withColumn("_month", F.trunc("time", "month"))
+    inside = asked.join(spread, "_month").where((F.col("time") >= F.col("_from")) & (F.col("time") <= F.col("_to")))
     return sigma_times.select(*UNIT, "time").union(inside.select(*UNIT, "time")).distinct()

@@ -23,8 +23,8 @@ VECTOR = "array<double>"
 
 # -- matrices --------------------------------------------------------------------------
 
-def chosen_tags(df: DataFrame, max_features: int = 20) -> DataFrame:
-    """Per unit one speed tag (else the first tag) and the next ``max_features`` by name."""
+def chosen_tags(df: DataFrame, max_features: int | None = None) -> DataFrame:
+    """Per unit one speed tag (else the first tag) and the next ``max_features`` by name (None: all)."""
     tags = df.select(*SERIES).distinct()
     upper, is_speed = F.upper("tag"), F.lit(False)
     for part in SPEED_PARTS:
@@ -33,13 +33,14 @@ def chosen_tags(df: DataFrame, max_features: int = 20) -> DataFrame:
     lead = F.coalesce(F.min(F.when(is_speed, F.col("tag"))).over(unit), F.min("tag").over(unit))
     marked = tags.withColumn("_lead", F.col("tag") == lead)
     place = F.row_number().over(unit.orderBy(F.col("_lead").desc(), "tag"))
-    return marked.withColumn("place", place).where(F.col("place") <= max_features + 1).drop("_lead")
+    placed = marked.withColumn("place", place).drop("_lead")
+    return placed if max_features is None else placed.where(F.col("place") <= max_features + 1)
 
 
-def feature_matrix(df: DataFrame, minutes: int = 60, max_features: int = 20) -> DataFrame:
+def feature_matrix(df: DataFrame, minutes: int = 60, max_features: int | None = None) -> DataFrame:
     """M4: (unit, time, features): bucket means filled forward, complete rows only.
 
-    The vector is bounded by the feature count; tags keep their place in it.
+    One number per tag of the unit (or the first ``max_features``); tags keep their place.
     """
     places = chosen_tags(df, max_features)
     widths = places.groupBy(*UNIT).agg(F.count("*").alias("_k"))
@@ -61,8 +62,8 @@ def split_baseline(matrix: DataFrame, fraction: float) -> DataFrame:
 def moments(rows: DataFrame) -> DataFrame:
     """Per unit: rows, mean vector and covariance (ddof 1, flattened).
 
-    Tasks sum outer products per Arrow batch; one small row per batch is added up. Rows
-    are centred by the unit's mean first to keep the sums accurate.
+    Every task adds up outer products and leaves one small row per unit. Rows are centred
+    by the unit's mean first to keep the sums accurate.
     """
     parts = rows.select(*UNIT, F.posexplode("features").alias("_i", "_x"))
     means = parts.groupBy(*UNIT, "_i").agg(F.avg("_x").alias("_m")).groupBy(*UNIT).agg(
@@ -71,12 +72,17 @@ def moments(rows: DataFrame) -> DataFrame:
     centred = rows.join(means, KEYS).select(*UNIT, "centre", F.zip_with("features", "centre", lambda x, c: x - c).alias("_d"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
         for batch in batches:
             for unit, group in batch.groupby(KEYS, sort=False):
                 d = np.stack(group["_d"].to_numpy())
-                yield pd.DataFrame(
-                    {"plant": [unit[0]], "unit": [unit[1]], "n": [len(d)], "centre": [group["centre"].iloc[0]], "s": [d.sum(axis=0)], "q": [(d.T @ d).ravel()]}
-                )
+                part = [len(d), d.sum(axis=0), (d.T @ d).ravel()]
+                if unit in sums:
+                    sums[unit][1:] = [x + y for x, y in zip(sums[unit][1:], part, strict=True)]
+                else:
+                    sums[unit] = [group["centre"].iloc[0], *part]
+        for unit, (centre, n, s, q) in sums.items():
+            yield pd.DataFrame({"plant": [unit[0]], "unit": [unit[1]], "n": [n], "centre": [centre], "s": [s], "q": [q]})
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
         n, s, q = int(part["n"].sum()), np.sum(part["s"].to_list(), axis=0), np.sum(part["q"].to_list(), axis=0)
@@ -143,18 +149,19 @@ def anomaly_rates(judged: DataFrame) -> DataFrame:
     ).withColumn("anomaly_rate", F.coalesce(F.try_divide(F.col("anomalies").cast("double"), F.col("test_rows")), F.lit(0.0)))
 
 
-def unpacked(matrix: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
-    """Features as columns; a unit with fewer features gets constants, which never split."""
+def unpacked(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All features as columns, as many as the widest unit has; others get constants, which never split."""
+    width = matrix.agg(F.max(F.size("features"))).first()[0] or 0
     names = [f"f{i}" for i in range(width)]
     cols = [F.coalesce(F.try_element_at("features", F.lit(i + 1)), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
     return matrix.select("*", *cols).drop("features"), names
 
 
-def matrix_forest(matrix: DataFrame, *, width: int = 21, contamination: float = 0.1, split: float | None = None, trees: int = 100) -> DataFrame:
+def matrix_forest(matrix: DataFrame, *, contamination: float = 0.1, split: float | None = None, trees: int = 100) -> DataFrame:
     """M7 / M8: forest on the matrix, fitted on the first share when ``split`` is given."""
     matrix = cut_lineage(matrix)
     rows = split_baseline(matrix, split) if split is not None else matrix.withColumn("is_base", F.lit(True))
-    flat, names = unpacked(rows, width)
+    flat, names = unpacked(rows)
     scored = cut_lineage(forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base")))
     cut = forest.cut_by_share(scored, contamination, keys=UNIT, among=F.col("is_base"))
     return cut.withColumn("is_anomaly", F.col("is_outlier") & (~F.col("is_base") if split is not None else F.lit(True)))
@@ -162,11 +169,14 @@ def matrix_forest(matrix: DataFrame, *, width: int = 21, contamination: float =
 
 # -- statistics, trends, forecasts -----------------------------------------------------
 
-def trends(df: DataFrame, minutes: int = 60, top: int = 10) -> DataFrame:
-    """Level, quartiles, slope per step and volatility of the first tags per unit."""
-    first = F.row_number().over(Window.partitionBy(*UNIT).orderBy("tag"))
-    tags = df.select(*SERIES).distinct().withColumn("_r", first).where(F.col("_r") <= top).select(*SERIES)
-    grid = detectors.on_grid(valid(df).join(tags, list(SERIES), "left_semi"), minutes)
+def trends(df: DataFrame, minutes: int = 60, top: int | None = None) -> DataFrame:
+    """Level, quartiles, slope per step and volatility of every tag (or the first ``top`` per unit)."""
+    rows = valid(df)
+    if top is not None:
+        first = F.row_number().over(Window.partitionBy(*UNIT).orderBy("tag"))
+        tags = df.select(*SERIES).distinct().withColumn("_r", first).where(F.col("_r") <= top).select(*SERIES)
+        rows = rows.join(tags, list(SERIES), "left_semi")
+    grid = detectors.on_grid(rows, minutes)
     filled = sequence.running(sequence.carry(grid, "value", "value", backward=True), {"_pos": F.lit(1)})
     stats = filled.groupBy(*SERIES).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -186,32 +196,33 @@ def lag_features(df: DataFrame) -> DataFrame:
     return sequence.strip(full).drop("diff").dropna(subset=list(LAG_FEATURES))
 
 
-def forecasts(df: DataFrame, top: int = 5, trees: int = 50, min_rows: int = 20, seed: int = 42) -> DataFrame:
-    """A random forest per tag for the ``top`` most frequent tags: error, importances.
+def forecasts(df: DataFrame, trees: int = 50, min_rows: int = 50, seed: int = 42) -> DataFrame:
+    """One random forest over the lag features of all series with ``min_rows`` readings.
 
-    The list of tags is a top-k report of at most ``top`` rows; each fit is one MLlib job
-    over that tag's rows.
+    Values and lags are standardised per series, so one MLlib fit serves every series, however
+    many there are; the error per series, back in its own unit, comes from one grouped pass.
+    The importances are those of the common forest.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    spark = df.sparkSession
-    counts = df.groupBy(*SERIES).agg(F.count("*").alias("n")).where(F.col("n") >= 50)
-    chosen = counts.orderBy(F.col("n").desc(), *SERIES).limit(top).collect()
+    stats = valid(df).groupBy(*SERIES).agg(F.count("*").alias("n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    rows = lag_features(df).join(stats.where(F.col("n") >= min_rows), list(SERIES))
+    scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
+    level = [c for c in ("value", *LAG_FEATURES) if c != "std5"]
+    scaled = rows.withColumns({f"_{c}": (F.col(c) - F.col("_m")) / scale for c in level} | {"_std5": F.col("std5") / scale})
     test = backtest.hash_fraction(seed, *backtest.identity_text()) < 0.2
-    assembler = VectorAssembler(inputCols=list(LAG_FEATURES), outputCol="inputs")
-    out = []
-    for row in chosen:
-        same = [F.col(k) == row[k] for k in SERIES]
-        data = assembler.transform(lag_features(df.where(same[0] & same[1] & same[2])).withColumn("_test", test))
-        train = data.where(~F.col("_test"))
-        if train.count() < min_rows:
-            continue
-        model = RandomForestRegressor(featuresCol="inputs", labelCol="value", numTrees=trees, seed=seed).fit(train)
-        error = model.transform(data.where("_test")).agg(F.avg(F.pow(F.col("value") - F.col("prediction"), 2)).alias("mse"), F.count("*").alias("k")).first()
-        out.append((*[row[k] for k in SERIES], row["n"], error["k"], error["mse"], *[float(x) for x in model.featureImportances]))
+    assembler = VectorAssembler(inputCols=[f"_{c}" for c in LAG_FEATURES], outputCol="inputs")
+    data = cut_lineage(assembler.transform(scaled).select(*SERIES, "n", "_value", "inputs", scale.alias("_scale"), test.alias("_test")))
     schema = "plant string, unit string, tag string, n long, test_rows long, mse double, " + ", ".join(f"{f}_weight double" for f in LAG_FEATURES)
-    return spark.createDataFrame(out, schema)
+    train = data.where(~F.col("_test"))
+    if train.isEmpty():
+        return df.sparkSession.createDataFrame([], schema)
+    model = RandomForestRegressor(featuresCol="inputs", labelCol="_value", numTrees=trees, seed=seed).fit(train)
+    off = (F.col("_value") - F.col("prediction")) * F.col("_scale")
+    held = F.count_if("_test")
+    errors = model.transform(data).groupBy(*SERIES).agg(F.first("n").alias("n"), held.alias("test_rows"), F.avg(F.when(F.col("_test"), off * off)).alias("mse"))
+    return errors.select("*", *[F.lit(float(w)).alias(f"{f}_weight") for f, w in zip(LAG_FEATURES, model.featureImportances.toArray(), strict=True)])
 
 
 # -- reconstruction --------------------------------------------------------------------
@@ -243,7 +254,8 @@ def named_features(df: DataFrame, features: Sequence[str], mapping: Mapping[str,
     named = tags.withColumn("_f", F.array_compact(F.array(*hits))).select(*SERIES, F.explode("_f").alias("feature"))
     found = named.select(*UNIT, "feature").distinct().groupBy(*UNIT).agg(F.count("*").alias("_k"))
     usable = found.where((F.col("_k") / len(features) >= min_coverage) & (F.col("_k") >= 2))
-    grid = sequence.strip(detectors.on_grid(valid(df), minutes)).join(named, list(SERIES))
+    # The grid spans the whole unit's time, so its ends are taken before other tags go.
+    grid = sequence.strip(detectors.on_grid(valid(df), minutes, wanted=named.select(*SERIES).distinct())).join(named, list(SERIES))
     means = grid.groupBy(*UNIT, "time", "feature").agg(F.avg("value").alias("v")).where(F.col("v").isNotNull())
     wide = means.groupBy(*UNIT, "time").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("_v"))
     return wide.join(usable, KEYS).where(F.size("_v") == F.col("_k")).select(*UNIT, "time", F.col("_v.feature").alias("names"), F.col("_v.v").alias("features"))
@@ -281,7 +293,7 @@ def _scored(base: DataFrame, after: DataFrame, penalty: float) -> DataFrame:
     return joined.withColumn("score", F.col("after_rate") - F.col("base_rate") - penalty * F.col("base_rate"))
 
 
-def tune_distance(df: DataFrame, *, fractions: Sequence[float] = (0.6, 0.7), quantiles: Sequence[float] = (0.99, 0.995), max_features: int = 10, rate: float = 0.005, penalty: float = 2.0, seed: int = 42) -> DataFrame:
+def tune_distance(df: DataFrame, *, fractions: Sequence[float] = (0.6, 0.7), quantiles: Sequence[float] = (0.99, 0.995), max_features: int | None = None, rate: float = 0.005, penalty: float = 2.0, seed: int = 42) -> DataFrame:
     """Grid over baseline share and threshold quantile, scored by injected spikes.
 
     The two matrices are built once; every grid point reads them.
@@ -296,14 +308,14 @@ def tune_distance(df: DataFrame, *, fractions: Sequence[float] = (0.6, 0.7), qua
     return out
 
 
-def tune_forest(df: DataFrame, *, contaminations: Sequence[float] = (0.01, 0.02, 0.03), tree_counts: Sequence[int] = (100,), max_features: int = 24, rate: float = 0.005, penalty: float = 2.0, seed: int = 42) -> DataFrame:
+def tune_forest(df: DataFrame, *, contaminations: Sequence[float] = (0.01, 0.02, 0.03), tree_counts: Sequence[int] = (100,), max_features: int | None = None, rate: float = 0.005, penalty: float = 2.0, seed: int = 42) -> DataFrame:
     """Grid over contamination and trees; one forest per tree count, one cut per contamination."""
     matrices = [cut_lineage(feature_matrix(d, max_features=max_features)) for d in (df, backtest.inject(df, rate, seed))]
     out = None
     for trees in tree_counts:
         scored = []
         for matrix in matrices:
-            flat, names = unpacked(split_baseline(matrix, 0.7), max_features + 1)
+            flat, names = unpacked(cut_lineage(split_baseline(matrix, 0.7)))
             scored.append(cut_lineage(forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base"))))
         for contamination in contaminations:
             pair = []

@@ -194,8 +194,9 @@ def most_variable(df: DataFrame, top: int = 8, min_points: int = 100) -> DataFra
     return cv.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def top_per_unit(table: DataFrame, column: str, k: int, by: Sequence[str] = UNIT, tie: Sequence[str] = ("tag",)) -> DataFrame:
-    """O2 / O3: the k rows per unit with the largest ``column`` (a top-k report)."""
+def top_per_unit(table: DataFrame, column: str, k: int | None, by: Sequence[str] = UNIT, tie: Sequence[str] = ("tag",)) -> DataFrame:
+    """O2 / O3: the k rows per unit with the largest ``column`` (a top-k report; None ranks all)."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(column).desc(), *tie))
-    return table.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = table.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 

@@ -76,12 +76,12 @@ def robust_distance(spark, sf):
 @query("M7_matrix_forest_split", "plant unit rows:l test_rows:l anomalies:l anomaly_rate:d")
 def matrix_forest_split(spark, sf):
     m = multivariate.feature_matrix(instruments(spark, sf))
-    return multivariate.anomaly_rates(multivariate.matrix_forest(m, width=5, split=0.7, contamination=0.05, trees=50))
+    return multivariate.anomaly_rates(multivariate.matrix_forest(m, split=0.7, contamination=0.05, trees=50))
 
 
 @query("M8_matrix_forest", "plant unit time:t score:d is_anomaly:b")
 def matrix_forest(spark, sf):
-    return multivariate.matrix_forest(multivariate.feature_matrix(instruments(spark, sf)), width=5, trees=50)
+    return multivariate.matrix_forest(multivariate.feature_matrix(instruments(spark, sf)), trees=50)
 
 
 @query("M10_trends", "plant unit tag n:l mean:d std:d min:d max:d slope:d volatility:d q25:d q75:d", """
@@ -113,9 +113,9 @@ def two_sigma_labels(spark, sf):
 
 @query("M12_long_series", "plant unit tag time:t value:d rank:l", """
     SELECT r.plant, r.unit, r.tag, time, value, rank FROM readings r JOIN (SELECT *, row_number() OVER (PARTITION BY plant, unit ORDER BY c DESC, tag) AS rank FROM (SELECT plant, unit, tag, count(*) AS c FROM readings GROUP BY ALL HAVING count(*) > 100)) k
-      ON r.plant = k.plant AND r.unit = k.unit AND r.tag = k.tag WHERE rank <= 2""", READINGS)
+      ON r.plant = k.plant AND r.unit = k.unit AND r.tag = k.tag""", READINGS)
 def long_series(spark, sf):
-    return backtest.long_series(readings(spark, sf), top=2)
+    return backtest.long_series(readings(spark, sf))
 
 
 @query("M13_unit_summary", "plant unit rows:l values:l tags:l first_time:t last_time:t", """
@@ -252,4 +252,4 @@ def distance_grid(spark, sf):
 
 @query("B11_forest_grid", "plant unit contamination:d trees:l base_rate:d after_rate:d score:d")
 def forest_grid(spark, sf):
-    return multivariate.best_setting(multivariate.tune_forest(instruments(spark, sf), contaminations=(0.01, 0.03), tree_counts=(50,), max_features=4))
+    return multivariate.best_setting(multivariate.tune_forest(instruments(spark, sf), contaminations=(0.01, 0.03), tree_counts=(50,)))

@@ -131,16 +131,13 @@ def categories(spark, sf):
     return names.select("source", F.array_join(tags.categories(F.col("source")), ",").alias("categories"))
 
 
-@query("X11_speed_names", "source pure:b broad:b", """
-    SELECT source, regexp_matches(t, 'speed|rpm|freq|hz|rps|vfd|rotation|velocity') AS pure,
+@query("X11_speed_names", "doc_id:l pure:b broad:b", """
+    SELECT doc_id, regexp_matches(t, 'speed|rpm|freq|hz|rps|vfd|rotation|velocity') AS pure,
            regexp_matches(t, 'speed|rpm|velocity|rate|flow|freq|hz|rps|rotation|spin|motor|drive|pump|compressor|turbine|fan|agitator|mixer|stirrer') AS broad
-    FROM (SELECT doc_id || ' ' || substr(text, 1, 60) AS source, lower(text) AS t FROM documents)""")
+    FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def speed_names(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
-        F.concat_ws(" ", F.col("doc_id").cast("string"), F.substring(text, 1, 60)).alias("source"),
-        tags.is_pure_speed(text).alias("pure"), tags.is_broad_speed(text).alias("broad"),
-    )
+    return table(spark, sf, "documents").select("doc_id", tags.is_pure_speed(text).alias("pure"), tags.is_broad_speed(text).alias("broad"))
 
 
 KINDS = f"{SHIPMENTS}, peaks AS (SELECT unit, CASE tag WHEN 'AF' THEN 'main_RPM' WHEN 'RF' THEN 'drive_Hz' WHEN 'NO' THEN 'pump' WHEN 'NF' THEN 'turbine' WHEN 'AO' THEN 'compressor' ELSE 'x' END AS name, max(value) / 100 AS top FROM shipments GROUP BY ALL)"

@@ -116,7 +116,7 @@ def spiky(spark, n=1000):
 def test_forest_properties(spark):
     df = spiky(spark)
     found = forest.outliers(df, contamination=0.02).toPandas().sort_values("time").reset_index(drop=True)
-    assert len(found) == 1000 and 0.015 <= found["is_outlier"].mean() <= 0.025
+    assert len(found) == 1000 and found["is_outlier"].sum() == 20
     assert all(found["is_outlier"][at] for at in (100, 250, 400, 600, 800))
     again = forest.outliers(df.repartition(5), contamination=0.02).toPandas().sort_values("time").reset_index(drop=True)
     assert found["score"].equals(again["score"])
@@ -124,6 +124,22 @@ def test_forest_properties(spark):
     assert (scaled["is_outlier"] == found["is_outlier"]).mean() > 0.995
 
 
+def test_forest_cut_is_exact_among_ties(spark):
+    flat = spark.range(5_003).select(F.lit("P").alias("plant"), F.lit("U").alias("unit"), F.lit("T").alias("tag"), F.timestamp_seconds("id").alias("time"), F.lit(1.0).alias("value"))
+    assert forest.outliers(flat, contamination=0.1, trees=20).where("is_outlier").count() == 501
+
+
+def test_forest_draws_from_the_whole_group(spark):
+    n, trees = 100_000, 100
+    rows = spark.range(n).withColumn("trees", forest.draws(["id"], F.lit(n), trees, 256, 42)).select("id", F.explode("trees").alias("tree")).toPandas()
+    sizes = rows.groupby("tree").size()
+    assert len(sizes) == trees and 180 < sizes.min() and sizes.max() < 340
+    # Ten equal parts of the group are drawn from alike; a small group goes whole into every tree.
+    assert (rows["id"] // (n // 10)).value_counts(normalize=True).between(0.09, 0.11).all()
+    few = spark.range(50).withColumn("trees", forest.draws(["id"], F.lit(50), 7, 256, 42)).select(F.size("trees").alias("n"))
+    assert {r.n for r in few.collect()} == {7}
+
+
 def test_forest_shares_agree(spark, monkeypatch):
     df = spiky(spark)
     whole = forest.forest_scores(df, ["value"], trees=20).toPandas().sort_values("time")["score"].to_numpy()
