@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def roots(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(fp, least, root) per distinct fingerprint: the smallest id that has it, the smallest fingerprint of its component."""
-    classes = cut(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")))
+    classes = cut(prints.groupBy(F.col(f"`{fp_col}`").alias("fp")).agg(F.min(id_col).alias("least")))
     found = components(links(classes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
     return classes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
@@ -181,9 +181,9 @@ def clustered(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerpr
     """
     labelled = roots(prints, id_col, fp_col, distance, blocks)
     least = _spread(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
-    members = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
+    members = labelled.select("fp", "root").join(least, "root").select(F.col("fp").alias("__llm_fp"), "component_id")
     rest = [F.col(f"`{c}`") for c in prints.columns if c != "component_id"]
-    return prints.select(*rest).join(_spread(members), F.col(fp_col) == F.col("fp"), "left").drop("fp")
+    return prints.select(*rest).join(_spread(members), F.col(f"`{fp_col}`") == F.col("__llm_fp"), "left").drop("__llm_fp")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
