@@ -30,6 +30,7 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,12 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed >> 8, packed >> 1 & 127
 
 
+def _packed(texts: pd.Series) -> pd.Series:
+    """Texts travel compressed: three shuffles carry them."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pd.Series([pack(t.encode("utf-8", "surrogatepass")) for t in texts])
+
+
 def _scan(rows: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd.DataFrame]:
     for batch in rows:
         out = []
@@ -123,10 +130,11 @@ def _scan(rows: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd.Data
 
 
 def _path_rows(rows: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in rows:
         out = []
         for key, text, repeated, weight in zip(batch["key"], batch["text"], batch["edges"], batch["weight"], strict=True):
-            words = Words(text.encode("utf-8", "surrogatepass"), (0, 1))
+            words = Words(unpack(text), (0, 1))
             first, size = (x[np.sort(repeated)] for x in words.edges(window, k)[:2])
             h1, h2 = (words.hashes(first, first + size - 1 + window, seed).view(np.int64) for seed in (0, 1))
             out.append(pd.DataFrame({"h1": h1, "h2": h2, "key": key, "n_words": words.n, "path": _pack(first, size), "weight": weight}))
@@ -135,10 +143,11 @@ def _path_rows(rows: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd
 
 
 def _window_rows(rows: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in rows:
         out = []
         for key, text, repeated, weight, settled in zip(*(batch[c] for c in ("key", "text", "edges", "weight", "settled")), strict=True):
-            words = Words(text.encode("utf-8", "surrogatepass"), (0, 1))
+            words = Words(unpack(text), (0, 1))
             first, size = (x[repeated] for x in words.edges(window, k)[:2])
             open_ = np.zeros(words.n + 1, np.int64)
             np.add.at(open_, first, 1)
@@ -156,10 +165,11 @@ def _window_rows(rows: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[
 
 
 def _remove(rows: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in rows:
         out = []
         for key, text, settled, starts in zip(*(batch[c] for c in ("key", "text", "settled", "starts")), strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
+            words = unpack(text).split()
             edge = np.zeros(len(words) + 1, np.int64)
             if settled is not None:
                 low, size = _unpack(np.asarray(settled, np.int64))
@@ -212,7 +222,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = flagged.join(classes, ["key", "n_words"]).withColumnsRenamed({"key": "of", "doc_id": "rep"})
     # One row of each text goes on; equal ids with equal texts are the same row twice.
     same = (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    texts = written(source.join(wanted, same).select("key", "n_words", "text", "edges", "weight"))
+    packed = source.withColumn("text", F.pandas_udf(_packed, "binary")("text"))
+    texts = written(packed.join(wanted, same).select("key", "n_words", "text", "edges", "weight"))
 
     # 2. Paths seen twice are compacted: their windows are settled in all sources.
     kind = "h1 long, h2 long, key long, n_words long"
