@@ -206,9 +206,12 @@ def backfill_windows(ends: DataFrame, total_days: int = 365, window_days: int =
 
 
 def sessions(df: DataFrame, gap: str = "1 hour") -> DataFrame:
-    """Stretches of readings less than one gap apart, as session windows."""
-    out = df.groupBy(*SERIES, F.session_window("time", gap).alias("_s")).agg(F.count("*").alias("records"), F.max("time").alias("last_time"))
-    return out.select(*SERIES, F.col("_s.start").alias("session_start"), "last_time", "records")
+    """Stretches of readings at most one gap apart, by run numbers, so that a hot series is cut."""
+    previous = agg.with_previous(df.select(*SERIES, "time"), ("time",))
+    late = F.col("prev_time").isNull() | (F.col("time") > F.col("prev_time") + F.expr(f"INTERVAL {gap}"))
+    runs = sequence.run_ids(previous, late)
+    out = runs.groupBy(*SERIES, "run_id").agg(F.min("time").alias("session_start"), F.max("time").alias("last_time"), F.count("*").alias("records"))
+    return out.drop("run_id")
 
 
 # -- quality ---------------------------------------------------------------------------

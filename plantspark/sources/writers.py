@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,10 +32,21 @@ def append(df: DataFrame, path: str) -> None:
     aligned(df, target).write.mode("append").parquet(path)
 
 
+def in_folders(folders: Sequence[Sequence], partitions: Sequence[str] = PARTITIONS) -> Column:
+    """Rows of the named partition folders: literals over partition columns alone, so that a scan prunes by it."""
+    name = lambda values: "/".join("" if v is None else str(v) for v in values)
+    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in partitions]).isin([name(f) for f in folders])
+
+
 def with_calendar(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.year("time")).withColumn("month", F.month("time"))
 
 
+def clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a folder together, tasks sized by data, sorted for pruning within files."""
+    return df.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*dict.fromkeys([*keys, "tag", "time"]))
+
+
 def write_dataset(
     df: DataFrame,
     path: str,
@@ -53,9 +64,7 @@ def write_dataset(
     """
     keys = ["plant", "unit", *(["tag"] if by_tag else []), "year", "month"]
     (
-        with_calendar(df)
-        .hint("rebalance", *[F.col(k) for k in keys])
-        .sortWithinPartitions(*dict.fromkeys([*keys, "tag", "time"]))
+        clustered(with_calendar(df), keys)
         .write.mode(mode)
         .option("maxRecordsPerFile", max_rows_per_file)
         .option("compression", compression)
@@ -72,8 +81,8 @@ def merge_files(spark: SparkSession, paths: Sequence[str], path: str) -> None:
 
 
 def overwrite_touched(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS) -> None:
-    """Rewrite only the partition folders present in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    """Rewrite only the partition folders present in ``df``, each in files sized by data."""
+    clustered(df, partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def export_report(df: DataFrame, folder: str) -> None:

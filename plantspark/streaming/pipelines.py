@@ -10,7 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,93 +98,113 @@ def run_counter(stream: DataFrame, z: float = 2.5, min_points: int = 20) -> Data
     State per series: moments of all readings so far and the run lengths; a reading is
     judged by the moments that include it. The ninety-day window of the batch detector
     is not kept in state, so counts agree with it only while no reading has left that
-    window. Work per batch and series is bounded by the batch.
+    window. A task holds the new readings of one series as numbers: bound the batch by
+    ``files_per_batch`` of ``read_stream``.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows, mean, m2, flagged, run, longest = state.get if state.exists else (0, 0.0, 0.0, 0, 0, 0)
-        readings = pd.concat(list(batches)).sort_values(["time", "seq"])
-        for value in readings["value"].dropna().to_numpy():
-            rows += 1
-            delta = value - mean
-            mean += delta / rows
-            m2 += delta * (value - mean)
-            std = (m2 / (rows - 1)) ** 0.5 if rows > 1 else 0.0
-            hit = rows >= min_points and std > 0 and abs(value - mean) / std >= z
-            flagged += hit
-            run = run + 1 if hit else 0
-            longest = max(longest, run)
-        state.update((rows, float(mean), float(m2), int(flagged), int(run), int(longest)))
-        yield pd.DataFrame(
-            {"plant": [key[0]], "unit": [key[1]], "tag": [key[2]], "time": [readings["time"].max()], "rows": [rows], "flagged": [flagged], "run": [run], "longest_run": [longest]}
-        )
+        parts = [(b["time"].to_numpy(), b["seq"].to_numpy(), b["value"].to_numpy(float)) for b in batches]
+        times, seqs, values = (np.concatenate(column) for column in zip(*parts, strict=True))
+        values = values[np.lexsort((seqs, times))]
+        values = values[~np.isnan(values)]
+        if len(values):
+            # Running moments around the mean so far (the first value at the start).
+            centre = mean if rows else values[0]
+            count = rows + np.arange(1, len(values) + 1)
+            away = values - centre
+            means = centre + np.cumsum(away) / count
+            squares = np.maximum(m2 + np.cumsum(away * away) - count * (means - centre) ** 2, 0.0)
+            std = np.sqrt(squares / np.maximum(count - 1, 1))
+            hit = (count >= min_points) & (std > 0) & (np.abs(values - means) >= z * std)
+            # A run's length at each hit: hits since the last miss, the earlier run included while there is none.
+            hits = np.cumsum(hit)
+            since = np.maximum.accumulate(np.where(hit, -1, hits))
+            lengths = np.where(hit, hits - np.maximum(since, 0) + np.where(since < 0, run, 0), 0)
+            rows, mean, m2 = int(count[-1]), float(means[-1]), float(squares[-1])
+            flagged, run, longest = int(flagged + hits[-1]), int(lengths[-1]), int(max(longest, lengths.max()))
+        state.update((rows, mean, m2, flagged, run, longest))
+        row = {"plant": key[0], "unit": key[1], "tag": key[2], "time": pd.Timestamp(times.max()), "rows": rows, "flagged": flagged, "run": run, "longest_run": longest}
+        yield pd.DataFrame([row])
 
     return stream.groupBy(*SERIES).applyInPandasWithState(step, RUN_OUTPUT, RUN_STATE, "append", "NoTimeout")
 
 
 # -- merging and monitoring ------------------------------------------------------------
 
-def merge_into_dataset(new: DataFrame, dataset: str, staging: str) -> None:
+def folders_of(batch: DataFrame) -> list:
+    """Partition folders a batch touches: units times months, bounded by ``files_per_batch``."""
+    return writers.with_calendar(batch).select(*writers.PARTITIONS).distinct().collect()
+
+
+def merge_into_dataset(new: DataFrame, dataset: str, staging: str, folders: list | None = None) -> None:
     """Merge readings into the partitioned dataset, new copies win.
 
-    Only the month folders the new readings touch are read and rewritten. The result is
-    staged first, since a plan must not overwrite its own input; running the same batch
-    again gives the same data.
+    Only the month folders the new readings touch are read (a literal partition filter)
+    and rewritten. The result is staged first, since a plan must not overwrite its own
+    input; running the same batch again gives the same data.
     """
     spark = new.sparkSession
     new = writers.with_calendar(new)
-    keys = list(writers.PARTITIONS)
+    folders = folders_of(new) if folders is None else folders
     try:
-        stored = spark.read.parquet(dataset)
-    except Exception as missing:  # first batch: nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        stored = spark.read.parquet(dataset).where(writers.in_folders(folders)).select(*new.columns)
+    except AnalysisException as missing:  # first batch: nothing is stored yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = new.limit(0)
-    touched = stored.join(new.select(*keys).distinct(), keys, "left_semi").select(*new.columns)
-    dedup.merge_new_wins(touched, new, (*SERIES, "time")).write.mode("overwrite").parquet(staging)
+    dedup.merge_new_wins(stored, new, (*SERIES, "time")).write.mode("overwrite").parquet(staging)
     writers.overwrite_touched(spark.read.parquet(staging), dataset)
 
 
-def ingest_new_files(spark: SparkSession, incoming: str, dataset: str, name: str) -> None:
+def ingest_new_files(spark: SparkSession, incoming: str, dataset: str, name: str, files_per_batch: int | None = None) -> None:
     """I4: new files of ``incoming`` merged into the dataset, then stop."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         merge_into_dataset(batch, dataset, f"{checkpoint_root(spark)}/staging/{name}")
 
-    each_batch(read_stream(spark, incoming), name, work)
+    each_batch(read_stream(spark, incoming, files_per_batch=files_per_batch), name, work)
 
 
-def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, results: str, name: str, max_age_hours: float = 1.0) -> None:
+def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, results: str, name: str, max_age_hours: float = 1.0, files_per_batch: int | None = None, look_back_days: float = 90) -> None:
     """One cycle: merge what arrived, then run the default detector on the units it refreshed.
 
-    Each batch leaves its findings, with the units' staleness, in its own folder of
-    ``results``, so a repeated batch replaces them.
+    The detector reads those units' folders of the last ``look_back_days`` only. Each batch
+    leaves its findings, with the units' staleness, in its own folder of ``results``, so a
+    repeated batch replaces them.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        folders = folders_of(batch)
         now = batch.select(F.max("time")).scalar()
-        refreshed = batch.select(*UNIT).distinct()
-        merge_into_dataset(batch, dataset, f"{checkpoint_root(spark)}/staging/{name}")
-        stored = spark.read.parquet(dataset).join(F.broadcast(refreshed), list(UNIT), "left_semi")
+        merge_into_dataset(batch, dataset, f"{checkpoint_root(spark)}/staging/{name}", folders)
+        units = writers.in_folders({(f.plant, f.unit) for f in folders}, UNIT)
+        since = now - F.make_dt_interval(F.lit(int(look_back_days)))
+        month = lambda y, m: y * 12 + m
+        recent = month(F.col("year"), F.col("month")) >= month(F.year(since), F.month(since))
+        stored = spark.read.parquet(dataset).where(units & recent & (F.col("time") >= since))
         table = detectors.sigma_runs(stored, gate=False)
         stale = health.stale_units(stored, max_age_hours, now).select(*UNIT, "age_hours", "is_stale")
         table.join(stale, list(UNIT)).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
-    each_batch(read_stream(spark, incoming), name, work)
+    each_batch(read_stream(spark, incoming, files_per_batch=files_per_batch), name, work)
 
 
-def monitor_fleet(spark: SparkSession, incoming: str, results: str, name: str, warn_hours: float = 0.5, limit_hours: float = 1.0) -> None:
+def monitor_fleet(spark: SparkSession, incoming: str, results: str, name: str, warn_hours: float = 0.5, limit_hours: float = 1.0, files_per_batch: int | None = None) -> None:
     """Newest reading per unit so far, judged after every batch.
 
-    Each batch leaves one row per unit; the status reads those rows, not the readings.
+    A batch leaves one merged row per unit, made of its own readings and the row the batch
+    before it left; no earlier batch is read again.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         seen = batch.groupBy("unit").agg(F.max("time").alias("last_time"), F.count("*").alias("records"))
-        seen.write.mode("overwrite").parquet(f"{results}/seen/batch={batch_id}")
-        units = spark.read.parquet(f"{results}/seen").where(F.col("batch") <= batch_id)
-        ages = units.groupBy("unit").agg(F.max("last_time").alias("last_time"), F.sum("records").alias("records"))
-        ages = ages.withColumn("age_hours", hours_between(units.select(F.max("last_time")).scalar(), F.col("last_time")))
+        if batch_id:
+            seen = seen.unionByName(spark.read.parquet(f"{results}/seen/{batch_id - 1}"))
+            seen = seen.groupBy("unit").agg(F.max("last_time").alias("last_time"), F.sum("records").alias("records"))
+        seen.write.mode("overwrite").parquet(f"{results}/seen/{batch_id}")
+        ages = spark.read.parquet(f"{results}/seen/{batch_id}")
+        ages = ages.withColumn("age_hours", hours_between(ages.select(F.max("last_time")).scalar(), F.col("last_time")))
         health.judged_fleet(ages, warn_hours, limit_hours).write.mode("overwrite").parquet(f"{results}/status/batch={batch_id}")
 
-    each_batch(read_stream(spark, incoming), name, work)
+    each_batch(read_stream(spark, incoming, files_per_batch=files_per_batch), name, work)

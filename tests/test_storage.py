@@ -84,3 +84,38 @@ def test_restarted_ingest_reads_only_new_files(spark, readings, tmp_path):
     out = spark.read.parquet(f"{base}/out")
     assert out.count() == r.count()
     assert out.where("seq = 0").first()["value"] == r.where("seq = 0").first()["value"] + 1
+
+
+def test_merge_reads_only_touched_folders(spark, readings, tmp_path):
+    path = str(tmp_path / "dataset")
+    r = readings.select(*KEYS, "time", "value", "seq")
+    months = [r.withColumn("time", F.col("time") + F.make_dt_interval(F.lit(31 * m))).withColumn("seq", F.col("seq") + 1000 * m) for m in range(3)]
+    for m in months:
+        pipelines.merge_into_dataset(m, path, str(tmp_path / "staging"))
+    before = {f.path: f.modificationTime for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime").collect()}
+    late = months[1].where("unit = 'U-1'").withColumn("value", F.col("value") + 1)
+    folders = pipelines.folders_of(late)
+    plan = spark.read.parquet(path).where(writers.in_folders(folders))._jdf.queryExecution().executedPlan().toString()
+    assert "concat_ws" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    pipelines.merge_into_dataset(late, path, str(tmp_path / "staging"))
+    after = {f.path: f.modificationTime for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime").collect()}
+    gone = {p.split("dataset/")[1].rsplit("/", 1)[0] for p in before.keys() - after.keys()}
+    assert gone == {f"plant={f.plant}/unit={f.unit}/year={f.year}/month={f.month}" for f in folders}
+    stored = spark.read.parquet(path)
+    assert stored.count() == sum(m.select(*KEYS, "time").distinct().count() for m in months)
+    changed = stored.join(late.select(*KEYS, "time", F.col("value").alias("new")), [*KEYS, "time"])
+    assert changed.where("value <> new").count() == 0 and changed.count() > 0
+
+
+def test_run_counter_agrees_for_any_batches(spark, readings, tmp_path):
+    answers = []
+    for files in (1, 4):
+        source = str(tmp_path / f"in{files}")
+        for k in range(files):
+            part = readings.where(F.floor((F.unix_timestamp("time") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / (86400 * 30 / files)) == k)
+            part.select(*KEYS, "time", "value", "seq").coalesce(1).write.mode("append").parquet(source)
+        target, name = pipelines.scratch(spark, "test-runs")
+        stream = pipelines.run_counter(pipelines.read_stream(spark, source, files_per_batch=1), z=1.0, min_points=5)
+        out = spark.read.parquet(pipelines.run_available(stream, target, name))
+        answers.append(rows(out.groupBy(*KEYS).agg(F.max_by(F.struct("rows", "flagged", "run", "longest_run"), "rows"))))
+    assert answers[0] == answers[1] and max(r[3]["longest_run"] for r in answers[0]) > 1
