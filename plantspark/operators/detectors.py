@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -314,28 +316,58 @@ def speed_correlated(anomalies: DataFrame, speed_rows: DataFrame, minutes: float
     return near.withColumn("speed_cv_near", cv).where((F.col("speed_n") >= 3) & (F.col("speed_mean") > 0) & (F.col("speed_cv_near") > min_cv))
 
 
-METHODS = ("sigma_tau", "statistical", "isolation_forest", "hybrid", "three_stage")
-
-
-def detect(df: DataFrame, method: str, *, speed_cv: DataFrame | None = None, speed_rows: DataFrame | None = None, trees: int = 100) -> DataFrame:
-    """One detector by name; speed data switch on the adaptive thresholds."""
-    if method == "statistical":
-        return statistical(df, adaptive=speed_cv is not None, speed_cv=speed_cv)
-    if method == "isolation_forest":
-        return forest_anomalies(df, adaptive=speed_rows is not None, speed_rows=speed_rows, trees=trees)
-    if method == "hybrid":
-        return hybrid_union(df, trees)
-    if method == "three_stage":
-        return three_stage(df, speed_cv=speed_cv, trees=trees).where("stage = 'primary+mtd+isolation_forest'")
-    return tau_verified(primary_sigma(df, speed_cv=speed_cv), df)
+@dataclass(frozen=True)
+class Inputs:
+    """What a detector may use besides the readings; speed data switch on the adaptive thresholds."""
+
+    limits: DataFrame | None = None
+    external: DataFrame | None = None
+    speed_cv: DataFrame | None = None
+    speed_rows: DataFrame | None = None
+    trees: int = 100
+    as_of: datetime | None = None
+
+    def needed(self, name: str) -> DataFrame:
+        given = getattr(self, name)
+        if given is None:
+            raise ValueError(f"this detector needs {name}")
+        return given
+
+
+# One row per anomalous reading.
+READING_DETECTORS: dict[str, Callable[[DataFrame, Inputs], DataFrame]] = {
+    "sigma_tau": lambda df, i: tau_verified(primary_sigma(df, speed_cv=i.speed_cv), df),
+    "statistical": lambda df, i: statistical(df, adaptive=i.speed_cv is not None, speed_cv=i.speed_cv),
+    "isolation_forest": lambda df, i: forest_anomalies(df, adaptive=i.speed_rows is not None, speed_rows=i.speed_rows, trees=i.trees),
+    "hybrid": lambda df, i: hybrid_union(df, i.trees),
+    "three_stage": lambda df, i: three_stage(df, speed_cv=i.speed_cv, trees=i.trees).where("stage = 'primary+mtd+isolation_forest'"),
+}
+# One row per tag with its counts.
+TAG_DETECTORS: dict[str, Callable[[DataFrame, Inputs], DataFrame]] = {
+    "sigma_runs": lambda df, i: sigma_runs(df, gate=False, as_of=i.as_of),
+    "verified": lambda df, i: hybrid(df, i.needed("limits"), i.external, with_forest=True, trees=i.trees, as_of=i.as_of),
+    "tuned": lambda df, i: tuned(df, i.needed("limits"), trees=i.trees),
+    "process_aware": lambda df, i: process_aware(df, i.needed("limits"), as_of=i.as_of),
+}
+
+
+def detect(df: DataFrame, method: str, inputs: Inputs | None = None, tags: Sequence[str] | None = None) -> DataFrame:
+    """One detector by name, over all tags or the named ones. An unknown name is an error."""
+    run = READING_DETECTORS.get(method) or TAG_DETECTORS.get(method)
+    if run is None:
+        raise ValueError(f"no detector {method!r}; known: {', '.join(sorted(READING_DETECTORS | TAG_DETECTORS))}")
+    rows = df if tags is None else df.where(F.col("tag").isin(list(tags)))
+    return run(rows, inputs or Inputs())
 
 
 def speed_aware(df: DataFrame, config: DataFrame, method: str = "sigma_tau", **options) -> DataFrame:
     """Detection before and after compensation, one report row per unit."""
     factors = speed.compensation_factors(df, config, **options)
     variation, rows = speed_variation(df, config), unit_speed(df, config)
+    if method not in READING_DETECTORS:
+        raise ValueError(f"{method!r} finds no single readings; choose from {', '.join(READING_DETECTORS)}")
     original = detect(df, method)
-    after = detect(speed.compensate(df, factors).select(*df.columns), method, speed_cv=variation, speed_rows=rows)
+    after = detect(speed.compensate(df, factors).select(*df.columns), method, Inputs(speed_cv=variation, speed_rows=rows))
     correlated = speed_correlated(original.select(*IDENTITY, "value"), rows)
 
     def counted(frame: DataFrame, name: str) -> DataFrame:
@@ -405,7 +437,11 @@ def verify(
 def hybrid(
     df: DataFrame, limits: DataFrame, external: DataFrame | None = None, *, require_external: bool = False, with_forest: bool = False, trees: int = 100, as_of=None
 ) -> DataFrame:
-    """T5: sigma candidates plus external times, verified (T4). No sampling at any size."""
+    """T5: sigma candidates plus external times, verified (T4). No sampling at any size.
+
+    ``require_external`` without external times analyses nothing; ``hybrid_status`` tells
+    that apart from a unit without anomalies.
+    """
     candidates = sigma_candidates(df)
     times, counts = candidates.select(*UNIT, "time").distinct(), None
     if external is not None:
@@ -418,6 +454,15 @@ def hybrid(
     return verify(df, times, limits, candidate_counts(candidates), counts, with_forest=with_forest, trees=trees, as_of=as_of)
 
 
+def hybrid_status(df: DataFrame, table: DataFrame, external: DataFrame | None = None, *, require_external: bool = False) -> DataFrame:
+    """T5: per unit ``awaiting_external_times``, ``anomalies`` or ``clear``."""
+    units = df.select(*UNIT).distinct()
+    if require_external and external is None:
+        return units.withColumn("state", F.lit("awaiting_external_times"))
+    hit = table.where("count > 0").select(*UNIT).distinct().withColumn("_hit", F.lit(True))
+    return units.join(hit, list(UNIT), "left").select(*UNIT, F.when(F.col("_hit"), "anomalies").otherwise("clear").alias("state"))
+
+
 def unit_header(table: DataFrame, df: DataFrame) -> DataFrame:
     """T5: totals per unit above the per-tag table."""
     totals = df.groupBy(*UNIT).agg(F.count("*").alias("records"), F.count_distinct("tag").alias("tags"))

@@ -145,6 +145,16 @@ def proposed_config(df: DataFrame) -> DataFrame:
     )
 
 
+def config_of(proposal: DataFrame) -> DataFrame:
+    """Proposals as configuration rows; only an advanced one fills the required fields."""
+    advanced, base = F.col("compensation_type") == "advanced", F.col("baseline_speed")
+    none = F.lit(None).cast("string")
+    return proposal.select(
+        *UNIT, none.alias("speed_tag"), "primary_speed_tag", none.alias("secondary_speed_tag"), F.when(advanced, base).alias("baseline_speed"),
+        F.when(advanced, F.array(F.lit(0.0), 2 * base)).alias("operating_range"), F.when(advanced, "rpm_normalized").alias("compensation_method"),
+    )
+
+
 def tag_categories(df: DataFrame) -> DataFrame:
     """Tags per unit and category."""
     named = df.select(*SERIES).distinct()

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantspark import pipeline
 from plantspark.operators import aggregates as agg
 from plantspark.operators import dedup, health
 from plantspark.plans.inputs import INSTRUMENTS, READINGS, SHIPMENTS, instruments, readings, shipments, table
 from plantspark.plans.registry import query
 from plantspark.schema import SERIES, UNIT, normalise
 from plantspark.sources import readers, writers
+from plantspark.streaming import pipelines
 
 SPLIT = "2024-01-20 00:00:00"
 
@@ -28,33 +30,57 @@ def scan_union(spark, sf):
     SELECT plant, count(*) AS records FROM (SELECT plant FROM readings UNION ALL SELECT plant FROM shipments) GROUP BY plant""",
     f"{READINGS}, {SHIPMENTS}")
 def view_over_union(spark, sf):
-    scan_union(spark, sf).createOrReplaceTempView("plantspark_union")
-    return spark.sql("SELECT plant, count(*) AS records FROM plantspark_union GROUP BY plant")
+    """A view over two globs, one of several files."""
+    base, name = pipelines.scratch(spark, "globs")
+    writers.replace(readings(spark, sf).repartition(3), f"{base}/readings")
+    writers.replace(shipments(spark, sf), f"{base}/shipments")
+    view = f"plantspark_{name.replace('-', '_')}"
+    readers.view(spark, view, f"{base}/readings/*.parquet", f"{base}/ship*")
+    counts = spark.sql(f"SELECT plant, count(*) AS records FROM {view} GROUP BY plant")
+    spark.catalog.dropTempView(view)
+    return counts
 
 
 @query("S4_append_aligned", "plant unit tag time:t value:d quality", """
     SELECT plant, unit, tag, time, value, 'stored' AS quality FROM readings
     UNION ALL SELECT plant, unit, tag, time, value, NULL FROM shipments""", f"{READINGS}, {SHIPMENTS}")
 def append_aligned(spark, sf):
-    stored = readings(spark, sf).drop("seq").withColumn("quality", F.lit("stored"))
-    return stored.unionByName(writers.aligned(shipments(spark, sf), stored.schema))
+    """Rows without the stored column and with one too many, appended to a stored folder."""
+    path, _ = pipelines.scratch(spark, "append")
+    writers.replace(readings(spark, sf).drop("seq").withColumn("quality", F.lit("stored")), path)
+    writers.append(shipments(spark, sf), path)
+    return spark.read.parquet(path)
 
 
-@query("S5_wide_to_tidy", "header plant unit tag time:t value:d", """
-    SELECT header, split_part(header, ' ', 1) AS plant, split_part(header, ' ', 2) AS unit,
-           replace(split_part(header, ' ', 3), '.', '_') AS tag, TIME AS time, value
-    FROM (SELECT TIME, 'PLANT1 K-31-01 ' || h AS header, v AS value FROM wide UNPIVOT (v FOR h IN (click, error, "purchase.x")))""",
-    """wide AS (SELECT ts AS TIME, max(CASE WHEN event_type = 'click' THEN value END) AS click,
+WIDE = """wide AS (SELECT ts AS TIME, max(CASE WHEN event_type = 'click' THEN value END) AS click,
         max(CASE WHEN event_type = 'error' THEN value END) AS error,
-        max(CASE WHEN event_type = 'purchase' THEN value END) AS "purchase.x" FROM events GROUP BY ts)""")
-def wide_to_tidy(spark, sf):
+        max(CASE WHEN event_type = 'purchase' THEN value END) AS "purchase.x" FROM events GROUP BY ts),
+    long AS (SELECT header, split_part(header, ' ', 1) AS plant, split_part(header, ' ', 2) AS unit, replace(split_part(header, ' ', 3), '.', '_') AS tag, TIME AS time, value
+      FROM (SELECT TIME, 'PLANT1 K-31-01 ' || h AS header, v AS value FROM wide UNPIVOT (v FOR h IN (click, error, "purchase.x"))))"""
+
+
+def wide_export(spark, sf):
     def cell(event, name):
         return F.max(F.when(F.col("event_type") == event, F.col("value"))).alias(f"PLANT1 K-31-01 {name}")
 
-    wide = table(spark, sf, "events").groupBy(F.col("ts").cast("timestamp").alias("TIME")).agg(
+    return table(spark, sf, "events").groupBy(F.col("ts").cast("timestamp").alias("TIME")).agg(
         cell("click", "click"), cell("error", "error"), cell("purchase", "purchase.x")
     )
-    return readers.tidy(wide)
+
+
+@query("S5_wide_to_tidy", "header plant unit tag time:t value:d", "SELECT * FROM long", WIDE)
+def wide_to_tidy(spark, sf):
+    return readers.tidy(wide_export(spark, sf))
+
+
+@query("T2_run_export", "plant unit tag time:t value:d alert:b", """
+    SELECT plant, unit, tag, time, value, coalesce(value < 0.9 * CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END, false) AS alert
+    FROM long WINDOW w AS (PARTITION BY plant, unit, tag ORDER BY time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", WIDE)
+def run_export(spark, sf):
+    """A wide export with text times, through to flagged rows on disk."""
+    target, _ = pipelines.scratch(spark, "export")
+    raw = wide_export(spark, sf).withColumn("TIME", F.date_format("TIME", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return pipeline.drop_alerts(spark, raw, target)
 
 
 @query("S6_normalise_layout", "plant unit tag time:t value:d", """
@@ -71,39 +97,52 @@ def normalise_layout(spark, sf):
 @query("S9_external_marks", "time:t", """
     SELECT DISTINCT ts AS time FROM events WHERE event_type <> 'view' AND value > 150""")
 def external_marks(spark, sf):
+    """A CSV list of times, some of its rows unreadable."""
+    path, _ = pipelines.scratch(spark, "marks")
     text = F.when(F.col("event_type") == "view", F.lit("not a time")).otherwise(F.col("ts").cast("string"))
-    return readers.parse_marks(table(spark, sf, "events").where("value > 150").select(text.alias("timestamp")))
+    table(spark, sf, "events").where("value > 150").select(text.alias("timestamp")).write.csv(path, header=True)
+    return readers.marked_times(spark, path)
 
 
 @query("S10_limits_document", "unit tag lower_limit:d upper_limit:d outlier_sigma:d sensitivity", """
     SELECT unit, tag, min(value) AS lower_limit, max(value) AS upper_limit, 2.5 AS outlier_sigma,
            'HIGH_SENSITIVITY' AS sensitivity FROM readings GROUP BY unit, tag""", READINGS)
 def limits_document(spark, sf):
-    """One JSON limits document per unit, built from the readings and parsed back."""
+    """One JSON limits file per unit, made from the readings and read back."""
+    path, _ = pipelines.scratch(spark, "limits")
     per_tag = readings(spark, sf).groupBy("unit", "tag").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     entry = F.struct(
         F.struct(F.col("hi").alias("upper_limit"), F.col("lo").alias("lower_limit")).alias("thresholds"),
         F.lit("HIGH_SENSITIVITY").alias("sensitivity"),
     )
     document = per_tag.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("tag", entry))).alias("tag_configurations"))
-    text = document.select(F.to_json(F.struct("unit", "tag_configurations")).alias("doc"))
-    parsed = text.select(F.from_json("doc", readers.LIMITS_FILE).alias("d")).select("d.*")
-    return readers.flatten_limits(parsed)
+    text = document.select("unit", F.to_json(F.struct("unit", "tag_configurations")).alias("value"))
+    text.withColumnRenamed("unit", "file").write.partitionBy("file").text(path)
+    return readers.limits_from_json(spark, path)
 
 
-@query("S12_inventory", "source records:l first_time:t last_time:t tags:l columns:l", """
+@query("S12_inventory", "source records:l first_time:t last_time:t tags:l", """
     SELECT plant AS source, count(*) AS records, min(time) AS first_time, max(time) AS last_time,
-           count(DISTINCT tag) AS tags, 6 AS columns FROM readings GROUP BY plant""", READINGS)
+           count(DISTINCT tag) AS tags FROM readings GROUP BY plant""", READINGS)
 def inventory(spark, sf):
-    return readers.inventory(readings(spark, sf), F.col("plant"))
+    """One file per plant; path and size come from the files' metadata."""
+    path, _ = pipelines.scratch(spark, "inventory")
+    readings(spark, sf).withColumn("file", F.col("plant")).coalesce(1).write.partitionBy("file").parquet(path)
+    files = readers.file_inventory(spark, path).where("_size > 0")
+    return files.withColumn("source", F.regexp_extract("_file", "file=([^/]+)/", 1))
 
 
 @query("S13_master_merge", "time:t tag unit value:d", """
     SELECT time, tag, unit, value FROM readings WHERE plant = 'P-0'
     UNION ALL SELECT time, tag, unit, value FROM readings WHERE plant = 'P-1'""", READINGS)
 def master_merge(spark, sf):
+    """Two batch files merged into one master, read back."""
+    base, _ = pipelines.scratch(spark, "master")
     r = readings(spark, sf)
-    return readers.scan_all([r.where("plant = 'P-0'"), r.where("plant = 'P-1'")]).orderBy("time", "tag")
+    for plant in ("P-0", "P-1"):
+        writers.replace(r.where(F.col("plant") == plant), f"{base}/{plant}")
+    writers.merge_files(spark, [f"{base}/P-0", f"{base}/P-1"], f"{base}/master")
+    return readers.scan(spark, f"{base}/master")
 
 
 # -- aggregates ------------------------------------------------------------------------

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantspark import pipeline
 from plantspark.operators import dedup, detectors, incidents, speed, validation
 from plantspark.plans.inputs import INSTRUMENTS, READINGS, instruments, readings
 from plantspark.plans.registry import query
 from plantspark.plans.rows import SPEED, ZS, some_limits, speed_and_others
 from plantspark.plans.speeds import FACTORS, config, factors
 from plantspark.schema import SERIES, UNIT
+from plantspark.streaming import pipelines
 
 PART = "PARTITION BY plant, unit, tag ORDER BY time"
 ROW = "plant unit tag time:t value:d"
@@ -61,6 +63,13 @@ def verified_units(spark, sf):
     return detectors.verified_units(detectors.sigma_runs(lifted(spark, sf), gate=False))
 
 
+@query("T1_run_pipeline", "plant unit tag rows:l count:l longest_run:l", "SELECT plant, unit, tag, rows, count, longest_run FROM sigma", GATED)
+def run_pipeline(spark, sf):
+    """Stored, read back, detected by name, stored again."""
+    target, _ = pipelines.scratch(spark, "run")
+    return pipeline.run(spark, lifted(spark, sf), target, "sigma_runs")
+
+
 @query("T2_drop_alerts", ROW + " roll_mean:d alert:b", f"""
     SELECT {KEY}, CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END AS roll_mean, coalesce(value < 0.9 * CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END, false) AS alert
     FROM readings WINDOW w AS ({PART} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", READINGS)
@@ -127,6 +136,17 @@ INSTR_Z = f"""{INSTRUMENTS}, slow AS (SELECT plant, unit, tag, time, seq, CASE W
     low AS (SELECT plant, unit, avg(value) < 50 AS low FROM slow WHERE tag LIKE '%SI%' AND time >= (SELECT max(time) FROM slow) - INTERVAL 72 HOUR GROUP BY plant, unit)"""
 
 
+@query("T5_hybrid_status", "plant unit state mode", """
+    SELECT plant, unit, CASE WHEN sum(count) > 0 THEN 'anomalies' ELSE 'clear' END AS state, 'sigma' AS mode FROM verified GROUP BY plant, unit
+    UNION ALL SELECT DISTINCT plant, unit, 'awaiting_external_times', 'external' FROM readings""", VERIFIED)
+def hybrid_status(spark, sf):
+    """With sigma candidates, and with external times required but not given."""
+    r = readings(spark, sf)
+    with_sigma = detectors.hybrid_status(r, hybrid_table(spark, sf)).withColumn("mode", F.lit("sigma"))
+    waiting = detectors.hybrid_status(r, detectors.hybrid(r, limits(spark, sf), require_external=True), require_external=True)
+    return with_sigma.union(waiting.withColumn("mode", F.lit("external")))
+
+
 @query("T6_status_aware", "plant unit tag unit_status count:l rate:d", """
     SELECT plant, unit, tag, CASE WHEN low THEN 'LOW_SPEED' ELSE 'RUNNING' END AS unit_status, CASE WHEN low THEN CAST(floor(c / 1.5) AS BIGINT) ELSE c END AS count, CASE WHEN low THEN c * 1.0 / n / 1.5 ELSE c * 1.0 / n END AS rate
     FROM counted JOIN low USING (plant, unit) WHERE NOT low OR floor(c / 1.5) > 0""", INSTR_Z)

@@ -184,11 +184,13 @@ def segment_compensation(spark, sf):
     return speed.segment_compensate(readings(spark, sf), config(spark))
 
 
-@query("P16_config_validation", "total_plants:l total_units:l total_speed_tags:l warnings:l units_with_data:l", f"""
-    SELECT 2 AS total_plants, 5 AS total_units, 5 AS total_speed_tags, 4 AS warnings, (SELECT count(DISTINCT unit) FROM readings JOIN cfg USING (plant, unit)) AS units_with_data""", FACTORS)
+@query("P16_config_validation", "total_plants:l total_units:l total_speed_tags:l warnings:l", """
+    SELECT count(DISTINCT plant) AS total_plants, count(*) AS total_units, count(*) AS total_speed_tags, sum(CASE WHEN suitability = 'excellent' THEN 0 ELSE 3 END) AS warnings
+    FROM (SELECT *, row_number() OVER (PARTITION BY plant, unit ORDER BY suitability <> 'excellent', tag) AS rn FROM pure WHERE tag = 'main_speed') WHERE rn = 1""", NAMED)
 def config_validation(spark, sf):
-    with_data = readings(spark, sf).join(config(spark), ["plant", "unit"], "left_semi").select(F.count_distinct("unit")).scalar()
-    return speed.config_summary(config(spark)).withColumn("units_with_data", with_data)
+    """Configuration proposed from the readings themselves; a unit with a bad speed tag lacks fields."""
+    rows = named(spark, sf).where("tag <> 'drive_hz'")
+    return speed.config_summary(speed.config_of(speed.proposed_config(rows)))
 
 
 @query("P17_speed_monitor", "plant unit speed_tags:l method latest_speed:d latest_time:t", """
