@@ -275,6 +275,29 @@ def _reconstruction(components: int):
     return measure
 
 
+def _projection(components: int):
+    def measure(rows: pd.DataFrame, model: pd.Series) -> pd.DataFrame:
+        k = len(model["mean"])
+        cov = np.asarray(model["cov"]).reshape(k, k)
+        scale = np.sqrt(np.clip(np.diag(cov), 0, None))
+        scale[scale == 0] = 1.0
+        z = (np.stack(rows["features"].to_numpy()) - np.asarray(model["mean"])) / scale
+        values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+        top = vectors[:, ::-1][:, : min(components, k)]
+        # Signs are free: the largest weight of a component counts as positive.
+        top = top * np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
+        return rows.assign(projected=list(z @ top), explained=float(values[::-1][:components].sum() / max(values.sum(), 1e-300)))
+
+    return measure
+
+
+def projected(matrix: DataFrame, components: int = 20) -> DataFrame:
+    """M9: standard scaling, then the first principal components of every unit, with the share of variance they explain."""
+    matrix = cut_lineage(matrix)
+    schema = T.StructType([*matrix.schema.fields, T.StructField("projected", T.ArrayType(T.DoubleType())), T.StructField("explained", T.DoubleType())])
+    return forest.apply_model(matrix, cut_lineage(moments(matrix)), unit_sizes(matrix), KEYS, F.xxhash64("time"), _projection(components), schema)
+
+
 def reconstruction_anomalies(matrix: DataFrame, components: int = 2, quantile: float = 0.995) -> DataFrame:
     """Rows a few principal components rebuild worst; threshold is a high quantile."""
     matrix = cut_lineage(matrix)

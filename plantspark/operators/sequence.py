@@ -30,7 +30,6 @@ from pyspark.sql.window import WindowSpec
 from plantspark.schema import SERIES
 
 TARGET_ROWS = 4_000_000
-MAX_PIECES = 4096
 # Cuts are searched in two steps, block heads first, so a row meets about 2 * 64 of them.
 BLOCK_CUTS = 64
 PIECE, PIECES, CUTS, MICROS = "_piece", "_pieces", "_cuts", "_us"
@@ -42,19 +41,22 @@ def cut_table(df: DataFrame, keys: Sequence[str] = SERIES, target_rows: int | No
     target_rows = target_rows or TARGET_ROWS
     stamped = df.select(*keys, F.unix_micros("time").alias(MICROS))
     hot = stamped.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target_rows)
+    # As many marks as the largest series needs pieces, so every piece keeps its size.
+    most = hot.agg(F.max("_n")).first()[0] or 0
+    marks = max(64, -(-most // target_rows))
     # One text literal instead of a thousand number literals keeps the plan small.
-    grid = F.split(F.lit(",".join(str(i / MAX_PIECES) for i in range(1, MAX_PIECES))), ",").cast("array<double>")
-    pieces = F.least(F.lit(MAX_PIECES), F.ceil(F.col("_n") / target_rows).cast("int"))
+    grid = F.split(F.lit(",".join(str(i / marks) for i in range(1, marks))), ",").cast("array<double>")
+    pieces = F.ceil(F.col("_n") / target_rows).cast("int")
     cuts = (
         stamped.join(F.broadcast(hot), list(keys))
         .groupBy(*keys, "_n")
-        .agg(F.percentile_approx(MICROS, grid, 20 * MAX_PIECES).alias("_q"))
+        .agg(F.percentile_approx(MICROS, grid, 20 * marks).alias("_q"))
         .select(
             *keys,
             F.array_distinct(
                 F.transform(
                     F.sequence(F.lit(1), pieces - 1),
-                    lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * MAX_PIECES / pieces).cast("int"))),
+                    lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * marks / pieces).cast("int"))),
                 )
             ).alias("_c"),
         )

@@ -132,7 +132,8 @@ def hybrid_header(spark, sf):
 INSTR_Z = f"""{INSTRUMENTS}, slow AS (SELECT plant, unit, tag, time, seq, CASE WHEN tag LIKE '%SI%' AND unit IN ('U-1', 'U-2') THEN value / 3 + 15 ELSE value + 60 END AS value FROM instruments),
     zs AS (SELECT r.*, n, m, sd, (value - m) / nullif(sd, 0) AS z FROM slow r JOIN (SELECT plant, unit, tag, count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM slow GROUP BY plant, unit, tag) USING (plant, unit, tag)),
     times AS (SELECT DISTINCT plant, unit, time FROM zs WHERE abs(z) > 2.5),
-    counted AS (SELECT plant, unit, tag, count(*) FILTER (abs(value - m) > 2.5 * sd) AS c, max(n) AS n FROM zs JOIN times USING (plant, unit, time) GROUP BY plant, unit, tag),
+    lim AS (SELECT plant, unit, tag, min(value) + 1 AS lo, max(value) / 2 AS up FROM slow WHERE tag LIKE '%FI-201%' GROUP BY plant, unit, tag),
+    counted AS (SELECT plant, unit, tag, count(*) FILTER (value < coalesce(lo, m - 2.5 * sd) OR value > coalesce(up, m + 2.5 * sd)) AS c, max(n) AS n FROM zs JOIN times USING (plant, unit, time) LEFT JOIN lim USING (plant, unit, tag) GROUP BY plant, unit, tag),
     low AS (SELECT plant, unit, avg(value) < 50 AS low FROM slow WHERE tag LIKE '%SI%' AND time >= (SELECT max(time) FROM slow) - INTERVAL 72 HOUR GROUP BY plant, unit)"""
 
 
@@ -153,8 +154,8 @@ def hybrid_status(spark, sf):
 def status_aware(spark, sf):
     slow = F.col("tag").contains("SI") & F.col("unit").isin("U-1", "U-2")
     df = instruments(spark, sf).withColumn("value", F.when(slow, F.col("value") / 3 + 15).otherwise(F.col("value") + 60))
-    no_limits = limits(spark, sf).where("false")
-    return detectors.status_aware(detectors.hybrid(df, no_limits), df, hours_back=72)
+    flow = df.where(F.col("tag").contains("FI-201")).groupBy(*SERIES).agg((F.min("value") + 1).alias("lower_limit"), (F.max("value") / 2).alias("upper_limit"))
+    return detectors.status_aware(detectors.hybrid(df, flow), df, hours_back=72)
 
 
 @query("T7_tuned_limits", ROW + " severity configured:b", f"""
@@ -163,6 +164,13 @@ def tuned_limits(spark, sf):
     return detectors.tuned_limits(readings(spark, sf), limits(spark, sf))
 
 
+@query("T8_limit_counts", "plant unit tag n:l limit_count:l configured:b", """
+    SELECT plant, unit, tag, max(n) AS n, count(*) FILTER (value < lo OR value > up) AS limit_count, bool_or(configured) AS configured FROM b40 WHERE n >= 5 GROUP BY plant, unit, tag""", BOUNDS)
+def limit_counts(spark, sf):
+    """The half of T8 that no random tree decides."""
+    return detectors.tuned_counts(readings(spark, sf), limits(spark, sf)).drop("lower", "upper")
+
+
 @query("T8_tuned_combined", "plant unit tag n:l limit_count:l forest_count:l count:l rate:d method confidence")
 def tuned_combined(spark, sf):
     """Limits and forest added up."""
@@ -293,7 +301,7 @@ def speed_aware_report(spark, sf):
 
 @query("T23_segment_aware", "plant unit tag n:l count:l sigma_count:l mtd_count:l forest_count:l confidence factor:d verified:b")
 def segment_aware(spark, sf):
-    return detectors.segment_aware(readings(spark, sf), config(spark), limits(spark, sf).where("false"), trees=50)
+    return detectors.segment_aware(readings(spark, sf), config(spark), limits(spark, sf), trees=50)
 
 
 def breakout_ctes(minutes: int) -> str:

@@ -84,6 +84,17 @@ def matrix_forest(spark, sf):
     return multivariate.matrix_forest(multivariate.feature_matrix(instruments(spark, sf)), trees=50)
 
 
+@query("M9_projection", "plant unit time:t energy:d width:l explained:d", """
+    SELECT plant, unit, time, sum(z * z) AS energy, count(*) AS width, 1.0 AS explained FROM
+      (SELECT plant, unit, b AS time, tag, (value - avg(value) OVER c) / stddev_samp(value) OVER c AS z FROM whole WINDOW c AS (PARTITION BY plant, unit, tag)) GROUP BY plant, unit, time""",
+    f"{INSTRUMENTS}, {GRID.format(src='instruments')}, whole AS (SELECT * FROM hf QUALIFY count(value) OVER (PARTITION BY plant, unit, b) = 5)")
+def projection(spark, sf):
+    """All components together keep every row's squared length."""
+    m = multivariate.projected(multivariate.feature_matrix(instruments(spark, sf)))
+    energy = F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x)
+    return m.select(*UNIT, "time", energy.alias("energy"), F.size("projected").alias("width"), "explained")
+
+
 @query("M10_trends", "plant unit tag n:l mean:d std:d min:d max:d slope:d volatility:d q25:d q75:d", """
     SELECT plant, unit, tag, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max, regr_slope(v, p) AS slope, stddev_pop(v) AS volatility, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM
       (SELECT plant, unit, tag, row_number() OVER (PARTITION BY plant, unit, tag ORDER BY b) AS p, coalesce(value, first_value(value IGNORE NULLS) OVER (PARTITION BY plant, unit, tag ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM hf)

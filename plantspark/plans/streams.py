@@ -144,7 +144,18 @@ def new_files_only(spark, sf):
     return spark.read.parquet(f"{base}/dataset")
 
 
-@query("I11_refresh_cycle", "plant unit tag batch:l rows:l count:l longest_run:l is_stale:b")
+CYCLE = f"""{READINGS}, src AS (SELECT 0 AS batch, * FROM readings WHERE time < TIMESTAMP '2024-01-16' UNION ALL SELECT 1, * FROM readings WHERE unit <> 'U-3'),
+    rolled AS (SELECT *, count(value) OVER w AS rn, abs(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z, max(time) OVER (PARTITION BY batch) AS now FROM src
+      WINDOW w AS (PARTITION BY batch, plant, unit, tag ORDER BY time RANGE BETWEEN INTERVAL '89 days 23 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)),
+    flags AS (SELECT *, coalesce(rn >= 20 AND z >= 2.5, false) AS f, coalesce(rn >= 20 AND z >= 2.5, false) AND time >= now - INTERVAL 24 HOUR AS r FROM rolled),
+    isles AS (SELECT *, sum(CASE WHEN r THEN 0 ELSE 1 END) OVER (PARTITION BY batch, plant, unit, tag ORDER BY time) AS isle FROM flags),
+    runs AS (SELECT batch, plant, unit, tag, max(n) AS longest_run FROM (SELECT batch, plant, unit, tag, isle, count(*) AS n FROM isles WHERE r GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("I11_refresh_cycle", "plant unit tag batch:l rows:l count:l longest_run:l is_stale:b", """
+    SELECT t.plant, t.unit, t.tag, t.batch, rows, count, coalesce(longest_run, 0) AS longest_run, last < now - INTERVAL 1 HOUR AS is_stale FROM
+      (SELECT batch, plant, unit, tag, count(*) AS rows, count(*) FILTER (f) AS count FROM flags GROUP BY ALL) t LEFT JOIN runs USING (batch, plant, unit, tag)
+      JOIN (SELECT batch, plant, unit, max(time) AS last, any_value(now) AS now FROM flags GROUP BY ALL) u USING (batch, plant, unit)""", CYCLE)
 def refresh_cycle(spark, sf):
     base, name = pipelines.scratch(spark, "cycle")
     r = readings(spark, sf)
