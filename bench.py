@@ -17,6 +17,7 @@ HEADLINE = (
     "A1_tag_catalog", "A12_comprehensive", "A14_resample", "U4_merge_new_wins", "I1_incremental_merge", "W2_rolling_days", "H1_tag_freshness", "H12_gaps",
     "J5_nearest_speed", "P13_compensated_rows", "T1_sigma_runs", "T3_sigma_candidates", "T4_verified_candidates", "T13_tau_verified", "T16_statistical",
     "T24_breakouts", "T31_incident_report", "T35_combined_verdict", "M1_baseline_tuning", "M4_feature_matrix", "B2_period_methods", "T20_isolation_forest",
+    "T22_speed_aware_report", "B8_sensitivity", "I4_new_files_only", "I11_refresh_cycle",
 )
 
 

@@ -50,6 +50,8 @@ def incident_report(df: DataFrame, anomaly_counts: DataFrame, equipment: DataFra
     recent = df.where(F.col("time") >= as_of_column(df, as_of) - hours(hours_back))
     counts = anomaly_counts.where(F.col("count") > 0).select(*SERIES, F.col("count").alias("total_anomalies"))
     chosen = windows.top_per_unit(counts, "total_anomalies", top)
+    # Only the chosen tags' readings are searched.
+    recent = recent.join(chosen.select(*SERIES), list(SERIES), "left_semi")
     present = recent.select(*SERIES).distinct()
     found = incidents(recent).groupBy(*SERIES).agg(
         F.count("*").alias("_i"), F.max("time").alias("last_incident"), F.count_if(F.col("severity") == "HIGH").alias("_h")
