@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.llm import byte_bpe, decontaminate, pii, quality, simhash
-from plantspark.llm.common import table, text_or_empty
-from plantspark.session import checkpoint_root, ship
+from plantspark.llm.common import prepare, table, text_or_empty
+from plantspark.session import checkpoint_root
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior keeps. The rules are weighed on all of them first."""
-    ship(spark)
+    prepare(spark)
     measured = quality.measure(docs.select(F.col("text").alias("text")))
     model = quality.fit(measured)
     verdict = quality.judge(quality.measure(docs.select(F.struct(*docs.columns).alias("doc"), "text")), model)
@@ -31,13 +31,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest id."""
-    ship(spark)
+    prepare(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth."""
-    ship(spark)
+    prepare(spark)
     held = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     found = decontaminate.contamination(held, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select("doc.*")
@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every span becomes its kind in brackets, and n_chars follows."""
-    ship(spark)
+    prepare(spark)
     found = pii.spans(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
     clean = found.withColumn("clean", F.when(F.col("text").isNull(), F.col("text")).otherwise(pii.redacted(text_or_empty("text"), F.col("pii"))))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
@@ -54,7 +54,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of what they decode to."""
-    ship(spark)
+    prepare(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = ("n_tokens", "ids", "decoded_sha256")
     return byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN, outputs=out).select("doc_id", "lang", "source", "n_chars", *out)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, with_fields
 
 #: Pre-tokens kept with their ids per Python worker; beyond it the cache starts anew.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def byte_letters() -> list[str]:

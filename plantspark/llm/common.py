@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.session import cut_lineage
+from plantspark.session import cut_lineage, ship
 
 #: Characters that separate words wherever a contract says ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 BLANKS = " \t\n\v\f\r"
 
 
+#: Rows in one Arrow batch: whole texts go to Python, and one may be very long.
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors and keep the batches of texts small."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

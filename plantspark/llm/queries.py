@@ -9,10 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.session import ship
-
 from . import byte_bpe, decontaminate, html_text, pii, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
-from .common import cut, table, text_or_empty
+from .common import cut, prepare, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +19,7 @@ ORACLES: dict[str, str] = {}
 def query(plan: Callable[[SparkSession, str], DataFrame]):
     @wraps(plan)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return plan(spark, sf_dir)
 
     QUERIES[plan.__name__] = run

@@ -23,7 +23,7 @@ from .common import text_or_empty, with_fields
 
 BLANK = "▁"
 #: Merged pre-tokens kept per Python worker; beyond it the cache starts anew.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def prove(model) -> frozenset[str]:
