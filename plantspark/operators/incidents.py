@@ -11,6 +11,7 @@ from plantspark.operators import dedup, joins, sequence, windows
 from plantspark.operators.quantiles import grouped_quantiles
 from plantspark.schema import SERIES, UNIT, hours, valid
 from plantspark.schema import as_of as as_of_column
+from plantspark.session import cut_lineage
 
 EQUIPMENT = T.StructType([T.StructField(c, T.StringType()) for c in ("unit", "equipment_name", "equipment_type", "area", "system", "criticality")])
 
@@ -49,7 +50,7 @@ def incident_report(df: DataFrame, anomaly_counts: DataFrame, equipment: DataFra
     """
     recent = df.where(F.col("time") >= as_of_column(df, as_of) - hours(hours_back))
     counts = anomaly_counts.where(F.col("count") > 0).select(*SERIES, F.col("count").alias("total_anomalies"))
-    chosen = windows.top_per_unit(counts, "total_anomalies", top)
+    chosen = cut_lineage(windows.top_per_unit(counts, "total_anomalies", top))  # at most ``top`` rows a unit, read often below
     # Only the chosen tags' readings are searched.
     recent = recent.join(chosen.select(*SERIES), list(SERIES), "left_semi")
     present = recent.select(*SERIES).distinct()
