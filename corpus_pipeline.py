@@ -20,12 +20,17 @@ from plantspark.llm.common import prepare, table, text_or_empty
 from plantspark.session import checkpoint_root
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The row as one column beside its text, so that no operator's column meets one of the documents'."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior keeps. The rules are weighed on all of them first."""
     prepare(spark)
     measured = quality.measure(docs.select(F.col("text").alias("text")))
     model = quality.fit(measured)
-    verdict = quality.judge(quality.measure(docs.select(F.struct(*docs.columns).alias("doc"), "text")), model)
+    verdict = quality.judge(quality.measure(_whole(docs)), model)
     return verdict.where("kept").select("doc.*")
 
 
@@ -38,15 +43,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth."""
     prepare(spark)
-    held = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    found = decontaminate.contamination(held, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_whole(docs), table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select("doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every span becomes its kind in brackets, and n_chars follows."""
     prepare(spark)
-    found = pii.spans(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
+    found = pii.spans(_whole(docs))
     clean = found.withColumn("clean", F.when(F.col("text").isNull(), F.col("text")).otherwise(pii.redacted(text_or_empty("text"), F.col("pii"))))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return clean.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

@@ -16,6 +16,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Words between blanks, and the words of the contamination rule (A-Z in lower case first).
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PLAIN = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS id, {_PLAIN} AS ws FROM benchmark),
+pat AS (SELECT DISTINCT id, least(13, len(ws)) AS l, array_to_string(ws[i:i + 12], ' ') AS k FROM b, unnest(range(1, greatest(2, len(ws) - 11))) AS t(i) WHERE len(ws) > 0),
+win AS (SELECT r, i, l, array_to_string(ws[i:i + l - 1], ' ') AS k FROM d, (SELECT DISTINCT l FROM pat), unnest(range(1, len(ws) - l + 2)) AS t(i)),
+hit AS (SELECT r, i, l, id FROM win JOIN pat USING (l, k)),
+cov AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + l)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
+
+ORACLES["op9_repeated_passages"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS k FROM d, unnest(range(1, len(ws) - 33)) AS t(i)),
+rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN rep USING (k)),
+gone AS (SELECT r, count(*) AS n FROM cov GROUP BY r),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d) ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
+
+
 def query(plan: Callable[[SparkSession, str], DataFrame]):
     @wraps(plan)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,8 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     good = ["\n".join(sentence() for _ in range(25)) for _ in range(20)]
     texts = good + [good[0], good[0] + " end", "too short", None, "", "Of " * 200, "\n".join(sentence() for _ in range(25)) + " mail a@b.cc or +1 555 123 4567"]
     pairs = list(enumerate(texts))
-    frame(spark, pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    clashing = frame(spark, pairs, clash=True).withColumns({"doc": F.lit("x"), "a.b": F.lit("y"), "clean": F.lit(0), "__extra": F.lit(None).cast("string")})
+    clashing.write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, " ".join(good[5].split()[:100]))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
