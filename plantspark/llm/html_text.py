@@ -1,13 +1,15 @@
 """Main text of web pages by two passes over blocks.
 
 A page is cut into blocks at block-level tags; scripts, styles and the like are skipped as
-raw text. The first pass decides a block alone: by the part of the page that holds it
-(menus, notices, adverts, forms, comments ... are out; inside an article or main element a
-block is in unless most of it is links), else by link density, length and the density of
-function words. Short blocks stay open, medium ones are only near good. The second pass
-settles near-good blocks (in beside a good one, or if the page has none), then gives open
-blocks the label of their nearest decided neighbours: where the two sides differ, a heading
-goes with what follows it and any other block with the nearer side, the earlier if equal.
+raw text. The first pass scores a block alone: length, density of function words and links,
+and whether an article or main element holds it, which counts as much as length or density
+where such elements hold the text of the page (not beside a teaser). Menus, notices, adverts,
+forms, comments ... are out. Short blocks stay open, medium ones are only near good. The
+second pass settles near-good blocks (in beside a good one, or if the page has none), then
+gives open blocks the label of their nearest decided neighbours: where the two sides differ,
+a heading goes with what follows it and any other block with the nearer side, the earlier if
+equal. Within an article its edges and the parts that are out are no neighbours, and an
+undecided block is out only where all those it has are bad (an open one: on both sides).
 
 Edge cases: a null or empty page has an empty text; broken markup (unclosed tags, comments
 or quotes) is read as far as it goes, in linear time; character references without a
@@ -64,7 +66,7 @@ _EDGES = ".,;:!?\"'()[]«»¿¡#*$%&|<>-"
 @dataclass
 class Block:
     out: bool
-    article: bool
+    article: int  # number of the outermost article or main element around it, 0 if none
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -76,10 +78,11 @@ class Block:
 def blocks_of(page: str) -> list[tuple[str, Block]]:
     """(text, block) in page order; blocks without text are left out."""
     done: list[tuple[str, Block]] = []
-    # (element, out, within an article, out only by its attributes)
-    stack: list[tuple[str, bool, bool, bool]] = []
-    out = article = soft = False
-    block = Block(False, False, False)
+    # (element, out, number of the article, out only by its attributes)
+    stack: list[tuple[str, bool, int, bool]] = []
+    out = soft = False
+    article = articles = 0
+    block = Block(False, 0, False)
     in_link, at, end_at = 0, 0, len(page)
 
     def finish(heading: bool = False) -> Block:
@@ -121,13 +124,15 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
                         if stack[i][0] == name:
                             del stack[i:]
                             break
-                    _, out, article, soft = stack[-1] if stack else ("", False, False, False)
+                    _, out, article, soft = stack[-1] if stack else ("", False, 0, False)
                 else:
                     words = _named(rest)
                     named = bool(words & _OUT_WORDS) or (bool(words & _OUTSIDE_ONLY) and not article)
                     hard = name in _OUT_TAGS or (name == "header" and not article)
                     if name in ("article", "main") and not named and (not out or soft):
-                        out, article, soft = False, True, False
+                        if not article:
+                            articles += 1
+                        out, article, soft = False, article or articles, False
                     elif hard or named:
                         soft = (not out or soft) and named and not hard
                         out = True
@@ -150,40 +155,68 @@ def _named(rest: str) -> set[str]:
 GOOD, NEAR, OPEN, BAD = "good", "near", "open", "bad"
 
 
-def first_pass(text: str, block: Block, has_article: bool) -> str:
-    if block.out or (has_article and not block.article):
-        return BAD
-    if block.linked > LINKS * len(text):
+def linked_mostly(text: str, block: Block) -> bool:
+    return block.linked > LINKS * len(text)
+
+
+def articles_hold_text(found: list[tuple[str, Block]]) -> bool:
+    """Whether article and main elements hold as much text as the long blocks beside them."""
+    free = [(text, block) for text, block in found if not block.out and not linked_mostly(text, block)]
+    inside = sum(len(text) for text, block in free if block.article)
+    return 0 < inside >= sum(len(text) for text, block in free if not block.article and len(text) >= SHORT)
+
+
+def first_pass(text: str, block: Block, within: bool) -> str:
+    """``within``: an article that holds the text of the page is around the block."""
+    if block.out or linked_mostly(text, block):
         return BAD
-    if block.article:
-        return GOOD
     if len(text) < SHORT:
-        return BAD if block.linked or text.startswith("©") else OPEN
+        return BAD if not within and (block.linked or text.startswith("©")) else OPEN
     words = text.split()
     stops = sum(w.strip(_EDGES).lower() in STOP_WORDS for w in words) / len(words)
-    if stops >= STOP_HIGH:
-        return GOOD if len(text) >= LONG else NEAR
-    return NEAR if stops >= STOP_LOW else BAD
+    dense = 2 if stops >= STOP_HIGH else 1 if stops >= STOP_LOW else -1
+    score = (2 if len(text) >= LONG else 1) + dense + 2 * within
+    return GOOD if score >= 4 else NEAR if score >= 2 else BAD
+
 
+def _nearest(labels: list[str], order: range, free: list[int] | None = None) -> list[tuple[str, int]]:
+    """Label and place of the last decided block before each one in ``order``; the page's edge is bad and far.
 
-def _nearest(labels: list[str], order: range) -> list[tuple[str, int]]:
-    """Label and place of the last decided block before each one in ``order``; the page's edge is bad and far."""
-    out: list[tuple[str, int]] = [(BAD, -len(labels))] * len(labels)
-    last = (BAD, -len(labels) if order.step > 0 else 2 * len(labels))
+    With ``free``, the article of every block: only blocks of the same one count (0: none), and its edge is open.
+    """
+    edge = (BAD if free is None else OPEN, -len(labels) if order.step > 0 else 2 * len(labels))
+    out, last, here = [edge] * len(labels), edge, 0
     for i in order:
+        if free is not None:
+            if not free[i]:
+                continue
+            if free[i] != here:
+                last, here = edge, free[i]
         out[i] = last
         if labels[i] in (GOOD, BAD):
             last = (labels[i], i)
     return out
 
 
-def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
-    """Whether each block is main text. Near-good blocks are settled first, then open ones."""
+def second_pass(labels: list[str], headings: list[bool], articles: list[int] | None = None) -> list[bool]:
+    """Whether each block is main text. Near-good blocks are settled first, then open ones.
+
+    ``articles``: the article that holds a block and counts, 0 if none or if the block is out.
+    """
     n = len(labels)
     sides = (range(n), range(n - 1, -1, -1))
-    before, after = (_nearest(labels, side) for side in sides)
-    lone = GOOD not in labels  # a page of medium blocks only
-    settled = [(GOOD if lone or GOOD in (before[i][0], after[i][0]) else BAD) if x == NEAR else x for i, x in enumerate(labels)]
+    articles = articles or [0] * n
+    rich = {a for a, x in zip(articles, labels, strict=True) if x == GOOD}
+    settled = list(labels)
+    around = [_nearest(labels, side, articles) for side in sides]
+    for i, x in enumerate(labels):
+        if articles[i] and x in (NEAR, OPEN):
+            beside = [near[i][0] for near in around if near[i][0] != OPEN]
+            wedged = len(beside) == 2 or (x == NEAR and len(beside) == 1)
+            settled[i] = BAD if articles[i] in rich and wedged and GOOD not in beside else GOOD
+    before, after = (_nearest(settled, side) for side in sides)
+    lone = GOOD not in settled  # a page of medium blocks only
+    settled = [(GOOD if lone or GOOD in (before[i][0], after[i][0]) else BAD) if x == NEAR else x for i, x in enumerate(settled)]
     before, after = (_nearest(settled, side) for side in sides)
     keep = []
     for i, label in enumerate(settled):
@@ -196,8 +229,10 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
 
 def main_text(page: str) -> str:
     found = blocks_of(page)
-    has_article = any(b.article and not b.out for _, b in found)
-    keep = second_pass([first_pass(t, b, has_article) for t, b in found], [b.heading for _, b in found])
+    counts = articles_hold_text(found)
+    articles = [b.article if counts and not b.out else 0 for _, b in found]
+    labels = [first_pass(t, b, a > 0) for (t, b), a in zip(found, articles, strict=True)]
+    keep = second_pass(labels, [b.heading for _, b in found], articles)
     return "\n".join(t for (t, _), k in zip(found, keep, strict=True) if k)
 
 

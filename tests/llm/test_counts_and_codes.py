@@ -107,6 +107,25 @@ def test_main_text_by_density_and_neighbours():
     assert html_text.main_text(page).split("\n") == ["Title", (long * 2).strip(), "Short.", (long * 2).strip()]
 
 
+DENSE = "The cat and the dog are in the house of the man, and that is for all of us to see as it was by the sea and not in the city."
+
+
+def test_teaser_article_beside_the_main_text():
+    card = "<article class=card><h3><a href=/n>Next story</a></h3><p>Read on.</p></article>"
+    content = f"<div id=content><h1>Head</h1><p>{DENSE * 3}</p><p>{DENSE * 2}</p><p>Short end.</p></div>"
+    for page in (content + card, card + content):
+        got = html_text.main_text(f"<body><nav><a href=/>Home</a></nav>{page}<footer>&copy; us</footer></body>").split("\n")
+        assert got[:4] == ["Head", DENSE * 3, DENSE * 2, "Short end."] or got[-4:] == ["Head", DENSE * 3, DENSE * 2, "Short end."]
+        assert "Next story" not in got
+
+
+def test_text_outside_and_notices_inside_an_article():
+    notice = "<p><a href=/a>Buy this</a></p><p>SALE 50% OFF shop now, free shipping, best deals, brand new stock, order today!</p><p><a href=/b>Order here</a></p>"
+    page = f"<article><h1>Head</h1><p>{DENSE * 3}</p>{notice}<p>{DENSE}</p><p>End.</p></article><div><p>{DENSE * 2}</p></div>"
+    assert html_text.main_text(page).split("\n") == ["Head", DENSE * 3, DENSE, "End.", DENSE * 2]
+    assert html_text.main_text("<div class=ad>Buy!</div><article><h1>Head</h1><p>One.</p></article><footer>us</footer>") == "Head\nOne."
+
+
 def test_main_text_edge_cases(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<article>x</article>"), (5, "u", "<article>x</article>"), (6, "u", "<a" * 20_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
