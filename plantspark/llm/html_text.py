@@ -4,7 +4,10 @@ A page is cut into blocks at block-level tags; scripts, styles and the like are
 raw text. The first pass scores a block alone: length, density of function words and links,
 and whether an article or main element holds it, which counts as much as length or density
 where such elements hold the text of the page (not beside a teaser). Menus, notices, adverts,
-forms, comments ... are out. Short blocks stay open, medium ones are only near good. The
+forms, comments ... are out, by element or by the words of class, id and role; not so what
+an article or main element within them holds, and not a part without which little is left:
+a form or a part named by layout words that holds most of the long text, or any other part
+beside which the page has next to no text (a wrapper, or an unclosed element). Short blocks stay open, medium ones are only near good. The
 second pass settles near-good blocks (in beside a good one, or if the page has none), then
 gives open blocks the label of their nearest decided neighbours: where the two sides differ,
 a heading goes with what follows it and any other block with the nearer side, the earlier if
@@ -50,6 +53,12 @@ _OUT_WORDS = frozenset(
     "legal copyright disclaimer complementary contentinfo alert".split()
 )
 _OUTSIDE_ONLY = frozenset(["header"])  # a header within the article belongs to it
+# What may wrap the text of a page, so that most of the long text is enough to keep it.
+_WRAPPERS = frozenset("form fieldset banner sidebar navigation search register login signup social share sharing widget toolbar legal masthead overlay modal".split())
+# Discussions; an article element within them is one of their entries.
+_TALK = frozenset("comment comments commentlist respond replies reply disqus".split())
+# Words that make a name one of the layout or the subject, not of the part itself.
+_LAYOUT = frozenset("no not non without has have with category tag".split())
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"  # a comment, or an unclosed one up to the end
@@ -63,14 +72,39 @@ _WORD_EDGES = re.compile(r"[\s_:./-]+|(?<=[a-z])(?=[A-Z])")
 _EDGES = ".,;:!?\"'()[]«»¿¡#*$%&|<>-"
 
 
+@dataclass(eq=False)
+class Part:
+    """A part of the page; ``mark`` tells why it would be out: empty, ``WRAPPER`` or ``PLACE``."""
+
+    name: str = ""
+    above: Part | None = None
+    mark: str = ""
+    article: int = 0  # number of the outermost article or main element around it, 0 if none
+    opens: bool = False  # an article or main element that ends the marks around it
+    talk: bool = False
+    out: bool = False
+    long: int = 0  # characters of the long blocks, and of all blocks in articles, without most of them links
+    all: int = 0  # characters of all blocks without most of them links
+
+
+WRAPPER, PLACE = "wrapper", "place"
+
+
 @dataclass
 class Block:
-    out: bool
-    article: int  # number of the outermost article or main element around it, 0 if none
+    part: Part
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    @property
+    def out(self) -> bool:
+        return self.part.out
+
+    @property
+    def article(self) -> int:
+        return self.part.article
+
     def close(self) -> str:
         return " ".join("".join(self.parts).split())
 
@@ -78,17 +112,15 @@ class Block:
 def blocks_of(page: str) -> list[tuple[str, Block]]:
     """(text, block) in page order; blocks without text are left out."""
     done: list[tuple[str, Block]] = []
-    # (element, out, number of the article, out only by its attributes)
-    stack: list[tuple[str, bool, int, bool]] = []
-    out = soft = False
-    article = articles = 0
-    block = Block(False, 0, False)
+    top = Part()
+    parts, stack, articles = [top], [top], 0
+    block = Block(top, False)
     in_link, at, end_at = 0, 0, len(page)
 
     def finish(heading: bool = False) -> Block:
         if block.parts and (text := block.close()):
             done.append((text, block))
-        return Block(out, article, heading)
+        return Block(stack[-1], heading)
 
     def add(raw: str) -> None:
         if raw:
@@ -118,38 +150,71 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
         elif name in ("br", "td", "th", "wbr", "img", "input"):
             block.parts.append("" if name == "wbr" else " ")
         elif name in _BLOCKS:
+            if not closing and stack[-1].name == "head" and name != "html":
+                stack.pop()
             if name in _PARTS:
                 if closing:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == name:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].name == name:
                             del stack[i:]
                             break
-                    _, out, article, soft = stack[-1] if stack else ("", False, 0, False)
                 else:
-                    words = _named(rest)
-                    named = bool(words & _OUT_WORDS) or (bool(words & _OUTSIDE_ONLY) and not article)
-                    hard = name in _OUT_TAGS or (name == "header" and not article)
-                    if name in ("article", "main") and not named and (not out or soft):
-                        if not article:
-                            articles += 1
-                        out, article, soft = False, article or articles, False
-                    elif hard or named:
-                        soft = (not out or soft) and named and not hard
-                        out = True
-                    stack.append((name, out, article, soft))
+                    stack.append(part := part_of(name, rest, stack[-1]))
+                    parts.append(part)
+                    if part.opens and not part.article:
+                        articles += 1
+                        part.article = articles
                 block = finish()
             else:
                 block = finish(name in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing)
-                if not closing and rest and _named(rest) & _OUT_WORDS:
-                    block.out = True
+                if not closing and rest and (part := part_of(name, rest, stack[-1])).mark:
+                    block.part = part
+                    parts.append(part)
     finish()
+    _settle(parts, done)
     return done
 
 
-def _named(rest: str) -> set[str]:
+def part_of(name: str, rest: str, above: Part) -> Part:
+    """A new part within ``above``."""
+    holder = name in ("article", "main")
+    words = set() if name in ("html", "body") else _named(rest, whole=holder)
+    talk = above.talk or bool(words & _TALK)
+    why = words & (_OUT_WORDS if above.article else _OUT_WORDS | _OUTSIDE_ONLY)
+    if name in _OUT_TAGS or (name == "header" and not above.article):
+        why = why | {name}
+    mark = "" if not why else WRAPPER if why <= _WRAPPERS else PLACE
+    return Part(name, above, mark, above.article, holder and not mark and not talk, talk)
+
+
+def _settle(parts: list[Part], done: list[tuple[str, Block]]) -> None:
+    """Decide which parts are out. Two parts beside each other cannot both hold most of the page."""
+    for text, block in done:
+        if not linked_mostly(text, block):
+            block.part.all += len(text)
+            block.part.long += len(text) if len(text) >= SHORT or block.article else 0
+    for part in reversed(parts):
+        if part.above:
+            part.above.long += part.long
+            part.above.all += part.all
+    top = parts[0]
+    for part in parts:
+        needed = part.long >= SHORT and 2 * part.long > top.long if part.mark == WRAPPER else part.long >= LONG and 11 * part.all > 10 * top.all
+        around = part.above is not None and part.above.out and not part.opens
+        part.out = around or bool(part.mark and not needed)
+
+
+def _named(rest: str, whole: bool = False) -> set[str]:
+    """Words of class, id and role, without names of the layout; with ``whole`` only names of one word."""
     if "=" not in rest:
         return set()
-    return {w.lower() for m in _NAMED.finditer(rest) for w in _WORD_EDGES.split(m[1] or m[2] or m[3] or "")}
+    out: set[str] = set()
+    for m in _NAMED.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORD_EDGES.split(name)}
+            if not words & _LAYOUT and (not whole or len(words) == 1):
+                out |= words
+    return out
 
 
 GOOD, NEAR, OPEN, BAD = "good", "near", "open", "bad"

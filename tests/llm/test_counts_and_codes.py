@@ -126,6 +126,32 @@ def test_text_outside_and_notices_inside_an_article():
     assert html_text.main_text("<div class=ad>Buy!</div><article><h1>Head</h1><p>One.</p></article><footer>us</footer>") == "Head\nOne."
 
 
+WRAPPED = [
+    "<body><form id=aspnetForm>{nav}<div>{text}</div></form></body>",
+    "<body><form id=aspnetForm>{nav}<article>{text}</article></form></body>",
+    "<body><nav><a href=/>Home</a><div>{text}</div></body>",
+    "<body><header><a href=/>Home</a><article>{text}</article></body>",
+    "<body class=no-sidebar>{nav}<div>{text}</div></body>",
+    "<body class='login comments'>{nav}<div>{text}</div></body>",
+    "<body>{nav}<div class='layout has-sidebar with-fixed-header'>{text}</div></body>",
+    "<body>{nav}<div class='sidebar-layout'>{text}</div></body>",
+    "<body>{nav}<article class='post category-social tag-search'>{text}</article></body>",
+    "<html><head><title>T</title><div>{text}</div></html>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_no_place_rule_empties_a_page(page):
+    page = page.format(nav="<nav><a href=/>Home</a></nav>", text=f"<h1>Head</h1><p>{DENSE * 3}</p><p>End.</p><div class=sidebar><p>{DENSE}</p></div>")
+    assert html_text.main_text(page).split("\n") == ["Head", DENSE * 3, "End."]
+
+
+def test_marked_parts_beside_little_text_stay_out():
+    for mark in ("<aside>{}</aside>", "<footer>{}</footer>", "<div class=ad>{}</div>", "<ol class=comment-list><li><article class=comment-body>{}</article></li></ol>"):
+        page = f"<article><h1>Head</h1><p>One short line of text stands here.</p></article>{mark.format('<p>' + DENSE * 2 + '</p>')}"
+        assert html_text.main_text(page) == "Head\nOne short line of text stands here."
+
+
 def test_main_text_edge_cases(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<article>x</article>"), (5, "u", "<article>x</article>"), (6, "u", "<a" * 20_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
