@@ -1,7 +1,9 @@
 """Main text of web pages by two passes over blocks.
 
 A page is cut into blocks at block-level tags; scripts, styles and the like are skipped as
-raw text. The first pass scores a block alone: length, density of function words and links,
+raw text, other elements without text of the page (buttons, selections, drawings ...) up to
+their closing tags, or where there is none up to the next block. Only anchors with ``href``
+are links; one without a closing tag ends with its block. The first pass scores a block alone: length, density of function words and links,
 and whether an article or main element holds it, which counts as much as length or density
 where such elements hold the text of the page (not beside a teaser). Menus, notices, adverts,
 forms, comments ... are out, by element or by the words of class, id and role; not so what
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -38,7 +41,9 @@ STOP_LOW, STOP_HIGH = 0.08, 0.14
 LINKS = 0.5
 
 # Names of elements.
-_RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title".split())
+_RAW = frozenset("script style title textarea iframe".split())  # nothing but the closing tag, or the end of the page, ends them
+_SKIPPED = frozenset("noscript template object svg math canvas audio video select button".split())
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^<>]*>", re.IGNORECASE) for name in _RAW}
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -67,6 +72,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^<>]*+>",
     re.DOTALL,
 )
+_HREF = re.compile(r"(?i)(?:^|[\s\"'/])href\s*=")
 _NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD_EDGES = re.compile(r"[\s_:./-]+|(?<=[a-z])(?=[A-Z])")
 _EDGES = ".,;:!?\"'()[]«»¿¡#*$%&|<>-"
@@ -109,13 +115,60 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+@dataclass
+class Tag:
+    start: int
+    end: int  # of a raw-text element: behind its closing tag
+    name: str
+    closing: bool
+    rest: str
+    close: int = -1  # place of the closing tag of a skipped element or a link in the list of tags
+
+
+def tags_of(page: str) -> list[Tag]:
+    """The tags outside raw text; skipped elements and links know the tags that close them."""
+    tags: list[Tag] = []
+    at, end_at = 0, len(page)
+    while at < end_at and (m := _TOKEN.search(page, at)):
+        at = m.end()
+        if not (name := m["name"] or m["name2"]):
+            tags.append(Tag(m.start(), at, "", False, ""))
+            continue
+        name, closing, rest = name.lower(), bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or ""
+        if name in _RAW and not closing and not rest.endswith("/"):
+            stop = _RAW_ENDS[name].search(page, at)
+            at = stop.end() if stop else end_at
+        tags.append(Tag(m.start(), at, name, closing, rest))
+    link: Tag | None = None
+    still: list[Tag] = []  # parts and skipped elements
+    number: Counter[str] = Counter()
+    for i, tag in enumerate(tags):
+        if tag.name == "a":
+            if tag.closing and link:
+                link.close = i
+            link = None if tag.closing else tag
+        elif tag.name in _SKIPPED or tag.name in _PARTS:
+            if not tag.closing:
+                if tag.name in _PARTS or not tag.rest.endswith("/"):
+                    still.append(tag)
+                    number[tag.name] += 1
+            elif number[tag.name]:
+                while (last := still.pop()).name != tag.name:
+                    number[last.name] -= 1
+                number[tag.name] -= 1
+                last.close = i
+    return tags
+
+
 def blocks_of(page: str) -> list[tuple[str, Block]]:
     """(text, block) in page order; blocks without text are left out."""
     done: list[tuple[str, Block]] = []
     top = Part()
     parts, stack, articles = [top], [top], 0
+    number: Counter[str] = Counter()
     block = Block(top, False)
-    in_link, at, end_at = 0, 0, len(page)
+    link: Tag | None = None
+    link_depth = 0
 
     def finish(heading: bool = False) -> Block:
         if block.parts and (text := block.close()):
@@ -126,40 +179,46 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             block.parts.append(text)
-            if in_link:
+            if link:
                 block.linked += len(text)
 
-    while at < end_at:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if not name:
-            continue
-        name, closing, rest = name.lower(), bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or ""
-        if name in _RAW and not closing:
-            if not rest.endswith("/"):
-                stop = re.compile(rf"</{name}(?=[\s/>])[^<>]*>", re.IGNORECASE).search(page, at)
-                at = stop.end() if stop else end_at
+    tags = tags_of(page)
+    i, at = 0, 0
+    while i < len(tags):
+        tag = tags[i]
+        i += 1
+        add(page[at : tag.start])
+        at = tag.end
+        name, closing, rest = tag.name, tag.closing, tag.rest
+        if name in _RAW:
             block.parts.append(" ")
+        elif name in _SKIPPED:
+            block.parts.append(" ")
+            if not closing and not rest.endswith("/"):
+                if tag.close >= 0:
+                    i = tag.close + 1
+                    at = tags[tag.close].end
+                else:
+                    while i < len(tags) and tags[i].name not in _BLOCKS:
+                        i += 1
+                    at = tags[i].start if i < len(tags) else len(page)
         elif name == "a":
-            in_link = 0 if closing else 1
+            link = None if closing or not _HREF.search(rest) else tag
+            link_depth = len(stack)
         elif name in ("br", "td", "th", "wbr", "img", "input"):
             block.parts.append("" if name == "wbr" else " ")
         elif name in _BLOCKS:
             if not closing and stack[-1].name == "head" and name != "html":
-                stack.pop()
+                number[stack.pop().name] -= 1
             if name in _PARTS:
                 if closing:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].name == name:
-                            del stack[i:]
+                    while number[name]:
+                        number[last := stack.pop().name] -= 1
+                        if last == name:
                             break
                 else:
                     stack.append(part := part_of(name, rest, stack[-1]))
+                    number[name] += 1
                     parts.append(part)
                     if part.opens and not part.article:
                         articles += 1
@@ -170,6 +229,9 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
                 if not closing and rest and (part := part_of(name, rest, stack[-1])).mark:
                     block.part = part
                     parts.append(part)
+            if link and (link.close < 0 or len(stack) < link_depth):
+                link = None
+    add(page[at:])
     finish()
     _settle(parts, done)
     return done

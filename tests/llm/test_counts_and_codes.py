@@ -1,6 +1,7 @@
 """Sharding, main text, BPE, token counts."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -152,6 +153,28 @@ def test_marked_parts_beside_little_text_stay_out():
         assert html_text.main_text(page) == "Head\nOne short line of text stands here."
 
 
+@pytest.mark.parametrize("element", "button select object canvas svg math audio video template noscript".split())
+def test_unclosed_elements_end_with_their_part(element):
+    for page in (f"<body><div><{element}>Menu</div><p>{DENSE * 3}</p><p>End.</p></body>", f"<body><{element}>Menu<p>{DENSE * 3}</p><p>End.</p><div><{element}>x</{element}></div>"):
+        assert html_text.main_text(page) == f"{DENSE * 3}\nEnd."
+    assert html_text.main_text(f"<p>{DENSE * 2} <{element}>no<p>no</p></{element}>yes</p>") == f"{DENSE * 2} yes"
+
+
+def test_only_anchors_with_href_are_links_and_end_with_their_block():
+    want = f"Head\n{DENSE * 3}\n{DENSE * 2}"
+    assert html_text.main_text(f"<article><a name=top><h1>Head</h1><p>{DENSE * 3}</p><p>{DENSE * 2}</p></article>") == want
+    assert html_text.main_text(f"<div><a name=top><h1>Head</h1><p>{DENSE * 3}</p><p>{DENSE * 2}</p><p><a href=/x>More</a></p></div>") == want
+    assert html_text.main_text(f"<article><p><a href=/x>Home<h1>Head</h1><p>{DENSE * 3}</p><p>{DENSE * 2}</p></article>") == want
+    assert html_text.main_text(f"<article><h1>Head</h1><p>{DENSE * 3}</p><p>{DENSE * 2}</p></article><div><a href=/x><h3>Next</h3><p>{DENSE}</p></a></div>") == want
+
+
+def test_nested_and_stray_tags_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" * 30_000 + "</section>" * 30_000, "<svg>" * 30_000 + "</nav>" * 30_000, "<a href=x>" * 30_000 + "<button>" * 30_000):
+        assert html_text.main_text(page + "</div>") == ""
+    assert time.perf_counter() - began < 20
+
+
 def test_main_text_edge_cases(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<article>x</article>"), (5, "u", "<article>x</article>"), (6, "u", "<a" * 20_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
