@@ -5,7 +5,8 @@ raw text, other elements without text of the page (buttons, selections, drawings
 their closing tags, or where there is none up to the next block. Only anchors with ``href``
 are links; one without a closing tag ends with its block. The first pass scores a block alone: length, density of function words and links,
 and whether an article or main element holds it, which counts as much as length or density
-where such elements hold the text of the page (not beside a teaser). Menus, notices, adverts,
+where such elements hold the text of the page (not beside a teaser). Where most of the long text of a page has hardly any of the known
+function words, the language is unknown and they decide nothing. Menus, notices, adverts,
 forms, comments ... are out, by element or by the words of class, id and role; not so what
 an article or main element within them holds, and not a part without which little is left:
 a form or a part named by layout words that holds most of the long text, or any other part
@@ -74,6 +75,8 @@ _TOKEN = re.compile(
 )
 _HREF = re.compile(r"(?i)(?:^|[\s\"'/])href\s*=")
 _NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# Wide characters, which say as much as two letters or more.
+_WIDE = re.compile("[\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 _WORD_EDGES = re.compile(r"[\s_:./-]+|(?<=[a-z])(?=[A-Z])")
 _EDGES = ".,;:!?\"'()[]«»¿¡#*$%&|<>-"
 
@@ -253,8 +256,9 @@ def _settle(parts: list[Part], done: list[tuple[str, Block]]) -> None:
     """Decide which parts are out. Two parts beside each other cannot both hold most of the page."""
     for text, block in done:
         if not linked_mostly(text, block):
-            block.part.all += len(text)
-            block.part.long += len(text) if len(text) >= SHORT or block.article else 0
+            size = size_of(text)
+            block.part.all += size
+            block.part.long += size if size >= SHORT or block.article else 0
     for part in reversed(parts):
         if part.above:
             part.above.long += part.long
@@ -282,6 +286,17 @@ def _named(rest: str, whole: bool = False) -> set[str]:
 GOOD, NEAR, OPEN, BAD = "good", "near", "open", "bad"
 
 
+def size_of(text: str) -> int:
+    """Code points; wide characters count twice."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def stops_of(text: str) -> float:
+    """Share of known function words."""
+    words = text.split()
+    return sum(w.strip(_EDGES).lower() in STOP_WORDS for w in words) / len(words)
+
+
 def linked_mostly(text: str, block: Block) -> bool:
     return block.linked > LINKS * len(text)
 
@@ -289,20 +304,29 @@ def linked_mostly(text: str, block: Block) -> bool:
 def articles_hold_text(found: list[tuple[str, Block]]) -> bool:
     """Whether article and main elements hold as much text as the long blocks beside them."""
     free = [(text, block) for text, block in found if not block.out and not linked_mostly(text, block)]
-    inside = sum(len(text) for text, block in free if block.article)
-    return 0 < inside >= sum(len(text) for text, block in free if not block.article and len(text) >= SHORT)
+    inside = sum(size_of(text) for text, block in free if block.article)
+    return 0 < inside >= sum(size for text, block in free if not block.article and (size := size_of(text)) >= SHORT)
+
 
+def language_known(found: list[tuple[str, Block]]) -> bool:
+    """Whether at least half of the long text has known function words."""
+    sizes = {True: 0, False: 0}
+    for text, block in found:
+        if not block.out and not linked_mostly(text, block) and (size := size_of(text)) >= SHORT:
+            sizes[stops_of(text) >= STOP_LOW] += size
+    return sizes[True] >= sizes[False]
 
-def first_pass(text: str, block: Block, within: bool) -> str:
-    """``within``: an article that holds the text of the page is around the block."""
+
+def first_pass(text: str, block: Block, within: bool, known: bool = True) -> str:
+    """``within``: an article that holds the text of the page is around the block; ``known``: its language has known function words."""
     if block.out or linked_mostly(text, block):
         return BAD
-    if len(text) < SHORT:
+    size = size_of(text)
+    if size < SHORT:
         return BAD if not within and (block.linked or text.startswith("©")) else OPEN
-    words = text.split()
-    stops = sum(w.strip(_EDGES).lower() in STOP_WORDS for w in words) / len(words)
-    dense = 2 if stops >= STOP_HIGH else 1 if stops >= STOP_LOW else -1
-    score = (2 if len(text) >= LONG else 1) + dense + 2 * within
+    stops = stops_of(text)
+    dense = 2 if stops >= STOP_HIGH or not known else 1 if stops >= STOP_LOW else -1
+    score = (2 if size >= LONG else 1) + dense + 2 * within
     return GOOD if score >= 4 else NEAR if score >= 2 else BAD
 
 
@@ -358,7 +382,8 @@ def main_text(page: str) -> str:
     found = blocks_of(page)
     counts = articles_hold_text(found)
     articles = [b.article if counts and not b.out else 0 for _, b in found]
-    labels = [first_pass(t, b, a > 0) for (t, b), a in zip(found, articles, strict=True)]
+    known = language_known(found)
+    labels = [first_pass(t, b, a > 0, known) for (t, b), a in zip(found, articles, strict=True)]
     keep = second_pass(labels, [b.heading for _, b in found], articles)
     return "\n".join(t for (t, _), k in zip(found, keep, strict=True) if k)
 

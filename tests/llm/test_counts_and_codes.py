@@ -168,6 +168,30 @@ def test_only_anchors_with_href_are_links_and_end_with_their_block():
     assert html_text.main_text(f"<article><h1>Head</h1><p>{DENSE * 3}</p><p>{DENSE * 2}</p></article><div><a href=/x><h3>Next</h3><p>{DENSE}</p></a></div>") == want
 
 
+FOREIGN = {
+    "pl": "Wczoraj wieczorem nad rzeką zebrało się wielu mieszkańców miasta, którzy chcieli zobaczyć odnowiony most oraz posłuchać koncertu orkiestry strażackiej. ",
+    "ru": "Вчера вечером у реки собралось много жителей города, которые хотели увидеть обновлённый мост и послушать концерт духового оркестра под открытым небом. ",
+    "tr": "Dün akşam nehir kıyısında toplanan kent sakinleri yenilenen köprüyü görmek ve bandonun konserini dinlemek istediler, çocuklar ise oyun oynadı. ",
+    "fi": "Eilen illalla joen rannalle kokoontui paljon kaupungin asukkaita, jotka halusivat nähdä uudistetun sillan sekä kuunnella palokunnan orkesteria. ",
+    "zh": "昨天晚上许多市民聚集在河边,他们想看看修缮一新的大桥,并聆听消防乐队的露天音乐会,孩子们则在草地上玩耍,直到天黑才回家,气氛十分热闹。",
+}
+
+
+@pytest.mark.parametrize("language", FOREIGN)
+def test_languages_without_listed_function_words(language):
+    text = FOREIGN[language]
+    page = f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h2>{text[:12]}</h2><p>{text * 2}</p><p>{text[:20]}</p><p>{text * 3}</p></div><div>© 2020</div></body>"
+    assert html_text.main_text(page).split("\n") == [" ".join(t.split()) for t in (text[:12], text * 2, text[:20], text * 3)]
+    mixed = f"<div><p>{DENSE * 2}</p><p>{text * 3}</p><p>{text * 3}</p></div>"
+    assert len(html_text.main_text(mixed).split("\n")) == 3
+
+
+def test_lists_beside_text_of_a_known_language_stay_out():
+    junk = "Shop sale brand stock deals price order shipping outlet " * 3
+    page = f"<div><p>{DENSE * 3}</p><p>{DENSE * 2}</p></div><div>{junk}</div>"
+    assert html_text.main_text(page) == f"{DENSE * 3}\n{DENSE * 2}"
+
+
 def test_nested_and_stray_tags_take_linear_time():
     began = time.perf_counter()
     for page in ("<div>" * 30_000 + "</section>" * 30_000, "<svg>" * 30_000 + "</nav>" * 30_000, "<a href=x>" * 30_000 + "<button>" * 30_000):
