@@ -132,6 +132,32 @@ def test_network_on_held_out_findings():
     assert passed[truth].mean() > 0.95 and truth[passed].mean() > 0.9
 
 
+SECRET = "Ab3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5"
+
+
+def test_windows_reach_every_character_of_a_long_run():
+    text = "see " + "".join(chr(97 + i % 26) for i in range(200)) + "1 end"
+    (start, end, context, base), = secret_scan.findings(text)[1]
+    assert (start, end, base) == (4, 205, [])
+    assert context == text[:4].rjust(24, "\0") + text[4:205] + text[205:].ljust(8, "\0")
+    seen = set()
+    for at, window in secret_scan.windows_of(context):
+        assert window == context[at : at + secret_scan.WIDTH] and len(window) == secret_scan.WIDTH
+        seen |= set(range(at, at + secret_scan.BODY))
+    assert seen == set(range(201))
+    spans = secret_scan.findings("see /" + "path/" * 30 + "deadbeef" * 4 + "/" + "path/" * 30 + "x1")[1][0][3]
+    (window, label), = secret_scan.labelled_windows(secret_scan.findings("see /" + "path/" * 30 + "deadbeef" * 4 + "/" + "path/" * 30 + "x1")[1][0][2], spans)
+    assert spans == [151, 183] and label and "dead" in window
+
+
+def test_secrets_in_the_middle_of_long_runs(spark):
+    harmless = ["/var/lib/project/sources/modules/network/handlers/2024/reports/summary/index.html", "name=alpha.size=large.colour=green.shape=round.number=17.weight=heavy.place=north"]
+    hard = [f"open /srv/files/archive/documents/customers/{SECRET}/reports/summaries/quarterly/index.html now", f"set name=alpha.size=large.colour=green.key=ghp_{SECRET}.shape=round.weight=heavy.place=north now"]
+    found = secret_scan.scan(frame(spark, list(enumerate(hard + [f"open {x} now" for x in harmless]))))
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
+    assert spans == {i: [("learned", t.index(" ") + 1, t.rindex(" "))] for i, t in enumerate(hard)} | {2: [], 3: []}
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = secret_scan.Network.start(rng, filters=3, size=2)
