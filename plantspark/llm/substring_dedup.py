@@ -1,8 +1,9 @@
-"""Repeated passages by compaction of a De Bruijn graph over words.
+"""Repeated passages by minimizer runs and window hashes; no graph is built.
 
 Edges are token k-mers; as in minimizer-space graphs (Ekim, Berger, Chikhi, 2021) only the
 k-mer with the smallest hash of every window is kept, about one per ten words. Windows in a
-row with the same edge form a path: the words from the first to the end of the last.
+row with the same edge form a path: the words from the first to the end of the last. Paths
+are found within the scan of a text, not chained by joins.
 
 1. ``edges``: Spark counts the kept k-mers of all texts and joins those seen twice back to
    their sources. A window whose edge is unique is unique and leaves the search.
