@@ -7,9 +7,10 @@ when it reads a block at the end of the current m words: m - 1 for a block that
 has there. Where the shift is zero, the bucket of that suffix block, narrowed by the first
 word, gives the patterns that are then compared word by word.
 
-The benchmark is cut into blocks of bounded size. Each block is one broadcast; every
-document is read once and searched for one block after the other, and the hit words of all
-blocks are united. No pair of document and item is made.
+The benchmark without its repeated rows is cut into blocks of bounded size. Each block is
+one broadcast. A benchmark of one block is searched in the plan that reads the documents; of
+several, one pass after the other adds its hits to a written table of the documents, and only
+one block lives on the driver at a time. No pair of document and item is made.
 
 Edge cases: a null text has no words; items without words are ignored; repeated items and
 windows count once per item id (a null id counts as the text ``null``); empty tables give
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
 
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_fields
+from .common import cut, text_or_empty, with_fields
 
 WINDOW = 13
 #: Benchmark bytes per broadcast; a larger benchmark is searched in several blocks.
@@ -103,20 +105,19 @@ def spans_of(found: dict[int, int]) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _built(key: tuple, window: int) -> list[Machine]:
     return machines(list(key), window)
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The benchmark in parts of about ``block_bytes``, which bound what the driver and a task hold at a time."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), text_or_empty(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = ceil(size / block_bytes)
-    if parts <= 1:
-        return [sorted((r.item, r.text) for r in items.collect())]
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct rows of the benchmark in parts of about ``block_bytes``, which bound what the driver and a task hold at a time."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), text_or_empty(text_col).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("item") + F.octet_length("text"))).first()[0] or 0
+    parts = max(1, ceil(size / block_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [sorted((r.item, r.text) for r in items.where(part == k).collect()) for k in range(parts)]
+    for k in range(parts):
+        yield sorted((r.item, r.text) for r in (items.where(part == k) if parts > 1 else items).collect())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -125,9 +126,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     text = text_or_empty(text_col)
     kind = "n_words long, hit_spans array<int>, items array<string>"
     made: Column = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("items"))
+    held, broadcast = "__llm_hits", None
     for block in blocks_of(benchmark, item_id, item_text, block_bytes):
-        made = _searched(sc.broadcast(tuple(block)), window, kind)(text, made["hit_spans"], made["items"])
-    out = with_fields(docs, made, ["n_words", "hit_spans", "items"], drop=("n_hit", "contaminated"))
+        if broadcast is not None:  # another block follows: write what the last one found
+            docs = cut(docs.withColumn(held, made))
+            made = F.col(held)
+            broadcast.destroy()
+        broadcast = sc.broadcast(tuple(block))
+        made = _searched(broadcast, window, kind)(text, made["hit_spans"], made["items"])
+    docs = docs.withColumn(held, made)
+    made = F.col(held)
+    out = with_fields(docs, made, ["n_words", "hit_spans", "items"], drop=("n_hit", "contaminated", held))
     hit = F.aggregate(F.sequence(F.lit(0), F.size("hit_spans") - 1), F.lit(0).cast("long"), lambda s, i: s + F.get("hit_spans", i) * F.when(i % 2 == 0, -1).otherwise(1))
     out = out.withColumn("n_hit", F.when(F.size("hit_spans") > 0, hit).otherwise(F.lit(0)).cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -53,6 +53,34 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     assert decontaminate.contamination(frame(spark, []), benchmark).count() == 0
 
 
+def test_blocks_hold_no_copies(spark):
+    texts = [f"item number {i} holds some words of its own" for i in range(60)]
+    benchmark = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(7, texts[7])] * 300, "item_id long, text string")
+    blocks = list(decontaminate.blocks_of(benchmark, "item_id", "text", 400))
+    assert sorted(r for b in blocks for r in b) == sorted((str(i), x) for i, x in enumerate(texts))
+    assert max(sum(len(i) + len(x) for i, x in b) for b in blocks) < 1200
+
+
+def test_one_block_lives_at_a_time(spark, monkeypatch):
+    made, gone = [], []
+    real = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        assert len(made) == len(gone)
+        made.append(out := real(self, value))
+        end = out.destroy
+        out.destroy = lambda *a: (gone.append(out), end(*a))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    items = [(i, f"item number {i} holds some words of its own") for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    pairs = [(i, f"before {x} behind") for i, x in items] + [(90, "nothing here")]
+    found = decontaminate.contamination(frame(spark, pairs), benchmark, block_bytes=300)
+    assert answer(found.select("doc_id", "n_words", "n_hit", "items", "contaminated")) == contaminated(pairs, items)
+    assert len(made) > 2 and len(gone) == len(made) - 1
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
