@@ -125,11 +125,15 @@ def limits_document(spark, sf):
     SELECT plant AS source, count(*) AS records, min(time) AS first_time, max(time) AS last_time,
            count(DISTINCT tag) AS tags FROM readings GROUP BY plant""", READINGS)
 def inventory(spark, sf):
-    """One file per plant; path and size come from the files' metadata."""
+    """Files of each plant, one for every share of its rows; path and size come from the files' metadata."""
     path, _ = pipelines.scratch(spark, "inventory")
-    readings(spark, sf).withColumn("file", F.col("plant")).coalesce(1).write.partitionBy("file").parquet(path)
-    files = readers.file_inventory(spark, path).where("_size > 0")
-    return files.withColumn("source", F.regexp_extract("_file", "file=([^/]+)/", 1))
+    r = readings(spark, sf).withColumn("file", F.col("plant"))
+    r.repartition("plant", F.pmod(F.xxhash64("unit", "tag", "time"), F.lit(16))).write.partitionBy("file").parquet(path)
+    source = lambda file: F.regexp_extract(file, "file=([^/]+)/", 1).alias("source")
+    files = readers.file_inventory(spark, path).where("_size > 0").groupBy(source("_file"))
+    counts = files.agg(F.sum("records").alias("records"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+    tags = spark.read.parquet(path).select(source("_metadata.file_path"), "tag").groupBy("source").agg(F.count_distinct("tag").alias("tags"))
+    return counts.join(tags, "source")
 
 
 @query("S13_master_merge", "time:t tag unit value:d", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from plantspark.plans.inputs import READINGS, readings, shipments, SHIPMENTS, table
@@ -20,22 +22,45 @@ def reading_stream(spark, sf):
     )
 
 
-def arrivals(spark, sf, files=3, late=True):
-    """A folder of the readings in ``files`` files by time; ``late``: a tenth of each comes one file later."""
+#: Readings in one arrival of a series counted in one task, and in one file.
+BATCH_ROWS, FILE_ROWS = 4_000_000, 250_000
+
+
+def arrivals(spark, sf, parts=3, late=True):
+    """A folder of the readings that grows by ``parts`` arrivals by time, given after each one.
+
+    ``late``: equal spans of time, a tenth of each comes one arrival later. Else the arrivals have about equal
+    rows, and there are as many as ``BATCH_ROWS`` needs. An arrival has as many files as its rows need.
+    """
     folder, _ = pipelines.scratch(spark, "arrivals")
+    staged, _ = pipelines.scratch(spark, "staged")
     r = readings(spark, sf).select(*SERIES, "time", "value", "seq")
-    ends = r.agg(F.unix_micros(F.min("time")).alias("a"), (F.unix_micros(F.max("time")) + 1).alias("b")).first()
-    part = F.floor((F.unix_micros("time") - ends.a) * files / (ends.b - ends.a))
+    at = F.unix_micros("time")
     if late:
-        part = F.least(part + F.when(F.col("seq") % 10 == 0, 1).otherwise(0), F.lit(files - 1))
-    for k in range(files):
-        r.where(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        ends = r.agg(F.min(at).alias("a"), (F.max(at) + 1).alias("b")).first()
+        part = F.floor((at - ends.a) * parts / (ends.b - ends.a))
+        part = F.least(part + F.when(F.col("seq") % 10 == 0, 1).otherwise(0), F.lit(parts - 1))
+    else:
+        parts = max(parts, ceil(r.count() / BATCH_ROWS))
+        ends = r.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+        part = F.size(F.filter(F.lit(ends).cast("array<long>"), lambda end: end < at))
+    r.withColumn("part", part.cast("int")).hint("rebalance", F.col("part")).write.partitionBy("part").parquet(staged)
+    for k in range(parts):
+        rows = spark.read.parquet(staged).where(F.col("part") == k).drop("part")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).mode("append").parquet(folder)
+        yield folder
 
 
 def finished(spark, stream, name):
+    return arrived(spark, [None], lambda _: stream, name)
+
+
+def arrived(spark, folders, plan, name):
+    """What ``plan``, a stream of a folder, has written when it has gone on after every arrival."""
     target, unique = pipelines.scratch(spark, name)
-    return spark.read.parquet(pipelines.run_available(stream, target, unique))
+    for folder in folders:
+        pipelines.run_available(plan(folder), target, unique)
+    return spark.read.parquet(target)
 
 
 CLOSED = f"{READINGS}, mark AS (SELECT date_trunc('millisecond', max(time)) - INTERVAL 1 HOUR AS w FROM readings)"
@@ -43,10 +68,13 @@ CLOSED = f"{READINGS}, mark AS (SELECT date_trunc('millisecond', max(time)) - IN
 
 @query("I6_stream_dedup", "plant unit tag time:t value:d", "SELECT DISTINCT plant, unit, tag, time, value FROM readings", READINGS)
 def stream_dedup(spark, sf):
-    """Three batches; late and repeated readings come within the lateness, a third of the span."""
-    folder = arrivals(spark, sf)
-    stream = pipelines.read_stream(spark, folder, files_per_batch=1)
-    return finished(spark, pipelines.distinct_readings(stream.union(stream), "11 days"), "dedup")
+    """Three arrivals; late and repeated readings come within the lateness, a third of the span."""
+
+    def twice(folder):
+        stream = pipelines.read_stream(spark, folder, files_per_batch=None)
+        return pipelines.distinct_readings(stream.union(stream), "11 days")
+
+    return arrived(spark, arrivals(spark, sf), twice, "dedup")
 
 
 @query("I7_stream_resample", "plant unit tag bucket:t value:d records:l", """
@@ -78,9 +106,9 @@ def stream_sessions(spark, sf):
           (SELECT *, coalesce(count(*) OVER w >= 20 AND abs(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) >= 2, false) AS f FROM readings
            WINDOW w AS (PARTITION BY plant, unit, tag ORDER BY time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))) GROUP BY plant, unit, tag""", READINGS)
 def stream_run_counter(spark, sf):
-    """Three batches in time order; the counts after the last one are those of the whole series."""
-    stream = pipelines.read_stream(spark, arrivals(spark, sf, late=False), files_per_batch=1)
-    counts = finished(spark, pipelines.run_counter(stream, z=2.0), "runs")
+    """Three batches or more in time order; the counts after the last one are those of the whole series."""
+    folders = arrivals(spark, sf, late=False)
+    counts = arrived(spark, folders, lambda folder: pipelines.run_counter(pipelines.read_stream(spark, folder, files_per_batch=None), z=2.0), "runs")
     newest = counts.groupBy(*SERIES).agg(F.max_by(F.struct("time", "rows", "flagged", "run", "longest_run"), "rows").alias("n"))
     return newest.select(*SERIES, "n.*")
 
@@ -162,7 +190,7 @@ def refresh_cycle(spark, sf):
     half = F.lit("2024-01-16").cast("timestamp")
     for arrival in (r.where(F.col("time") < half), r.where((F.col("time") >= half) & (F.col("unit") != "U-3"))):
         arrival.write.mode("append").parquet(f"{base}/incoming")
-        pipelines.refresh_and_analyse(spark, f"{base}/incoming", f"{base}/dataset", f"{base}/results", name)
+        pipelines.refresh_and_analyse(spark, f"{base}/incoming", f"{base}/dataset", f"{base}/results", name, files_per_batch=None)
     return spark.read.parquet(f"{base}/results")
 
 
@@ -176,5 +204,6 @@ PARTS = f"""{READINGS}, ends AS (SELECT epoch_us(min(time)) AS a, epoch_us(max(t
 def fleet_monitor(spark, sf):
     """Three batches with late readings; each status covers all readings so far."""
     base, name = pipelines.scratch(spark, "monitor")
-    pipelines.monitor_fleet(spark, arrivals(spark, sf), f"{base}/results", name, files_per_batch=1)
+    for folder in arrivals(spark, sf):
+        pipelines.monitor_fleet(spark, folder, f"{base}/results", name, files_per_batch=None)
     return spark.read.parquet(f"{base}/results/status")

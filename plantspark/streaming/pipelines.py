@@ -22,6 +22,9 @@ from plantspark.schema import SERIES, UNIT, hours_between
 from plantspark.session import checkpoint_root
 from plantspark.sources import writers
 
+#: New files in one batch.
+FILES_PER_BATCH = 32
+
 STORED = T.StructType(
     [
         T.StructField("plant", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("tag", T.StringType()),
@@ -30,8 +33,8 @@ STORED = T.StructType(
 )
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType = STORED, *, files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
-    """A folder of Parquet files as a stream; each new file is read once."""
+def read_stream(spark: SparkSession, path: str, schema: T.StructType = STORED, *, files_per_batch: int | None = FILES_PER_BATCH, pattern: str | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream; each new file is read once. ``files_per_batch`` None: all that is there is one batch."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -157,7 +160,7 @@ def merge_into_dataset(new: DataFrame, dataset: str, staging: str, folders: list
     writers.overwrite_touched(spark.read.parquet(staging), dataset)
 
 
-def ingest_new_files(spark: SparkSession, incoming: str, dataset: str, name: str, files_per_batch: int | None = None) -> None:
+def ingest_new_files(spark: SparkSession, incoming: str, dataset: str, name: str, files_per_batch: int | None = FILES_PER_BATCH) -> None:
     """I4: new files of ``incoming`` merged into the dataset, then stop."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -166,7 +169,7 @@ def ingest_new_files(spark: SparkSession, incoming: str, dataset: str, name: str
     each_batch(read_stream(spark, incoming, files_per_batch=files_per_batch), name, work)
 
 
-def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, results: str, name: str, max_age_hours: float = 1.0, files_per_batch: int | None = None, look_back_days: float = 90) -> None:
+def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, results: str, name: str, max_age_hours: float = 1.0, files_per_batch: int | None = FILES_PER_BATCH, look_back_days: float = 90) -> None:
     """One cycle: merge what arrived, then run the default detector on the units it refreshed.
 
     The detector reads those units' folders of the last ``look_back_days`` only. Each batch
@@ -190,7 +193,7 @@ def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, result
     each_batch(read_stream(spark, incoming, files_per_batch=files_per_batch), name, work)
 
 
-def monitor_fleet(spark: SparkSession, incoming: str, results: str, name: str, warn_hours: float = 0.5, limit_hours: float = 1.0, files_per_batch: int | None = None) -> None:
+def monitor_fleet(spark: SparkSession, incoming: str, results: str, name: str, warn_hours: float = 0.5, limit_hours: float = 1.0, files_per_batch: int | None = FILES_PER_BATCH) -> None:
     """Newest reading per unit so far, judged after every batch.
 
     A batch leaves one merged row per unit, made of its own readings and the row the batch

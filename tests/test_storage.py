@@ -119,3 +119,42 @@ def test_run_counter_agrees_for_any_batches(spark, readings, tmp_path):
         out = spark.read.parquet(pipelines.run_available(stream, target, name))
         answers.append(rows(out.groupBy(*KEYS).agg(F.max_by(F.struct("rows", "flagged", "run", "longest_run"), "rows"))))
     assert answers[0] == answers[1] and max(r[3]["longest_run"] for r in answers[0]) > 1
+
+
+def test_arrivals_come_in_bounded_files_and_batches(spark, monkeypatch):
+    from plantspark.plans import streams
+
+    monkeypatch.setattr(streams, "BATCH_ROWS", 200)
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    before, seen = None, 0
+    for folder in streams.arrivals(spark, "/root/testdata/sf0.001", late=False):
+        stored = spark.read.parquet(folder)
+        new = stored if before is None else stored.where(F.col("time") > before)
+        count, low, high = new.agg(F.count("*"), F.min("time"), F.max("time")).first()
+        assert 0 < count <= 250 and (before is None or low > before)
+        assert stored.groupBy(F.input_file_name().alias("f")).count().agg(F.max("count")).first()[0] <= 50
+        before, seen = high, seen + count
+    assert seen == stored.count() == streams.readings(spark, "/root/testdata/sf0.001").count()
+
+
+def test_inventory_writes_many_files_of_a_plant(spark, monkeypatch):
+    from plantspark.plans import catalog
+
+    paths, scratch = [], pipelines.scratch
+    monkeypatch.setattr(pipelines, "scratch", lambda *a: (paths.append(scratch(*a)), paths[-1])[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as on a table that is not tiny
+    try:
+        made = catalog.inventory(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    records = sum(r.records for r in made)
+    stored = spark.read.parquet(paths[0][0])
+    per_plant = stored.select("plant", F.input_file_name().alias("name")).distinct().groupBy("plant").agg(F.count("*").alias("n")).collect()
+    assert records == stored.count() and min(r.n for r in per_plant) > 1
+
+
+def test_a_batch_is_bounded_by_default(spark, readings, tmp_path):
+    source, sizes = str(tmp_path / "many"), []
+    readings.limit(40).repartition(40).write.parquet(source)
+    pipelines.each_batch(pipelines.read_stream(spark, source), tmp_path.name, lambda batch, _: sizes.append(batch.count()))
+    assert len(sizes) > 1 and sum(sizes) == 40
