@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.session import cut_lineage, ship
+from plantspark.session import checkpoint_root, cut_lineage, ship
 
 #: Characters that separate words wherever a contract says ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 BLANKS = " \t\n\v\f\r"
@@ -40,3 +42,10 @@ def with_fields(df: DataFrame, made: Column, names: list[str], drop: tuple[str,
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there."""
     return cut_lineage(df)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, whose size the planner knows; lineage goes on from there."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, pii, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
+from . import byte_bpe, decontaminate, hard_negatives, html_text, mixing, pii, prefix_trie, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
 from .common import cut, prepare, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,44 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
 
 
+# The rebuilt conversations; CRC-32 bit by bit, over the decimal id.
+ORACLES["op11_prefix_trie"] = r"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) - 1 AS pos, dg, tok FROM (
+  SELECT conv_id, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tok FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, CAST(conv_id AS VARCHAR) AS s FROM t GROUP BY conv_id),
+crc AS (SELECT conv_id, s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM ids UNION ALL
+  SELECT conv_id, s, i + 1, xor(b // 2, CASE WHEN b % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) FROM (
+    SELECT conv_id, s, i, xor(c, CASE WHEN i % 8 = 0 THEN CAST(ascii(s[i // 8 + 1]) AS BIGINT) ELSE 0 END) AS b FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, (4294967295 - c) % 4 AS h FROM crc WHERE i = 8 * length(s)),
+k AS (SELECT ids.conv_id, ids.n, ids.base, h.h, least(h.h, coalesce(b.n, 0)) AS f FROM ids JOIN h USING (conv_id) LEFT JOIN ids b ON b.conv_id = ids.base),
+r AS (SELECT k.conv_id, t.pos + 1 AS d, t.dg, t.tok FROM k JOIN t ON t.conv_id = k.base AND t.pos < k.f
+  UNION ALL SELECT k.conv_id, t.pos - k.h + k.f + 1, t.dg, t.tok FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos >= k.h),
+m AS (SELECT conv_id, d, string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path, tok FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM k),
+z AS (SELECT conv_id, max(d) AS last FROM m GROUP BY conv_id),
+x AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, max(tok) AS tok, string_agg(CASE WHEN d = last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM m JOIN z USING (conv_id) GROUP BY d, path),
+y AS (SELECT x.*, p.conv_id AS parent_conv_id, coalesce(c.n_children, 0) AS n_children FROM x
+  LEFT JOIN x p ON x.d > 0 AND p.d = x.d - 1 AND p.path = left(x.path, 64 * (x.d - 1))
+  LEFT JOIN (SELECT d - 1 AS d, left(path, 64 * (d - 1)) AS path, count(*) AS n_children FROM x WHERE d > 0 GROUP BY ALL) c ON c.d = x.d AND c.path = x.path),
+a AS (SELECT m.d, m.path, CAST(count(CASE WHEN y.n_children = 0 THEN 1 END) AS BIGINT) AS n_leaves, CAST(sum((y.n - 1) * y.tok) AS BIGINT) AS saved_tokens
+  FROM y JOIN m ON m.conv_id = y.conv_id AND m.d <= y.d GROUP BY m.d, m.path)
+SELECT y.conv_id, CAST(y.d AS BIGINT) AS depth, y.parent_conv_id, CAST(y.n AS BIGINT) AS n_convs, CAST(y.n_children AS BIGINT) AS n_children,
+  a.n_leaves, a.saved_tokens, sha256(coalesce(y.ends, '')) AS ends_sha256 FROM y JOIN a USING (d, path)"""
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) <= 10"""
+
+
 def query(plan: Callable[[SparkSession, str], DataFrame]):
     @wraps(plan)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,3 +165,22 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.counted(_documents(spark, sf_dir), model).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.branched(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(rebuilt).drop("path", "parent")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"), relabel=moved)
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
+@query
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
