@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -114,6 +115,48 @@ def test_repeated_passages_equal_brute_force(spark, window, k, seed):
     assert answer(substring_dedup.deduplicated(frame(spark, pairs, clash=True), window=window, k=k)) == deduplicated(pairs, window)
 
 
+def test_words_decide_not_rolling_hashes(spark):
+    """Two words in Thue-Morse order: equal sums for any base modulo a power of two, yet different words."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(34)]
+    pairs = [(1, " ".join([word, *rest])), (2, " ".join([other, *rest])), (3, " ".join([*rest[:17], word, *rest[17:]])), (4, " ".join([*rest[:17], other, *rest[17:]]))]
+    assert answer(substring_dedup.deduplicated(frame(spark, pairs))) == deduplicated(pairs, 35)
+    assert all(r.n_removed == 0 for r in substring_dedup.deduplicated(frame(spark, pairs)).collect())
+
+
+def test_paths_of_a_graph(spark):
+    """A chain over several texts, a branch, and a ring, against a walk."""
+    pack = lambda low: int(substring_dedup._pack(np.int64(low), np.int64(1)))
+    chain = [(i, 100 + i, 101 + i, i // 3 if i % 2 else 7, pack(i)) for i in range(23)]  # edge, left, right, text, at
+    branch = [(40, 123, 200, 9, pack(0)), (41, 123, 201, 9, pack(5)), (42, 201, 202, 9, pack(6))]
+    ring = [(50 + i, 300 + i, 300 + (i + 1) % 4, 11, pack(2 * i)) for i in range(4)]
+    loop = [(60, 400, 400, 12, pack(0))]
+    df = spark.createDataFrame(chain + branch + ring + loop, "edge long, left long, right long, text long, at long").repartition(3)
+    found = {r.edge: (r.path, r.place) for r in substring_dedup.compacted(df).collect()}
+    assert len({found[i][0] for i in range(23)}) == 1 and [found[i][1] for i in range(23)] == list(range(-23, 0))
+    assert found[41][0] == found[42][0] != found[40][0] and (found[41][1], found[42][1]) == (-2, -1)
+    assert len({found[50 + i][0] for i in range(4)}) == 4 and found[60] == (60, -1)
+
+
+def test_spans_of_long_passages(spark):
+    """A passage shared by texts is one span of its whole length, at its own place in each."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    passage = fresh(400)
+    texts = [fresh(50) + passage + fresh(60), passage + fresh(20), fresh(7) + passage]
+    _, changed = substring_dedup.shared_passages(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]))
+    found = {r.n_removed: r for r in changed.collect()}
+    assert set(found) == {400} and changed.count() == 3
+    for r in changed.collect():
+        longest = max(r.spans, key=lambda x: x["words"])
+        assert longest["words"] > 340
+        own = next(t for t in texts if " ".join(x for x in t if x not in passage) == r.kept)
+        assert own[longest["first"] : longest["first"] + longest["words"]] == passage[passage.index(own[longest["first"]]) :][: longest["words"]]
+
+
 def test_no_passages(spark):
     assert substring_dedup.deduplicated(frame(spark, [])).count() == 0
 
