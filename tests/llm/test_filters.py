@@ -1,7 +1,9 @@
 """Decontamination, personal data, secrets, quality."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -178,6 +180,52 @@ def test_windows_reach_every_character_of_a_long_run():
     assert spans == [151, 183] and label and "dead" in window
 
 
+def test_long_texts_are_scanned_in_linear_time():
+    texts = ["пароль secret: abcdef12 " * 420_000, ("0123456789abcdef" * 3 + " ") * 210_000, "token=abc123/" * 800_000, "aB3/" * 2_500_000]
+    for text in texts:
+        start = time.process_time()
+        base, others = secret_scan.findings(text)
+        for _, _, context, spans in others:
+            secret_scan.labelled_windows(context, spans)
+        assert time.process_time() - start < 30, text[:20]
+    assert [len(secret_scan.findings(t)[0]) for t in texts[:2]] == [420_000, 210_000]
+
+
+def test_findings_equal_a_scan_by_code_points():
+    """Places of spans and what they cover of each candidate, counted plainly."""
+    rng = random.Random(3)
+    parts = ["password", "token=", "AKIA", "ApI_key: ", "secret", *"abcdef0123456789ABCXYZ=./_- \n\"':éж🎉"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 300)))
+        base, others = secret_scan.findings(text)
+        assert base == base_secrets(text)
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=.-]{16,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z_]", m[0])]
+        covered = [[p for _, x, y in base if x < e and s < y for p in (max(x, s) - s, min(y, e) - s)] for s, e in runs]
+        assert [(s, e, w) for s, e, _, w in others] == [(s, e, w) for (s, e), w in zip(runs, covered, strict=True)]
+
+
+def test_secret_shapes_that_are_never_made():
+    """Recall on shapes that the made findings do not hold, as the README states it."""
+    rng = random.Random(31)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    every = letters + letters.upper() + "0123456789"
+    shapes = [
+        lambda: "eyJhbGciOiJIUzI1NiJ9." + some(every, 60) + "." + some(every + "_-", 43),
+        lambda: "AIza" + some(every + "_-", 35),
+        lambda: "glpat-" + some(every, 20),
+        lambda: some(every + "+/", 86) + "==",
+        lambda: some("0123456789ABCDEF", 32),
+        lambda: "-".join(some("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 5) for _ in range(5)),
+    ]
+    net = secret_scan.train(*zip(*secret_scan.made_findings(), strict=True))
+    for shape in shapes:
+        texts = [f"the server said {rng.choice(['key', 'use', 'with:', 'in'])} {shape()} and then it went on" for _ in range(100)]
+        found = [[c[2] for c in secret_scan.findings(t)[1] if not c[3]] for t in texts]
+        asked = [f for f in found if f]
+        assert sum((net.highest(f) >= net.threshold).any() for f in asked) >= 0.8 * len(asked)
+
+
 def test_secrets_in_the_middle_of_long_runs(spark):
     harmless = ["/var/lib/project/sources/modules/network/handlers/2024/reports/summary/index.html", "name=alpha.size=large.colour=green.shape=round.number=17.weight=heavy.place=north"]
     hard = [f"open /srv/files/archive/documents/customers/{SECRET}/reports/summaries/quarterly/index.html now", f"set name=alpha.size=large.colour=green.key=ghp_{SECRET}.shape=round.weight=heavy.place=north now"]
