@@ -16,6 +16,9 @@ gives open blocks the label of their nearest decided neighbours: where the two s
 a heading goes with what follows it and any other block with the nearer side, the earlier if
 equal. Within an article its edges and the parts that are out are no neighbours, and an
 undecided block is out only where all those it has are bad (an open one: on both sides).
+A page of short lines only, most of them without links, keeps them all. Within an article a
+name of several words that may as well be its subject (``legal-history``) needs a part
+without prose to be out. Text for readers without scripts counts where there is no other.
 
 Edge cases: a null or empty page has an empty text; broken markup (unclosed tags, comments
 or quotes) is read as far as it goes, in linear time; character references without a
@@ -63,11 +66,18 @@ _OUTSIDE_ONLY = frozenset(["header"])  # a header within the article belongs to
 _WRAPPERS = frozenset("form fieldset banner sidebar navigation search register login signup social share sharing widget toolbar legal masthead overlay modal".split())
 # Discussions; an article element within them is one of their entries.
 _TALK = frozenset("comment comments commentlist respond replies reply disqus".split())
+# Words that also name what an article is about; in a longer name within an article they are not enough.
+_SUBJECTS = frozenset(
+    "banner navigation menu masthead search form login register related recommended recommendations share sharing social widget toolbar legal copyright "
+    "disclaimer overlay alert footer aside popup modal".split()
+)
+# Beside these such a word does name a part of the page.
+_LISTS = frozenset("post posts articles stories links news items list box bar button buttons icons form menu".split())
 # Words that make a name one of the layout or the subject, not of the part itself.
 _LAYOUT = frozenset("no not non without has have with category tag".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)"  # a comment, or an unclosed one up to the end
+    r"<!--(?:-?>|.*?--!?>|.*)"  # a comment (an empty one ends at once), or an unclosed one up to the end
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/<>]*+)(?P<rest>(?>[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/<>]*+)(?P<rest2>[^<>]*+)>"  # an unclosed quote
     r"|<[!?/][^<>]*+>",
@@ -83,7 +93,7 @@ _EDGES = ".,;:!?\"'()[]«»¿¡#*$%&|<>-"
 
 @dataclass(eq=False)
 class Part:
-    """A part of the page; ``mark`` tells why it would be out: empty, ``WRAPPER`` or ``PLACE``."""
+    """A part of the page; ``mark`` tells why it would be out: empty, ``WRAPPER``, ``SUBJECT`` or ``PLACE``."""
 
     name: str = ""
     above: Part | None = None
@@ -92,11 +102,12 @@ class Part:
     opens: bool = False  # an article or main element that ends the marks around it
     talk: bool = False
     out: bool = False
+    prose: bool = False  # it holds a block that is prose by itself
     long: int = 0  # characters of the long blocks, and of all blocks in articles, without most of them links
     all: int = 0  # characters of all blocks without most of them links
 
 
-WRAPPER, PLACE = "wrapper", "place"
+WRAPPER, SUBJECT, PLACE = "wrapper", "subject", "place"
 
 
 @dataclass
@@ -128,7 +139,7 @@ class Tag:
     close: int = -1  # place of the closing tag of a skipped element or a link in the list of tags
 
 
-def tags_of(page: str) -> list[Tag]:
+def tags_of(page: str, skipped: frozenset[str] = _SKIPPED) -> list[Tag]:
     """The tags outside raw text; skipped elements and links know the tags that close them."""
     tags: list[Tag] = []
     at, end_at = 0, len(page)
@@ -150,7 +161,7 @@ def tags_of(page: str) -> list[Tag]:
             if tag.closing and link:
                 link.close = i
             link = None if tag.closing else tag
-        elif tag.name in _SKIPPED or tag.name in _PARTS:
+        elif tag.name in skipped or tag.name in _PARTS:
             if not tag.closing:
                 if tag.name in _PARTS or not tag.rest.endswith("/"):
                     still.append(tag)
@@ -163,7 +174,7 @@ def tags_of(page: str) -> list[Tag]:
     return tags
 
 
-def blocks_of(page: str) -> list[tuple[str, Block]]:
+def blocks_of(page: str, skipped: frozenset[str] = _SKIPPED) -> list[tuple[str, Block]]:
     """(text, block) in page order; blocks without text are left out."""
     done: list[tuple[str, Block]] = []
     top = Part()
@@ -185,7 +196,7 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             if link:
                 block.linked += len(text)
 
-    tags = tags_of(page)
+    tags = tags_of(page, skipped)
     i, at = 0, 0
     while i < len(tags):
         tag = tags[i]
@@ -195,7 +206,7 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
         name, closing, rest = tag.name, tag.closing, tag.rest
         if name in _RAW:
             block.parts.append(" ")
-        elif name in _SKIPPED:
+        elif name in skipped:
             block.parts.append(" ")
             if not closing and not rest.endswith("/"):
                 if tag.close >= 0:
@@ -249,6 +260,8 @@ def part_of(name: str, rest: str, above: Part) -> Part:
     if name in _OUT_TAGS or (name == "header" and not above.article):
         why = why | {name}
     mark = "" if not why else WRAPPER if why <= _WRAPPERS else PLACE
+    if mark and above.article and why <= _SUBJECTS and not (words & _LISTS) - why and name not in _OUT_TAGS and not why & _named(rest, whole=True):
+        mark = SUBJECT
     return Part(name, above, mark, above.article, holder and not mark and not talk, talk)
 
 
@@ -259,13 +272,19 @@ def _settle(parts: list[Part], done: list[tuple[str, Block]]) -> None:
             size = size_of(text)
             block.part.all += size
             block.part.long += size if size >= SHORT or block.article else 0
+            block.part.prose |= size >= SHORT and stops_of(text) >= STOP_LOW
     for part in reversed(parts):
         if part.above:
             part.above.long += part.long
             part.above.all += part.all
+            part.above.prose |= part.prose
     top = parts[0]
     for part in parts:
-        needed = part.long >= SHORT and 2 * part.long > top.long if part.mark == WRAPPER else part.long >= LONG and 11 * part.all > 10 * top.all
+        if part.mark == WRAPPER:
+            needed = part.long >= SHORT and 2 * part.long > top.long
+        else:
+            needed = part.long >= LONG and 11 * part.all > 10 * top.all
+        needed = needed or (part.mark == SUBJECT and part.prose)
         around = part.above is not None and part.above.out and not part.opens
         part.out = around or bool(part.mark and not needed)
 
@@ -378,12 +397,30 @@ def second_pass(labels: list[str], headings: list[bool], articles: list[int] | N
     return keep
 
 
+def only_short(found: list[tuple[str, Block]], labels: list[str]) -> bool:
+    """Whether a page without any longer text is one of short lines (a poem, a dialogue, a list), most of it without links."""
+    if GOOD in labels or NEAR in labels:
+        return False
+    open_ = sum(size_of(text) for (text, _), label in zip(found, labels, strict=True) if label == OPEN)
+    rest = sum(size_of(text) for (text, block), label in zip(found, labels, strict=True) if label != OPEN and not block.out)
+    return open_ >= SHORT and open_ > rest
+
+
 def main_text(page: str) -> str:
-    found = blocks_of(page)
+    text = _main_text(page, _SKIPPED)
+    if not text and "<noscript" in page.lower():  # a page that shows its text to readers without scripts alone
+        return _main_text(page, _SKIPPED - {"noscript"})
+    return text
+
+
+def _main_text(page: str, skipped: frozenset[str]) -> str:
+    found = blocks_of(page, skipped)
     counts = articles_hold_text(found)
     articles = [b.article if counts and not b.out else 0 for _, b in found]
     known = language_known(found)
     labels = [first_pass(t, b, a > 0, known) for (t, b), a in zip(found, articles, strict=True)]
+    if only_short(found, labels):
+        return "\n".join(t for (t, _), label in zip(found, labels, strict=True) if label == OPEN)
     keep = second_pass(labels, [b.heading for _, b in found], articles)
     return "\n".join(t for (t, _), k in zip(found, keep, strict=True) if k)
 

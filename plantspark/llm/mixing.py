@@ -17,9 +17,9 @@ in Pareto order, so a large source ends within a thousandth of its size. In a so
 large documents only, the shortfall is less than the shortest document left out, or that one
 is taken where this comes nearer.
 
-Skew: no task ranks a source. Words are counted by source and interval of the rank (65,536 a
-source), the interval where the target falls is found in the running sums, and only its
-documents are ordered. Reruns agree: u is a hash of the id, the source and the text.
+Skew: no task ranks a source. Words are counted by source and interval of the rank (256 a
+source), the interval where the target falls is found in the running sums, cut into 256 once
+more, and only the documents of the small interval found there are ordered. Reruns agree: u is a hash of the id, the source and the text.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own
 and the last; a null id is an id like any other; rows equal in id, source and text are
@@ -37,8 +37,8 @@ from .common import cut, text_or_empty, written
 WEIGHTS = (1, 2, 3)
 #: Copies of one document at most.
 MOST = 3
-#: Intervals of the rank that are counted per source.
-INTERVALS = 1 << 16
+#: Intervals of the rank that are counted per source, twice.
+INTERVALS = 256
 #: A document with more than this part of its source's words is fitted in one by one.
 LARGE = 1000
 
@@ -124,6 +124,15 @@ def _fitted(large: DataFrame) -> DataFrame:
     return rows.select("source", doc["doc_id"].alias("doc_id"), doc["hash"].alias("hash"), doc["size"].alias("size"), doc["whole"].alias("whole"), taken.cast("long").alias("more"))
 
 
+def _edge(rows: DataFrame, interval: str, start: DataFrame) -> DataFrame:
+    """Per source the interval in which ``quota`` is passed: of, edge, before (words ahead of it), quota. ``start``: of, before, quota."""
+    counted = rows.groupBy("source", interval).agg(F.sum("size").alias("n"))
+    running = counted.withColumn("through", F.sum("n").over(Window.partitionBy("source").orderBy(interval)))
+    passed = running.join(start, F.col("source").eqNullSafe(F.col("of"))).where(F.col("before") + F.col("through") > F.col("quota"))
+    first = passed.groupBy("of").agg(F.min(F.struct(F.col(interval).alias("edge"), (F.col("before") + F.col("through") - F.col("n")).alias("before"), "quota")).alias("at"))
+    return first.select("of", "at.edge", "at.before", "at.quota")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None,
     weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0, seed: int = 13,
@@ -166,17 +175,19 @@ def mix(
     used = large.groupBy("source").agg(F.sum(F.col("size") * F.col("more")).alias("used")).withColumnRenamed("source", "by")
     quota = plan.join(used, F.col("of").eqNullSafe(F.col("by")), "left").select("of", (F.col("room") - F.coalesce("used", F.lit(0))).alias("quota"))
 
-    # The interval of the rank where the quota is used up; all before it are in.
-    small = drawn.where(open_ & ~big).withColumn("interval", F.least(F.floor(F.col("place") * INTERVALS), F.lit(INTERVALS - 1)))
-    counted = small.groupBy("source", "interval").agg(F.sum("size").alias("n"))
-    running = counted.withColumn("after", F.sum("n").over(Window.partitionBy("source").orderBy("interval")))
-    reached = running.join(quota, same).where("after > quota").groupBy("of").agg(F.min(F.struct("interval", (F.col("after") - F.col("n")).alias("before"), "quota")).alias("at"))
-    edge = written(reached.select("of", "at.interval", "at.before", "at.quota").withColumnRenamed("interval", "edge"))
-    placed = small.join(edge, same, "left").drop("of")
-    beside = placed.where(F.col("edge").isNull() | (F.col("interval") != F.col("edge")))
-    beside = beside.select("source", "doc_id", "hash", "size", "whole", (F.col("edge").isNull() | (F.col("interval") < F.col("edge"))).cast("long").alias("more"))
-    within = Window.partitionBy("source").orderBy("place", "hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.where("interval = edge").withColumn("through", F.sum("size").over(within))
+    # The interval of the rank where the quota is used up, and the one within it; all before are in.
+    scaled = F.col("place") * INTERVALS
+    fine = F.least(F.floor((scaled - F.floor(scaled)) * INTERVALS), F.lit(INTERVALS - 1))
+    small = drawn.where(open_ & ~big).withColumn("coarse", F.least(F.floor(scaled), F.lit(INTERVALS - 1))).withColumn("fine", fine)
+    coarse = _edge(small, "coarse", quota.withColumn("before", F.lit(0).cast("long")))
+    within = small.join(coarse, same).where("coarse = edge").select("source", "fine", "size")
+    exact = _edge(within, "fine", coarse.drop("edge")).withColumnsRenamed({"edge": "fine_edge"})
+    edge = written(exact.join(coarse.select(F.col("of").alias("by"), F.col("edge").alias("coarse_edge")), F.col("of").eqNullSafe(F.col("by"))).drop("by"))
+    placed = small.join(edge, same, "left").drop("of").withColumn("at", F.struct("coarse", "fine")).withColumn("edge", F.struct(F.col("coarse_edge").alias("coarse"), F.col("fine_edge").alias("fine")))
+    inner = F.coalesce(F.col("at") == F.col("edge"), F.lit(False))
+    beside = placed.where(~inner).select("source", "doc_id", "hash", "size", "whole", (F.col("quota").isNull() | (F.col("at") < F.col("edge"))).cast("long").alias("more"))
+    ordered = Window.partitionBy("source").orderBy("place", "hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.where(inner).withColumn("through", F.sum("size").over(ordered))
     inside = inside.select("source", "doc_id", "hash", "size", "whole", (F.col("before") + F.col("through") <= F.col("quota")).cast("long").alias("more"))
     rest = drawn.where(~open_).select("source", "doc_id", "hash", "size", "whole", F.lit(0).cast("long").alias("more"))
 

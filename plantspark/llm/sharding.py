@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 VNODES = 128
 RING_BITS = 16
-#: Rows of a position that one task ranks; a fuller position is cut by hash and input partition.
+#: Rows of a position that one task ranks; a fuller position is cut by ranges of the hash.
 LARGE = 1 << 20
 
 
@@ -82,27 +82,27 @@ def place(rows: DataFrame, key: str, shards: int, ties: tuple[str, ...] = (), sl
     """
     spark = rows.sparkSession
     mine = [c for c in rows.columns if c not in ("shard", "slot")]
-    hashed = rows.select(*(F.col(f"`{c}`") for c in mine), _hash(key, list(ties)).alias("__llm_hash"), F.spark_partition_id().alias("__llm_part"))
+    hashed = rows.select(*(F.col(f"`{c}`") for c in mine), _hash(key, list(ties)).alias("__llm_hash"))
     position = F.shiftrightunsigned("__llm_hash", 64 - ring_bits).cast("int")
     hashed = hashed.withColumn("__llm_at", position)
     counts = {r[0]: r[1] for r in hashed.groupBy("__llm_at").count().collect()}
     walked = walk(counts, shards, slack, vnodes, ring_bits)
     table = [(p, -(-counts[p] // LARGE), steps) for p, steps in walked.items()]
-    kind = "__llm_at int, parts long, steps array<struct<first:long,end:long,shard:int,slot:long>>"
+    kind = "__llm_at int, __llm_parts long, __llm_steps array<struct<first:long,end:long,shard:int,slot:long>>"
     # At most one row per position of the ring: 65,536 small ones by default, whatever the input.
     guide = F.broadcast(spark.createDataFrame(table, kind))
     joined = hashed.join(guide, "__llm_at")
-    large = F.col("parts") > 1
-    joined = joined.withColumn("__llm_sub", F.when(large, F.pmod(F.xxhash64(key, *ties), F.col("parts"))).otherwise(F.lit(0)))
-    joined = joined.withColumn("__llm_part", F.when(large, F.col("__llm_part")).otherwise(F.lit(0)))
-    group = ["__llm_at", "__llm_sub", "__llm_part"]
+    # A fuller position is cut into ranges of the hash, so the order of its rows is the same however many there are.
+    beyond = F.shiftrightunsigned(F.shiftleft("__llm_hash", ring_bits), 33)
+    joined = joined.withColumn("__llm_sub", F.shiftright(beyond * F.col("__llm_parts"), 31))
+    group = ["__llm_at", "__llm_sub"]
     ranked = joined.withColumn("__llm_rank", F.row_number().over(Window.partitionBy(*group).orderBy("__llm_hash", key, *ties)).cast("long") - 1)
     if any(n > LARGE for n in counts.values()):
-        sizes = joined.where(large).groupBy(*group).count()
-        earlier = Window.partitionBy("__llm_at").orderBy("__llm_sub", "__llm_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = joined.where("__llm_parts > 1").groupBy(*group).count()
+        earlier = Window.partitionBy("__llm_at").orderBy("__llm_sub").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select(*group, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__llm_before"))
         ranked = ranked.join(offsets, group, "left").withColumn("__llm_rank", F.col("__llm_rank") + F.coalesce("__llm_before", F.lit(0)))
-    step = F.filter("steps", lambda s: (s["first"] <= F.col("__llm_rank")) & (F.col("__llm_rank") < s["end"]))[0]
+    step = F.filter("__llm_steps", lambda s: (s["first"] <= F.col("__llm_rank")) & (F.col("__llm_rank") < s["end"]))[0]
     found = ranked.withColumn("__llm_step", step)
     slot = F.col("__llm_step.slot") + F.col("__llm_rank") - F.col("__llm_step.first")
     return found.select(*(F.col(f"`{c}`") for c in mine), F.col("__llm_step.shard").alias("shard"), slot.alias("slot"))

@@ -206,3 +206,64 @@ def test_main_text_edge_cases(spark):
     assert got[1] == got[2] == got[4] == ("", 0) and got[5] == ("x", 1)
     assert html_text.extracted(df.limit(0)).count() == 0
     assert answer(html_text.extracted(df).where("page_id = 5").select("text")) == [("x",), ("x",)]
+
+
+PROSE = "The law of the land is that it was for the people and by the people, and in the end it is what they had in mind when they wrote it. "
+STORY = "It is the story of the town and of its people, and what they did in the years of the war. "
+
+
+def test_pages_of_short_lines_keep_them():
+    lines = [f"A line of the poem, number {i}" for i in range(12)]
+    page = "<html><body><nav><a href=/>Home</a></nav><div id=content><h1>Poem</h1>" + "".join(f"<p>{x}</p>" for x in lines) + "</div><footer>© 2024 Site</footer></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Poem", *lines])
+    links = "<ul>" + "<li><a href=x>Link to here</a></li>" * 20 + "</ul><p>Loading"
+    assert html_text.main_text(links) == ""
+
+
+@pytest.mark.parametrize(("name", "kept"), [("legal-history", True), ("search-results-note", True), ("related-work", True), ("related-posts", False), ("comments-area", False), ("ad", False), ("search", False), ("cookie-notice", False)])
+def test_names_within_an_article(name, kept):
+    text = html_text.main_text(f"<article><h1>T</h1><p>{STORY * 4}</p><section class='{name}'><p>{PROSE * 2}</p></section><p>{STORY * 5}</p></article>")
+    assert (PROSE[:40] in text) is kept and text.count(STORY[:40]) == 9
+
+
+def test_empty_comments_end_at_once():
+    for empty in ("<!-->", "<!--->", "<!-- x -->", "<!-- x --!>"):
+        assert html_text.main_text(f"<p>{PROSE * 2}</p>{empty}<p>{STORY * 3}</p><p>{PROSE} --> {STORY}</p>").count(STORY[:40]) == 4
+
+
+def test_text_without_scripts():
+    assert html_text.main_text(f"<body><div id=app></div><noscript><div><p>{PROSE * 2}</p></div></noscript><script>x</script></body>").startswith(PROSE[:40])
+    assert "enable" not in html_text.main_text(f"<body><p>{PROSE * 2}</p><noscript><p>{STORY * 3} Please enable scripts.</p></noscript></body>")
+
+
+def ring_by_rows(keys, shards, vnodes, ring_bits):
+    """Bounded loads one row at a time: the rows of a round knock in ring order, by rank within their position."""
+    ring = sharding.points(shards, vnodes, ring_bits)
+    room = sharding.capacities(len(keys), shards, 0.0)
+    where = [p for p, _ in ring]
+    at = {k: next((i for i, p in enumerate(where) if p >= k[0]), 0) for k in keys}
+    placed, waiting = {}, sorted(keys)
+    while waiting:
+        left = []
+        for key in waiting:
+            shard = ring[at[key] % len(ring)][1]
+            if room[shard]:
+                room[shard] -= 1
+                placed[key] = shard
+            else:
+                at[key] += 1
+                left.append(key)
+        for key in left:
+            while not room[ring[at[key] % len(ring)][1]]:
+                at[key] += 1
+        waiting = left
+    return placed
+
+
+def test_ring_equals_a_walk_by_rows(spark):
+    df = narrow(frame(spark, [(i, f"t{i % 50}") for i in range(600)]))
+    df = df.withColumns({c: F.lit(-1) for c in ("shard", "slot", "steps", "parts", "first")})
+    placed = sharding.place(df, "doc_id", 7, ties=("bytes", "crc"), ring_bits=6, vnodes=3)
+    hashed = placed.select("doc_id", "shard", F.xxhash64("doc_id").alias("h")).collect()
+    keys = {((r.h & (1 << 64) - 1) >> 58, r.h, r.doc_id): r.shard for r in hashed}
+    assert ring_by_rows(list(keys), 7, 3, 6) == keys
