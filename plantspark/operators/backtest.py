@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantspark.operators import detectors, forest, joins
-from plantspark.schema import SERIES, UNIT, ratio, valid
+from plantspark.schema import SERIES, UNIT, moment, ratio, valid
 from plantspark.schema import as_of as as_of_column
 
 HASH_DIGITS = 13
@@ -33,7 +33,7 @@ def in_periods(df: DataFrame, weeks: int = 4, as_of=None) -> DataFrame:
     The week follows from the distance to ``as_of``; a reading exactly on a border
     belongs to both weeks, so no join is needed.
     """
-    end = F.unix_micros(as_of_column(df, as_of))
+    end = F.unix_micros(moment(df, as_of))
     week = 7 * 86_400_000_000
     back = end - F.unix_micros("time")
     first = F.floor(back / week)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from plantspark.functions import scoring, tags
 from plantspark.operators import joins, validation
-from plantspark.operators.quantiles import grouped_quantiles
-from plantspark.schema import SERIES, UNIT, days, ratio, valid
-from plantspark.schema import as_of as as_of_column
+from plantspark.operators.quantiles import distribution
+from plantspark.schema import SERIES, UNIT, days, moment, ratio, valid
 
 RELAX = 1.2
 MAX_OUTLIER_PERCENT = 5.0
@@ -22,13 +21,11 @@ def tune(df: DataFrame, *, history_days: float = 90, min_points: int = 100, as_o
     five percent of the history lies outside, the first two are relaxed by 1.2; a lower
     limit is divided by it, which tightens a negative one (kept as published).
     """
-    rows = valid(df).where(F.col("time") >= as_of_column(df, as_of) - days(history_days)).select(*SERIES, "time", "value")
-    stats = rows.groupBy(*SERIES).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
-    ).where(F.col("n") >= min_points)
-    quart = grouped_quantiles(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    rows = valid(df).where(F.col("time") >= moment(df, as_of) - days(history_days)).select(*SERIES, "value")
+    plain = {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value")}
+    stats, _ = distribution(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, plain)
     cv = F.coalesce(ratio(F.col("std"), F.col("mean")) * 100, F.lit(0.0))
-    base = stats.join(quart, list(SERIES)).withColumns({"cv": cv, "iqr": F.col("q3") - F.col("q1"), "tag_type": tags.tag_type(F.col("tag"))})
+    base = stats.where(F.col("n") >= min_points).withColumns({"cv": cv, "iqr": F.col("q3") - F.col("q1"), "tag_type": tags.tag_type(F.col("tag"))})
     base = base.withColumn("stability", scoring.stability(F.col("cv"))).withColumn("sigma", scoring.sigma_of_stability(F.col("stability")))
     limits = scoring.engineering_limits(F.col("tag_type"), F.col("min"), F.col("max"))
     fence = F.when(F.col("stability").isin("VERY_STABLE", "STABLE"), 2.0).otherwise(1.5)

@@ -1,10 +1,19 @@
-"""Exact quantiles per group (linear interpolation) whose work splits inside a group.
-
-``percentile`` keeps every distinct value of a group in the memory of one task. Here a
-sketch first brackets each wanted rank; the second pass then counts rows outside the
-brackets and keeps single values only inside them, a small share of the group. Counting
-is a grouped aggregate with partial sums, so one hot group spreads over all tasks, and
-the picked values are the exact order statistics, not the sketch's guesses.
+"""The distribution of each group from counts of its values, in few passes.
+
+``percentile`` keeps every distinct value of a group in the memory of one task. Here
+
+1. one pass takes the plain sums a caller wants and a sketch of the values;
+2. one pass counts the values between the sketch's edges and keeps single values only in
+   the narrow brackets around the wanted ranks. Counting is a grouped aggregate with
+   partial sums, so one hot group spreads over all tasks. The counts are exact, so they
+   tell whether a rank lies in its bracket; if a sketch ever missed, the interval that holds
+   the rank is opened and counted again;
+3. ``deviations`` bounds the median absolute deviation from those same counts (each
+   interval has a least and a greatest distance from the median) and finds it, together
+   with any counts that depend on the statistics, in one more pass.
+
+What is left of a group after a pass is small; it is written to the checkpoint folder, so
+nothing that uses it reads the readings again.
 """
 
 from __future__ import annotations
@@ -15,108 +24,189 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantspark.operators.sequence import has_hot_series
+from plantspark.session import cut_lineage
 
 # Rank error of the sketch is at most 1 / ACCURACY; the bracket leaves four times that.
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
-# Parts into which the second round divides a bracket of a hot group.
+# Parts into which a round divides a bracket of a hot group.
 GRID = 1_000
+# Intervals whose counts bound the deviations from the median.
+CELLS = 400
+_INTERVALS = "array<struct<lo:double,hi:double>>"
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], hot: bool | None = None) -> DataFrame:
-    """One row per group: keys, ``n`` and one exact quantile column per entry.
+def _numbers(values: Sequence[float]) -> Column:
+    """A literal array; one text keeps the plan small."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
 
-    ``hot``: does a group exceed what one task should rank? None asks the data; callers
-    that derived ``df`` from laid-out readings know it already.
-    """
-    keys = list(keys)
-    probs = sorted(set(quantiles.values()))
-    edges = sorted({min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)})
-    data = df.select(*[F.col(k) for k in keys], F.col(value).alias("_v")).where(F.col("_v").isNotNull())
 
-    marks = data.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_e"),
-    )
+def _with_marks(data: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    # No hint: Spark broadcasts the marks when they are small and splits a skewed
+    # group of the sort-merge join (AQE) when they are not.
+    return data.join(marks, list(keys)) if keys else data.crossJoin(F.broadcast(marks))
 
-    def edge(p: float, side: int) -> Column:
-        return F.element_at("_e", edges.index(min(1.0, max(0.0, p + side * MARGIN))) + 1)
 
-    brackets = F.array(*[F.struct(edge(p, -1).alias("lo"), edge(p, 1).alias("hi")) for p in probs])
-    marks = marks.select(*keys, "n", brackets.alias("_brackets"))
-    if has_hot_series(data, keys) if hot is None else hot:
-        marks = _narrowed(data, marks, keys, probs)
-    marks = marks.withColumn("_edges", F.flatten(F.transform("_brackets", lambda b: F.array(b["lo"], b["hi"]))))
-
-    # Slot of a value: single values inside a bracket; between brackets only the count
-    # matters, so every value between the same edges shares one slot.
-    inside = F.exists("_brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+def _slots(data: DataFrame, marks: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Counts of ``_v`` by interval between ``_edges``, and by value inside the ``_open`` intervals."""
+    inside = F.exists("_open", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
     below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    slots = (
-        _with_marks(data, marks.select(*keys, "_brackets", "_edges"), keys)
+    return (
+        _with_marks(data, marks, keys)
         .groupBy(*keys, below.alias("_slot"), F.when(inside, F.col("_v")).alias("_single"))
-        .agg(F.count("*").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.count("*").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[c.alias(n) for n, c in (sums or {}).items()])
     )
-    in_order = Window.partitionBy(*keys).orderBy("_slot", F.col("_single").asc_nulls_first())
-    ranked = slots.withColumn("_upto", F.sum("_count").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.join(marks.select(*keys, "n"), keys)
-
-    def value_at(rank):
-        # The rank convention may point one row past a bracket: the ends of the shared
-        # slots are known too. Anything deeper would mean the sketch broke its bound.
-        known = (
-            F.when((F.col("_lo") == F.col("_hi")) | (rank == F.col("_upto") - F.col("_count")), F.col("_lo"))
-            .when(rank == F.col("_upto") - 1, F.col("_hi"))
-            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
-        )
-        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_count")), known))
 
-    picks = []
-    for i, p in enumerate(probs):
-        low = F.floor((F.col("n") - 1) * F.lit(p))
-        high = F.least(low + 1, F.col("n") - 1)
-        picks += [value_at(low).alias(f"_low{i}"), value_at(high).alias(f"_high{i}")]
-    picked = ranked.groupBy(*keys, "n").agg(*picks)
+
+def _ranked(slots: DataFrame, keys: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    """Per group one struct (value, lo, hi) per rank, counted from 0; value is null where only an interval is known."""
+    order = Window.partitionBy(*keys).orderBy("_slot", F.col("_single").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = slots.withColumn("_upto", F.sum("_count").over(order)).withColumn("_from", F.col("_upto") - F.col("_count"))
+    n = Window.partitionBy(*keys)
+    counted = counted.withColumn("n", F.sum("_count").over(n))
+
+    def pick(rank: Column) -> Column:
+        known = F.when((F.col("_lo") == F.col("_hi")) | (rank == F.col("_from")), F.col("_lo")).when(rank == F.col("_upto") - 1, F.col("_hi"))
+        found = F.struct(known.alias("value"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_upto")), found))
+
+    return counted.groupBy(*keys, "n").agg(*[pick(r).alias(name) for name, r in ranks.items()])
+
+
+def _rank(p: float, side: int) -> Column:
+    low = F.floor((F.col("n") - 1) * F.lit(p))
+    return F.least(low + side, F.col("n") - 1)
+
+
+def distribution(
+    df: DataFrame, keys: Sequence[str], value: str | Column, quantiles: Mapping[str, float], sums: Mapping[str, Column] | None = None, *, cells: int = 0, hot: bool | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(stats, slots). Stats: keys, ``n``, the sums and one exact quantile column per entry (linear interpolation).
+
+    Groups without a value are left out. ``cells``: how many intervals the slots divide
+    each group into beside the brackets. ``hot``: does a group exceed what one task should
+    rank? None asks the data; callers that derived ``df`` from laid-out readings know it.
+    """
+    keys, sums = list(keys), dict(sums or {})
+    probs = sorted(set(quantiles.values()))
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    data = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(F.col("_v").isNotNull())
+    edges = sorted({min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)} | {i / cells for i in range(1, cells)})
+    marks = df.groupBy(*keys).agg(F.count(v).alias("n"), F.percentile_approx(v, _numbers(edges), ACCURACY).alias("_edges"), *[c.alias(s) for s, c in sums.items()])
+
+    def edge(p: float, side: int) -> Column:
+        return F.element_at("_edges", edges.index(min(1.0, max(0.0, p + side * MARGIN))) + 1)
+
+    brackets = F.array(*[F.struct(edge(p, -1).alias("lo"), edge(p, 1).alias("hi")) for p in probs])
+    marks = cut_lineage(marks.where(F.col("n") > 0).withColumn("_open", brackets.cast(_INTERVALS)))
+    around = marks.select(*keys, "n", "_edges", "_open")
+    if has_hot_series(data, keys) if hot is None else hot:
+        around = cut_lineage(_narrowed(data, around, keys, probs))
+    sides = {f"_{i}{side}": _rank(p, side) for i, p in enumerate(probs) for side in (0, 1)}
+    missed = F.lit(False)
+    for name in sides:
+        missed = missed | F.col(f"{name}.value").isNull()
+    again = F.array_compact(F.array(*[F.when(F.col(f"{name}.value").isNull(), F.struct(F.col(f"{name}.lo").alias("lo"), F.col(f"{name}.hi").alias("hi"))) for name in sides]))
+    found = slots = None
+    while True:
+        ends = F.flatten(F.transform("_open", lambda b: F.array(b["lo"], b["hi"])))
+        part = cut_lineage(_slots(data, around.select(*keys, F.array_distinct(F.concat("_edges", ends)).alias("_edges"), "_open"), keys))
+        placed = cut_lineage(_ranked(part, keys, sides))
+        good = placed.where(~missed)
+        found = good if found is None else found.unionByName(good)
+        kept = part if not keys else part.join(good.select(*keys), keys, "left_semi")
+        slots = kept if slots is None else slots.unionByName(kept)
+        late = placed.where(missed).withColumn("_more", again).select(*keys, "_more")
+        if late.isEmpty():
+            break
+        # The interval that holds the rank is known exactly: open it.
+        around = cut_lineage(_with_marks(around, late, keys).withColumn("_open", F.concat("_open", F.col("_more").cast(_INTERVALS))).drop("_more"))
     columns = []
     for name, p in quantiles.items():
         i = probs.index(p)
         fraction = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
-        columns.append((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * fraction).alias(name))
-    return picked.select(*keys, "n", *columns)
+        low, high = F.col(f"_{i}0.value"), F.col(f"_{i}1.value")
+        columns.append((low + (high - low) * fraction).alias(name))
+    exact = found.select(*keys, *columns)
+    stats = marks.select(*keys, "n", *sums)
+    return cut_lineage(_with_marks(stats, exact, keys)), slots
+
+
+def deviations(df: DataFrame, keys: Sequence[str], value: str, stats: DataFrame, slots: DataFrame, *, centre: str = "median", far: float = 3.5, scale: float = 0.6745, counts: Mapping[str, Column] | None = None) -> DataFrame:
+    """``stats`` with ``mad``, ``mad_outliers`` (scaled deviation above ``far``) and conditional counts over values and stats.
+
+    ``slots`` bound the deviation at its rank: every value of an interval is at least as
+    far from the centre as its nearer end, and at most as its farther one.
+    """
+    keys, counts = list(keys), dict(counts or {})
+    middle = F.col(centre)
+    near, away = F.abs(F.col("_lo") - middle), F.abs(F.col("_hi") - middle)
+    covers = (F.col("_lo") <= middle) & (middle <= F.col("_hi"))
+    spread = _with_marks(slots, stats.select(*keys, centre), keys)
+    # Rank by the nearer ends for the lower bound, by the farther ones for the upper.
+    bounds = None
+    for name, end, side in (("r_lo", F.when(covers, F.lit(0.0)).otherwise(F.least(near, away)), 0), ("r_hi", F.greatest(near, away), 1)):
+        by_end = spread.groupBy(*keys, end.alias("_lo")).agg(F.sum("_count").alias("_count"))
+        points = by_end.withColumns({"_hi": F.col("_lo"), "_slot": F.lit(0), "_single": F.col("_lo")})
+        one = _ranked(points, keys, {name: _rank(0.5, side)}).select(*keys, F.col(f"{name}.value").alias(name))
+        bounds = one if bounds is None else _with_marks(bounds, one, keys)
+    factor = far / scale
+    wide = 1e-9  # rounding of the factor
+    intervals = F.array(
+        F.struct(F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi")),
+        F.struct((F.col("r_lo") * (factor * (1 - wide))).alias("lo"), (F.col("r_hi") * (factor * (1 + wide))).alias("hi")),
+    ).cast(_INTERVALS)
+    marks = _with_marks(stats, bounds, keys).withColumn("_open", intervals).drop("r_lo", "r_hi")
+    marks = marks.withColumn("_edges", F.flatten(F.transform("_open", lambda b: F.array(b["lo"], b["hi"]))))
+    data = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    joined = _with_marks(data, marks, keys).withColumn("_v", F.abs(F.col("_x") - F.col(centre))).withColumnRenamed("_x", value)
+    inside = F.exists("_open", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    part = joined.groupBy(*keys, below.alias("_slot"), F.when(inside, F.col("_v")).alias("_single")).agg(
+        F.count("*").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[F.count_if(c).alias(n) for n, c in counts.items()]
+    )
+    part = cut_lineage(part)
+    placed = _ranked(part, keys, {"_a": _rank(0.5, 0), "_b": _rank(0.5, 1)})
+    fraction = (F.col("n") - 1) * 0.5 - F.floor((F.col("n") - 1) * 0.5)
+    mad = placed.select(*keys, (F.col("_a.value") + (F.col("_b.value") - F.col("_a.value")) * fraction).alias("mad"))
+    hit = (F.col("mad") > 0) & (scale * F.try_divide(F.col("_lo"), F.col("mad")) > far)
+    totals = _with_marks(part, mad, keys).groupBy(*keys).agg(
+        F.first("mad").alias("mad"), F.coalesce(F.sum(F.when(hit, F.col("_count"))), F.lit(0)).alias("mad_outliers"), *[F.sum(n).alias(n) for n in counts]
+    )
+    return _with_marks(stats, totals, keys)
 
 
 def _narrowed(data: DataFrame, marks: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Second round for hot groups: a sketch of the rows inside each bracket narrows it.
+    """For hot groups: a sketch of the rows inside each bracket narrows it.
 
     The rows below a bracket are counted exactly, so the wanted rank is known inside it.
     What is left to rank one by one is about 3e-6 of a group.
     """
-    grid = F.split(F.lit(",".join(str(i / GRID) for i in range(1, GRID))), ",").cast("array<double>")
+    grid = _numbers([i / GRID for i in range(1, GRID)])
     aggregates = []
     for i in range(len(probs)):
-        b = F.col("_brackets")[i]
+        b = F.col("_open")[i]
         inside = (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"])
         aggregates += [
             F.count_if(F.col("_v") < b["lo"]).alias(f"_below{i}"), F.count_if(inside).alias(f"_in{i}"),
             F.percentile_approx(F.when(inside, F.col("_v")), grid, ACCURACY).alias(f"_q{i}"),
         ]
-    counted = _with_marks(data, marks, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("_brackets").alias("_brackets"), *aggregates)
+    counted = _with_marks(data, marks, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("_edges").alias("_edges"), F.first("_open").alias("_open"), *aggregates)
     narrow = []
     for i, p in enumerate(probs):
-        b, inside = F.col("_brackets")[i], F.col(f"_in{i}")
+        b, inside = F.col("_open")[i], F.col(f"_in{i}")
         rank = F.floor((F.col("n") - 1) * F.lit(p)) - F.col(f"_below{i}")
-        first = F.floor(rank / inside * GRID).cast("int") - 2
-        last = F.ceil((rank + 2) / inside * GRID).cast("int") + 2
+        first = F.floor(rank / F.greatest(inside, F.lit(1)) * GRID).cast("int") - 2
+        last = F.ceil((rank + 2) / F.greatest(inside, F.lit(1)) * GRID).cast("int") + 2
         narrow.append(
             F.struct(
                 F.when(first < 1, b["lo"]).otherwise(F.try_element_at(f"_q{i}", F.greatest(F.lit(1), F.least(first, F.lit(GRID - 1))))).alias("lo"),
                 F.when(last > GRID - 1, b["hi"]).otherwise(F.try_element_at(f"_q{i}", F.greatest(F.lit(1), last))).alias("hi"),
             )
         )
-    return counted.select(*keys, "n", F.array(*narrow).alias("_brackets"))
+    return counted.select(*keys, "n", "_edges", F.array(*narrow).cast(_INTERVALS).alias("_open"))
 
 
-def _with_marks(data: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    # No hint: Spark broadcasts the marks when they are small and splits a skewed
-    # group of the sort-merge join (AQE) when they are not.
-    return data.join(marks, keys) if keys else data.crossJoin(F.broadcast(marks))
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], hot: bool | None = None) -> DataFrame:
+    """One row per group: keys, ``n`` and one exact quantile column per entry."""
+    return distribution(df, keys, value, quantiles, hot=hot)[0]

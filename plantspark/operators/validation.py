@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantspark.functions import tags
-from plantspark.operators import joins, sequence, windows
-from plantspark.operators.quantiles import grouped_quantiles
+from plantspark.operators import sequence, windows
+from plantspark.operators.quantiles import CELLS, deviations, distribution
 from plantspark.schema import SERIES, ratio, valid
+from plantspark.session import cut_lineage
 
 # Impossible low/high and suspicious low/high per tag type (None: unbounded).
 ENGINEERING_CHECKS = {
@@ -29,61 +30,77 @@ def _outside(value: Column, low: float | None, high: float | None) -> Column:
     return out
 
 
-def statistical_check(df: DataFrame, min_points: int = 30) -> DataFrame:
-    """Outlier rates by z, by quartile fences and by median deviation, averaged."""
-    rows = valid(df)
-    hot = sequence.has_hot_series(rows)
-    q = grouped_quantiles(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot)
-    centred = rows.join(q.drop("n"), list(SERIES)).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
-    mad = grouped_quantiles(centred, SERIES, "_dev", {"mad": 0.5}, hot).drop("n")
-    stats = joins.series_stats(rows).join(q.drop("n"), list(SERIES)).join(mad, list(SERIES)).where(F.col("n") >= min_points)
-    iqr = F.col("q3") - F.col("q1")
-    v = F.col("value")
-    z_hit = F.abs(v - F.col("mean")) > 3 * F.col("std")
-    iqr_hit = (v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)
-    mad_hit = (F.col("mad") > 0) & (F.abs(0.6745 * ratio(v - F.col("median"), F.col("mad"))) > 3.5)
-    out = rows.join(stats, list(SERIES)).groupBy(*SERIES).agg(
-        F.max("n").alias("n"), F.count_if(z_hit).alias("z_outliers"), F.count_if(iqr_hit).alias("iqr_outliers"), F.count_if(mad_hit).alias("mad_outliers")
-    )
+def _statistics(df: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Per series n, mean, std, quartiles, median deviation and the three outlier counts, with further plain sums.
+
+    Three passes over the readings, whatever is asked: sums and sketch, counts by value,
+    deviations and outliers.
+    """
+    rows = valid(df).select(*SERIES, "value")
+    plain = {"mean": F.avg("value"), "std": F.stddev_samp("value"), **(sums or {})}
+    stats, slots = distribution(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, plain, cells=CELLS)
+    v, iqr = F.col("value"), F.col("q3") - F.col("q1")
+    outside = (v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)
+    return deviations(rows, SERIES, "value", stats, slots, counts={"z_outliers": F.abs(v - F.col("mean")) > 3 * F.col("std"), "iqr_outliers": outside})
+
+
+def _statistical_verdict(stats: DataFrame, min_points: int) -> DataFrame:
     mean_rate = (F.col("z_outliers") + F.col("iqr_outliers") + F.col("mad_outliers")) / 3 / F.col("n") * 100
-    rated = out.withColumn("mean_rate", mean_rate)
+    rated = stats.where(F.col("n") >= min_points).withColumn("mean_rate", mean_rate)
     r = F.col("mean_rate")
     verdict = F.when(r < 1, "LIKELY_FALSE_POSITIVE").when(r < 5, "INVESTIGATE_FURTHER").otherwise("LIKELY_GENUINE")
     return rated.withColumn("verdict", verdict).withColumn("confidence", F.when(r < 1, 85).when(r < 5, 60).otherwise(80))
 
 
-def engineering_check(df: DataFrame) -> DataFrame:
-    """Rates of impossible and suspicious values for the tag's type."""
-    kind, v = F.col("tag_type"), F.col("value")
+def statistical_check(df: DataFrame, min_points: int = 30) -> DataFrame:
+    """Outlier rates by z, by quartile fences and by median deviation, averaged."""
+    rated = _statistical_verdict(_statistics(df), min_points)
+    return rated.select(*SERIES, "n", "z_outliers", "iqr_outliers", "mad_outliers", "mean_rate", "verdict", "confidence")
+
+
+def _engineering_sums() -> dict[str, Column]:
+    """Impossible and suspicious values for the tag's type."""
+    kind, v = tags.tag_type(F.col("tag")), F.col("value")
     impossible = suspicious = F.lit(False)
     for name, (low, high, odd_low, odd_high) in ENGINEERING_CHECKS.items():
         impossible = F.when(kind == name, _outside(v, low, high)).otherwise(impossible)
         suspicious = F.when(kind == name, _outside(v, odd_low, odd_high)).otherwise(suspicious)
-    typed = valid(df).withColumn("tag_type", tags.tag_type(F.col("tag")))
-    out = typed.groupBy(*SERIES, "tag_type").agg(
-        F.count("*").alias("n"), (F.count_if(impossible) / F.count("*") * 100).alias("impossible_rate"), (F.count_if(suspicious) / F.count("*") * 100).alias("suspicious_rate")
-    )
+    return {"_impossible": F.count_if(impossible), "_suspicious": F.count_if(suspicious)}
+
+
+def _engineering_verdict(sums: DataFrame) -> DataFrame:
+    share = lambda c: F.col(c) / F.col("n") * 100
+    out = sums.withColumns({"tag_type": tags.tag_type(F.col("tag")), "impossible_rate": share("_impossible"), "suspicious_rate": share("_suspicious")})
     bad, odd = F.col("impossible_rate") > 5, F.col("suspicious_rate") > 20
     verdict = F.when(bad, "DATA_QUALITY_ISSUE").when(odd, "INVESTIGATE_SENSOR").otherwise("ENGINEERING_OK")
-    return out.withColumn("verdict", verdict).withColumn("confidence", F.when(bad, 90).when(odd, 75).otherwise(70))
+    out = out.withColumn("verdict", verdict).withColumn("confidence", F.when(bad, 90).when(odd, 75).otherwise(70))
+    return out.select(*SERIES, "tag_type", "n", "impossible_rate", "suspicious_rate", "verdict", "confidence")
 
 
-def step_noise(df: DataFrame) -> DataFrame:
-    """Longest stuck stretch in percent, noise ratio and share of large jumps."""
+def engineering_check(df: DataFrame) -> DataFrame:
+    """Rates of impossible and suspicious values for the tag's type."""
+    return _engineering_verdict(valid(df).groupBy(*SERIES).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in _engineering_sums().items()]))
+
+
+def step_noise(df: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Longest stuck stretch in percent, noise ratio and share of large jumps.
+
+    Two ordered passes: the second needs the noise that the first has measured.
+    """
     rows = sequence.lay_out(valid(df).select(*SERIES, "time", "value"))
-    stepped = sequence.strip(sequence.row_frame(rows, lambda w: {"_step": F.col("value") - F.lag("value").over(w)}, before=1))
-    base = stepped.groupBy(*SERIES).agg(
-        F.count("*").alias("n"), F.count("_step").alias("steps"), F.stddev_pop("_step").alias("_noise"), F.stddev_pop("value").alias("_signal")
+    stepped = sequence.row_frame(rows, lambda w: {"_step": F.col("value") - F.lag("value").over(w)}, before=1)
+    base = cut_lineage(
+        stepped.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count("_step").alias("steps"), F.stddev_pop("_step").alias("_noise"), F.stddev_pop("value").alias("_signal"))
     )
-    jumps = (
-        stepped.join(base.select(*SERIES, "_noise"), list(SERIES)).where(F.abs("_step") > 5 * F.col("_noise")).groupBy(*SERIES).agg(F.count("*").alias("_j"))
-    )
-    stuck = windows.same_value_runs(rows)
-    joined = base.join(stuck, list(SERIES)).join(jumps, list(SERIES), "left")
+    breaks = F.col("_step").isNull() | (F.abs("_step") >= tolerance)
+    # The runs are numbered on the layout of the first pass; large jumps are counted within them.
+    numbered = sequence.strip(sequence.run_ids(stepped, breaks)).join(base.select(*SERIES, "_noise"), list(SERIES))
+    runs = numbered.groupBy(*SERIES, "run_id").agg(F.count("*").alias("_n"), F.count_if(F.abs("_step") > 5 * F.col("_noise")).alias("_j"))
+    joined = base.join(runs.groupBy(*SERIES).agg(F.max("_n").alias("longest_same"), F.sum("_j").alias("_j")), list(SERIES))
     noise = F.when(F.col("_signal") > 0, F.col("_noise") / F.col("_signal")).otherwise(0.0)
     return joined.select(
         *SERIES, "n", "longest_same", (F.col("longest_same") / F.col("n") * 100).alias("stuck_rate"), F.coalesce(noise, F.lit(0.0)).alias("noise_ratio"),
-        F.coalesce(ratio(F.coalesce("_j", F.lit(0)), F.col("steps")) * 100, F.lit(0.0)).alias("jump_rate"),
+        F.coalesce(ratio(F.col("_j"), F.col("steps")) * 100, F.lit(0.0)).alias("jump_rate"),
     )
 
 
@@ -96,8 +113,12 @@ def temporal_check(df: DataFrame, min_points: int = 10) -> DataFrame:
 
 
 def combined_verdict(df: DataFrame) -> DataFrame:
-    """One verdict per series from the checks that could be made."""
-    sides = {"s": statistical_check(df), "e": engineering_check(df), "t": temporal_check(df)}
+    """One verdict per series from the checks that could be made.
+
+    The first two checks come from one table of statistics, the third from one ordered pair of passes.
+    """
+    stats = cut_lineage(_statistics(df, _engineering_sums()))
+    sides = {"s": _statistical_verdict(stats, 30), "e": _engineering_verdict(stats), "t": temporal_check(df)}
     out = df.select(*SERIES).distinct()
     for name, side in sides.items():
         out = out.join(side.select(*SERIES, F.col("verdict").alias(f"{name}_verdict"), F.col("confidence").alias(f"{name}_conf")), list(SERIES), "left")

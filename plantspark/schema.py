@@ -69,6 +69,14 @@ def as_of(df: DataFrame, moment: Column | datetime | str | None) -> Column:
     return df.select(F.max("time")).scalar()
 
 
+def moment(df: DataFrame, at: Column | datetime | str | None) -> Column:
+    """The reference time as a literal, so that filters by it reach the scan; asks the data at once when not given."""
+    if at is not None:
+        return as_of(df, at)
+    newest = df.agg(F.max(F.unix_micros("time"))).first()[0]
+    return F.timestamp_micros(F.lit(newest).cast("long"))
+
+
 def micros(column: str | Column = "time") -> Column:
     return F.unix_micros(F.col(column) if isinstance(column, str) else column)
 

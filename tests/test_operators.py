@@ -165,3 +165,55 @@ def test_mahalanobis_equals_numpy(spark):
     want = np.sqrt(np.einsum("ij,jk,ik->i", d, np.linalg.pinv(np.cov(base.T)), d))
     np.testing.assert_allclose(out["distance"], want, rtol=1e-8)
     assert out["threshold"].iloc[0] == pytest.approx(np.quantile(want[:140], 0.99))
+
+
+def scans(df):
+    """File scans in the plan as it is first made, before any exchange is shared."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+
+
+def test_a_sketch_that_misses_is_opened_further(readings, frame, monkeypatch):
+    monkeypatch.setattr(quantiles, "ACCURACY", 3)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    wanted = {"low": 0.05, "q1": 0.25, "median": 0.5, "top": 0.99}
+    out = quantiles.grouped_quantiles(readings, KEYS, "value", wanted).toPandas().sort_values(KEYS).reset_index(drop=True)
+    for name, q in wanted.items():
+        np.testing.assert_allclose(out[name], frame.groupby(KEYS)["value"].quantile(q).to_numpy(), rtol=1e-12)
+
+
+@pytest.mark.parametrize("cells", [400, 3])
+def test_median_deviation_from_counts(spark, readings, frame, cells):
+    rows = readings.select(*KEYS, "value")
+    stats, slots = quantiles.distribution(rows, KEYS, "value", {"median": 0.5}, {"mean": F.avg("value")}, cells=cells)
+    out = quantiles.deviations(rows, KEYS, "value", stats, slots, counts={"above": F.col("value") > F.col("mean")}).toPandas().sort_values(KEYS).reset_index(drop=True)
+    groups = frame.groupby(KEYS)["value"]
+    mad = groups.apply(lambda v: (v - v.median()).abs().median())
+    np.testing.assert_allclose(out["mad"], mad.to_numpy(), rtol=1e-12)
+    far = groups.apply(lambda v: int((0.6745 * (v - v.median()).abs() / (v - v.median()).abs().median() > 3.5).sum()))
+    assert list(out["mad_outliers"]) == list(far) and list(out["above"]) == list(groups.apply(lambda v: int((v > v.mean()).sum())))
+
+
+def test_median_deviation_of_odd_groups(spark):
+    groups = {"one": [4.0], "two": [1.0, 9.0], "flat": [3.0] * 50, "ties": [1.0] * 30 + [2.0] * 29 + [50.0], "none": [None, None], "wide": [float(i * i) for i in range(101)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    stats, slots = quantiles.distribution(df, ["g"], "v", {"median": 0.5}, cells=7)
+    got = {r.g: (r.median, r.mad) for r in quantiles.deviations(df, ["g"], "v", stats, slots).collect()}
+    want = {k: (float(np.median(vs)), float(np.median(np.abs(np.array(vs) - np.median(vs))))) for k, vs in groups.items() if vs[0] is not None}
+    assert got == want
+
+
+def test_statistics_take_few_scans(spark):
+    from plantspark.operators import baseline, incidents, validation
+    from plantspark.plans.inputs import instruments
+
+    df = instruments(spark, "/root/testdata/sf0.001")
+    counts = detectors.candidate_counts(detectors.sigma_candidates(df))
+    equipment = spark.createDataFrame([], incidents.EQUIPMENT)
+    plans = {
+        "T32": validation.statistical_check(df), "T35": validation.combined_verdict(df), "M1": baseline.tune(df),
+        "T31": incidents.incident_report(df, counts, equipment, hours_back=24 * 365, top=3),
+    }
+    for name, plan in plans.items():
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert scans(plan) <= 5, name
+        assert "SinglePartition" not in text.replace("SinglePartition, REPARTITION", ""), name
