@@ -169,15 +169,29 @@ def resample(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES) -> Da
     return df.groupBy(*by, bucket(minutes).alias("bucket")).agg(F.avg("value").alias("value"))
 
 
+def resample_runs(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES) -> DataFrame:
+    """A14 filled forward as runs: each mean, its first bucket, and the ``buckets`` it stands for until the next one.
+
+    Rows grow with the readings, however long the gaps are.
+    """
+    means = resample(df, minutes, by).withColumnRenamed("bucket", "time")
+    micros = minutes * 60_000_000
+    following = sequence.row_frame(means, lambda w: {"_next": F.lead("time").over(w)}, after=1, keys=by)
+    buckets = F.coalesce((F.unix_micros("_next") - F.unix_micros("time")) / micros, F.lit(1)).cast("long")
+    return sequence.strip(following).select(*by, F.col("time").alias("bucket"), buckets.alias("buckets"), "value")
+
+
+def expanded(runs: DataFrame, minutes: int, time: str = "time") -> DataFrame:
+    """One row per bucket of runs with ``buckets``; only for a result that is wanted in this form."""
+    step = F.expr(f"INTERVAL '{minutes}' MINUTE")
+    rest = [c for c in runs.columns if c not in (time, "buckets")]
+    every = F.sequence(F.col(time), F.col(time) + (F.col("buckets") - 1) * step, step)
+    return runs.select(*rest, F.explode(every).alias(time)).select(*[c for c in runs.columns if c != "buckets"])
+
+
 def resample_filled(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES) -> DataFrame:
-    """A14 with every bucket from first to last, empty ones filled forward."""
-    means = resample(df, minutes, by)
-    ends = means.groupBy(*by).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
-    grid = ends.select(*by, F.explode(F.sequence("_a", "_b", step)).alias("bucket"))
-    full = grid.join(means, [*by, "bucket"], "left").withColumnRenamed("bucket", "time")
-    filled = sequence.carry(full, "value", "filled", keys=by)
-    return sequence.strip(filled).select(*by, F.col("time").alias("bucket"), F.col("filled").alias("value"))
+    """A14 with every bucket from first to last, empty ones filled forward: the runs written out."""
+    return expanded(resample_runs(df, minutes, by), minutes, "bucket").select(*by, "bucket", "value")
 
 
 def value_frequencies(df: DataFrame, by: Sequence[str] = SERIES, most: int = 10) -> DataFrame:

@@ -514,36 +514,50 @@ def plot_selection(table: DataFrame, most: int = 5) -> DataFrame:
 
 # -- breakout --------------------------------------------------------------------------
 
-def on_grid(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES, span: Sequence[str] = UNIT, wanted: DataFrame | None = None) -> DataFrame:
-    """Bucket means of every series on its unit's common grid, filled forward.
+def on_grid(df: DataFrame, minutes: int = 10, by: Sequence[str] = SERIES, span: Sequence[str] = UNIT, wanted: DataFrame | None = None, longest: int = 1) -> DataFrame:
+    """Bucket means of every series at its unit's buckets with readings, filled forward, with the ``buckets`` a row stands for.
 
-    ``wanted``: the series to lay out (default all); the grid's ends are the whole unit's.
+    A run of empty buckets of the whole unit repeats the row before it: it is written out up
+    to ``longest`` rows, and the last of them stands for the rest. So rows grow with the
+    readings, not with the time between the first and the last. ``wanted``: the series to lay
+    out (default all); the grid is the whole unit's.
     """
     from plantspark.operators.aggregates import resample
 
     means = resample(df, minutes, by)
-    ends = means.groupBy(*span).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
+    steps = cut_lineage(means.select(*span, F.col("bucket").alias("time")).distinct())
+    # A series has at most one row per step of its unit, and ``longest`` for the gap behind it.
+    most = steps.groupBy(*span).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    hot = None if most * longest > sequence.TARGET_ROWS else False
+    micros = minutes * 60_000_000
+    laid = sequence.lay_out(steps, span, hot=None if most > sequence.TARGET_ROWS else False)
+    following = sequence.strip(sequence.row_frame(laid, lambda w: {"_next": F.lead("time").over(w)}, after=1, keys=span))
+    n = F.coalesce((F.unix_micros("_next") - F.unix_micros("time")) / micros, F.lit(1)).cast("long")
+    shown = F.least(F.col("_n"), F.lit(longest))
+    runs = following.withColumn("_n", n).select(*span, "time", "_n", F.explode(F.sequence(F.lit(0).cast("long"), shown - 1)).alias("_i"))
+    rows = runs.select(
+        *span, F.timestamp_micros(F.unix_micros("time") + F.col("_i") * micros).alias("time"), F.when(F.col("_i") < shown - 1, F.lit(1)).otherwise(F.col("_n") - shown + 1).cast("long").alias("buckets")
+    )
     if wanted is not None:
         means = means.join(wanted, list(by), "left_semi")
-    grid = means.select(*by).distinct().join(ends, list(span))
-    grid = grid.select(*by, F.explode(F.sequence("_a", "_b", F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))).alias("bucket"))
-    full = grid.join(means, [*by, "bucket"], "left").withColumnRenamed("bucket", "time")
-    # A series has at most one row per bucket of the whole span.
-    span_micros = df.agg(F.max(F.unix_micros("time")) - F.min(F.unix_micros("time"))).first()[0] or 0
-    may_be_hot = span_micros / (minutes * 60_000_000) + 1 > sequence.TARGET_ROWS
-    laid = sequence.lay_out(full, by, hot=None if may_be_hot else False)
-    return sequence.carry(laid, "value", "value", keys=by)
+    full = means.select(*by).distinct().join(rows, list(span)).join(means.withColumnRenamed("bucket", "time"), [*by, "time"], "left")
+    return sequence.carry(sequence.lay_out(full, by, hot=hot), "value", "value", keys=by)
 
 
 def breakouts(
     df: DataFrame, speed_tag: str, windows_by_unit: DataFrame | None = None, *, minutes: int = 10, rows: int = 20, low: float = 0.1, high: float = 0.9,
-    persist: int = 2, persist_rows: int = 3, cooldown: int = 5, by: Sequence[str] = SERIES, span: Sequence[str] = UNIT,
+    persist: int = 2, persist_rows: int = 3, cooldown: int = 5, by: Sequence[str] = SERIES, span: Sequence[str] = UNIT, since: Column | None = None,
 ) -> DataFrame:
     """Leaving the rolling quantile band twice in three steps at usual speed, as events.
 
     ``windows_by_unit``: speed_low / speed_high per unit; without it every time counts.
+    ``since``: only events and points from then on count; the bands know the time before.
+
+    Once a constant value fills the band's frame, nothing is outside it, and after the
+    persistence and the cooldown no row depends on an earlier one. So a gap needs as many
+    rows as these three frames hold, however long it is.
     """
-    grid = on_grid(df, minutes, by, span)
+    grid = on_grid(df, minutes, by, span, longest=rows + persist_rows + cooldown)
     series = grid.where(F.col("tag") != speed_tag)
     enough = max(3, rows // 2)
 
@@ -566,9 +580,11 @@ def breakouts(
         speed_grid = speed_grid.join(ranges, list(UNIT)).select(*span, "time", F.col("_speed").between(F.col("speed_low"), F.col("speed_high")).alias("_steady"))
         held = held.join(speed_grid, [*span, "time"], "left")
         steady = F.coalesce("_steady", F.lit(False))
-    flagged = held.withColumn("_mask", steady).withColumn("_hit", F.col("_held") & steady)
+    recent = F.lit(0).cast("long") if since is None else F.greatest(F.lit(0), F.ceil((F.unix_micros(since) - F.unix_micros("time")) / (minutes * 60_000_000)))
+    within = F.greatest(F.lit(0), F.col("buckets") - recent)  # of the buckets of a row, those not before ``since``
+    flagged = held.withColumn("_mask", steady).withColumn("_hit", F.col("_held") & steady & (recent <= 0))
     events = windows.cooldown_counts(flagged, F.col("_hit"), cooldown, by)
-    points = flagged.groupBy(*by).agg(F.count_if("_mask").alias("points"))
+    points = flagged.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_mask"), within)), F.lit(0)).alias("points"))
     out = events.join(points, list(by)).where(F.col("events") > 0)
     return out.withColumn("rate", F.col("events") / F.greatest(F.lit(1), F.col("points")))
 

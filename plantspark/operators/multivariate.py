@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plantspark.operators import backtest, detectors, forest, sequence, windows
 from plantspark.operators.quantiles import grouped_quantiles
-from plantspark.schema import SERIES, UNIT, valid
+from plantspark.schema import SERIES, UNIT, ratio, valid
 from plantspark.session import cut_lineage
 
 # Tag parts that mark a speed feature.
@@ -38,45 +38,57 @@ def chosen_tags(df: DataFrame, max_features: int | None = None) -> DataFrame:
 
 
 def feature_matrix(df: DataFrame, minutes: int = 60, max_features: int | None = None) -> DataFrame:
-    """M4: (unit, time, features): bucket means filled forward, complete rows only.
+    """M4: (unit, time, buckets, features): bucket means filled forward, complete rows only.
 
     One number per tag of the unit (or the first ``max_features``); tags keep their place.
+    A row stands for ``buckets`` equal ones, the unit's empty time up to its next reading;
+    ``aggregates.expanded`` writes them out.
     """
     places = chosen_tags(df, max_features)
     widths = places.groupBy(*UNIT).agg(F.count("*").alias("_k"))
     rows = valid(df).join(places.select(*SERIES), list(SERIES), "left_semi")
     grid = sequence.strip(detectors.on_grid(rows, minutes)).join(places, list(SERIES))
     known = grid.where(F.col("value").isNotNull())
-    vectors = known.groupBy(*UNIT, "time").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_v"))
+    vectors = known.groupBy(*UNIT, "time").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_v"), F.first("buckets").alias("buckets"))
     complete = vectors.join(widths, KEYS).where(F.size("_v") == F.col("_k"))
-    return complete.select(*UNIT, "time", F.col("_v.value").alias("features"))
-
-
-def split_baseline(matrix: DataFrame, fraction: float) -> DataFrame:
-    """Mark the first ``fraction`` of every unit's rows in time as baseline."""
-    placed = sequence.strip(sequence.running(matrix, {"_pos": F.lit(1)}, keys=UNIT))
-    joined = placed.join(unit_sizes(matrix), KEYS)
-    return joined.withColumn("is_base", F.col("_pos") <= F.floor(F.col("_rows") * fraction)).drop("_pos", "_rows")
+    return complete.select(*UNIT, "time", "buckets", F.col("_v.value").alias("features"))
+
+
+def split_baseline(matrix: DataFrame, fraction: float, minutes: int = 60) -> DataFrame:
+    """Mark the first ``fraction`` of every unit's buckets in time as baseline; a row across the border becomes two."""
+    placed = sequence.strip(sequence.running(matrix, {"_end": F.col("buckets")}, keys=UNIT))
+    joined = placed.join(matrix.groupBy(*UNIT).agg(F.sum("buckets").alias("_all")), KEYS)
+    start = F.col("_end") - F.col("buckets")
+    base = F.least(F.col("buckets"), F.greatest(F.lit(0), F.floor(F.col("_all") * fraction) - start)).cast("long")
+    later = F.timestamp_micros(F.unix_micros("time") + base * (minutes * 60_000_000))
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_base"), F.col("time").alias("time"), base.alias("buckets")),
+        F.struct(F.lit(False).alias("is_base"), later.alias("time"), (F.col("buckets") - base).alias("buckets")),
+    )
+    rest = [c for c in matrix.columns if c not in ("time", "buckets")]
+    return joined.withColumn("_side", F.explode(F.filter(sides, lambda s: s["buckets"] > 0))).select(*rest, "_side.time", "_side.buckets", "_side.is_base")
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    """Per unit: rows, mean vector and covariance (ddof 1, flattened).
+    """Per unit: buckets, mean vector and covariance (ddof 1, flattened).
 
-    Every task adds up outer products and leaves one small row per unit. Rows are centred
-    by the unit's mean first to keep the sums accurate.
+    Every task adds up outer products and leaves one small row per unit; a row counts as
+    often as it has buckets. Rows are centred by the unit's mean first to keep the sums accurate.
     """
-    parts = rows.select(*UNIT, F.posexplode("features").alias("_i", "_x"))
-    means = parts.groupBy(*UNIT, "_i").agg(F.avg("_x").alias("_m")).groupBy(*UNIT).agg(
+    parts = rows.select(*UNIT, "buckets", F.posexplode("features").alias("_i", "_x"))
+    means = parts.groupBy(*UNIT, "_i").agg((F.sum(F.col("_x") * F.col("buckets")) / F.sum("buckets")).alias("_m")).groupBy(*UNIT).agg(
         F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c")
     ).select(*UNIT, F.col("_c._m").alias("centre"))
-    centred = rows.join(means, KEYS).select(*UNIT, "centre", F.zip_with("features", "centre", lambda x, c: x - c).alias("_d"))
+    centred = rows.join(means, KEYS).select(*UNIT, "centre", "buckets", F.zip_with("features", "centre", lambda x, c: x - c).alias("_d"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list] = {}
         for batch in batches:
             for unit, group in batch.groupby(KEYS, sort=False):
                 d = np.stack(group["_d"].to_numpy())
-                part = [len(d), d.sum(axis=0), (d.T @ d).ravel()]
+                weight = group["buckets"].to_numpy(dtype=float)
+                weighted = d * weight[:, None]
+                part = [int(weight.sum()), weighted.sum(axis=0), (weighted.T @ d).ravel()]
                 if unit in sums:
                     sums[unit][1:] = [x + y for x, y in zip(sums[unit][1:], part, strict=True)]
                 else:
@@ -123,7 +135,7 @@ def robust_model(base: DataFrame, support: float = 0.75, steps: int = 3) -> Data
     model = cut_lineage(moments(base))
     for _ in range(steps):
         measured = cut_lineage(distances(base, model))
-        limit = grouped_quantiles(measured, UNIT, "distance", {"_limit": support}).drop("n")
+        limit = grouped_quantiles(measured, UNIT, "distance", {"_limit": support}, weight="buckets").drop("n")
         model = cut_lineage(moments(measured.join(limit, KEYS).where(F.col("distance") <= F.col("_limit"))))
     return model
 
@@ -138,14 +150,15 @@ def distance_anomalies(matrix: DataFrame, *, baseline_fraction: float = 0.7, qua
     base = rows.where("is_base")
     model = robust_model(base, min(0.95, max(0.5, support))) if robust else cut_lineage(moments(base))
     measured = cut_lineage(distances(rows, model))
-    limit = grouped_quantiles(measured.where("is_base"), UNIT, "distance", {"threshold": min(0.9999, max(0.9, quantile))}).drop("n")
+    limit = grouped_quantiles(measured.where("is_base"), UNIT, "distance", {"threshold": min(0.9999, max(0.9, quantile))}, weight="buckets").drop("n")
     return measured.join(limit, KEYS).withColumn("is_anomaly", ~F.col("is_base") & (F.col("distance") > F.col("threshold")))
 
 
 def anomaly_rates(judged: DataFrame) -> DataFrame:
-    """Rows, test rows and anomaly rate per unit."""
+    """Rows, test rows and anomaly rate per unit, all in buckets."""
+    some = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("buckets"))), F.lit(0))
     return judged.groupBy(*UNIT).agg(
-        F.count("*").alias("rows"), F.count_if(~F.col("is_base")).alias("test_rows"), F.count_if("is_anomaly").alias("anomalies")
+        F.sum("buckets").alias("rows"), some(~F.col("is_base")).alias("test_rows"), some(F.col("is_anomaly")).alias("anomalies")
     ).withColumn("anomaly_rate", F.coalesce(F.try_divide(F.col("anomalies").cast("double"), F.col("test_rows")), F.lit(0.0)))
 
 
@@ -177,13 +190,20 @@ def trends(df: DataFrame, minutes: int = 60, top: int | None = None) -> DataFram
         tags = df.select(*SERIES).distinct().withColumn("_r", first).where(F.col("_r") <= top).select(*SERIES)
         rows = rows.join(tags, list(SERIES), "left_semi")
     grid = detectors.on_grid(rows, minutes)
-    filled = sequence.running(sequence.carry(grid, "value", "value", backward=True), {"_pos": F.lit(1)})
-    stats = filled.groupBy(*SERIES).agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.regr_slope("value", "_pos").alias("slope"), F.stddev_pop("value").alias("volatility"),
+    filled = sequence.running(sequence.carry(grid, "value", "value", backward=True), {"_end": F.col("buckets")})
+    # Runs of equal buckets, far fewer than the readings, are read a few times.
+    runs = cut_lineage(sequence.strip(filled).select(*SERIES, "value", "buckets", "_end"))
+    v, b = F.col("value"), F.col("buckets")
+    quart = grouped_quantiles(runs, SERIES, "value", {"q25": 0.25, "q75": 0.75}, weight="buckets")
+    level = runs.groupBy(*SERIES).agg((F.sum(v * b) / F.sum(b)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # A run's positions are _end - buckets + 1 to _end; their mean is all that a line needs of them.
+    off, middle = v - F.col("mean"), F.col("_end") - (b - 1) / 2
+    sums = runs.join(level.select(*SERIES, "mean"), list(SERIES)).groupBy(*SERIES).agg(F.sum(b * off * off).alias("_vv"), F.sum(b * off * middle).alias("_vp"))
+    n = F.col("n").cast("double")
+    stats = quart.join(level, list(SERIES)).join(sums, list(SERIES)).withColumns(
+        {"std": F.sqrt(ratio(F.col("_vv"), n - 1)), "slope": ratio(F.col("_vp"), n * (n * n - 1) / 12), "volatility": F.sqrt(F.col("_vv") / n)}
     )
-    quart = grouped_quantiles(sequence.strip(filled), SERIES, "value", {"q25": 0.25, "q75": 0.75}, not sequence.is_whole(filled)).drop("n")
-    return stats.join(quart, list(SERIES))
+    return stats.select(*SERIES, "n", "mean", "std", "min", "max", "slope", "volatility", "q25", "q75")
 
 
 LAG_FEATURES = ("lag1", "lag2", "lag3", "mean5", "std5")
@@ -229,7 +249,7 @@ def forecasts(df: DataFrame, trees: int = 50, min_rows: int = 50, seed: int = 42
 
 def named_features(df: DataFrame, features: Sequence[str], mapping: Mapping[str, str | Sequence[str]] | None = None, *, minutes: int = 60, min_coverage: float = 0.8) -> DataFrame:
     """One column of numbers per feature name: an exact tag, the tags matching its
-    patterns, or the tags containing its name, averaged per time.
+    patterns, or the tags containing its name, averaged per time; rows stand for ``buckets`` as in M4.
 
     Units with less than ``min_coverage`` of the features (or fewer than two) drop out.
     """
@@ -256,9 +276,9 @@ def named_features(df: DataFrame, features: Sequence[str], mapping: Mapping[str,
     usable = found.where((F.col("_k") / len(features) >= min_coverage) & (F.col("_k") >= 2))
     # The grid spans the whole unit's time, so its ends are taken before other tags go.
     grid = sequence.strip(detectors.on_grid(valid(df), minutes, wanted=named.select(*SERIES).distinct())).join(named, list(SERIES))
-    means = grid.groupBy(*UNIT, "time", "feature").agg(F.avg("value").alias("v")).where(F.col("v").isNotNull())
-    wide = means.groupBy(*UNIT, "time").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("_v"))
-    return wide.join(usable, KEYS).where(F.size("_v") == F.col("_k")).select(*UNIT, "time", F.col("_v.feature").alias("names"), F.col("_v.v").alias("features"))
+    means = grid.groupBy(*UNIT, "time", "feature").agg(F.avg("value").alias("v"), F.first("buckets").alias("buckets")).where(F.col("v").isNotNull())
+    wide = means.groupBy(*UNIT, "time").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("_v"), F.first("buckets").alias("buckets"))
+    return wide.join(usable, KEYS).where(F.size("_v") == F.col("_k")).select(*UNIT, "time", "buckets", F.col("_v.feature").alias("names"), F.col("_v.v").alias("features"))
 
 
 def _reconstruction(components: int):
@@ -305,7 +325,7 @@ def reconstruction_anomalies(matrix: DataFrame, components: int = 2, quantile: f
     measured = cut_lineage(
         forest.apply_model(matrix, moments(matrix), unit_sizes(matrix), KEYS, F.xxhash64("time"), _reconstruction(components), schema)
     )
-    limit = grouped_quantiles(measured, UNIT, "error", {"threshold": min(0.9999, max(0.9, quantile))}).drop("n")
+    limit = grouped_quantiles(measured, UNIT, "error", {"threshold": min(0.9999, max(0.9, quantile))}, weight="buckets").drop("n")
     return measured.join(limit, KEYS).withColumn("is_anomaly", F.col("error") > F.col("threshold"))
 
 

@@ -54,7 +54,7 @@ def _slots(data: DataFrame, marks: DataFrame, keys: Sequence[str], sums: Mapping
     return (
         _with_marks(data, marks, keys)
         .groupBy(*keys, below.alias("_slot"), F.when(inside, F.col("_v")).alias("_single"))
-        .agg(F.count("*").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[c.alias(n) for n, c in (sums or {}).items()])
+        .agg(F.sum("_w").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[c.alias(n) for n, c in (sums or {}).items()])
     )
 
 
@@ -79,28 +79,33 @@ def _rank(p: float, side: int) -> Column:
 
 
 def distribution(
-    df: DataFrame, keys: Sequence[str], value: str | Column, quantiles: Mapping[str, float], sums: Mapping[str, Column] | None = None, *, cells: int = 0, hot: bool | None = None
-) -> tuple[DataFrame, DataFrame]:
+    df: DataFrame, keys: Sequence[str], value: str | Column, quantiles: Mapping[str, float], sums: Mapping[str, Column] | None = None, *,
+    cells: int = 0, hot: bool | None = None, weight: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(stats, slots). Stats: keys, ``n``, the sums and one exact quantile column per entry (linear interpolation).
 
     Groups without a value are left out. ``cells``: how many intervals the slots divide
     each group into beside the brackets. ``hot``: does a group exceed what one task should
     rank? None asks the data; callers that derived ``df`` from laid-out readings know it.
+    ``weight``: a column of whole numbers, how often a row counts. A sketch cannot know it,
+    so the first count is by interval only and a second one opens those that hold a rank.
     """
     keys, sums = list(keys), dict(sums or {})
+    cells = max(cells, CELLS) if weight else cells
     probs = sorted(set(quantiles.values()))
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    data = df.select(*[F.col(k) for k in keys], v.alias("_v")).where(F.col("_v").isNotNull())
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    data = df.select(*[F.col(k) for k in keys], v.alias("_v"), times.alias("_w")).where(F.col("_v").isNotNull() & (F.col("_w") > 0))
     edges = sorted({min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)} | {i / cells for i in range(1, cells)})
-    marks = df.groupBy(*keys).agg(F.count(v).alias("n"), F.percentile_approx(v, _numbers(edges), ACCURACY).alias("_edges"), *[c.alias(s) for s, c in sums.items()])
+    marks = df.groupBy(*keys).agg(F.coalesce(F.sum(F.when(v.isNotNull(), times)), F.lit(0)).alias("n"), F.percentile_approx(v, _numbers(edges), ACCURACY).alias("_edges"), *[c.alias(s) for s, c in sums.items()])
 
     def edge(p: float, side: int) -> Column:
         return F.element_at("_edges", edges.index(min(1.0, max(0.0, p + side * MARGIN))) + 1)
 
     brackets = F.array(*[F.struct(edge(p, -1).alias("lo"), edge(p, 1).alias("hi")) for p in probs])
-    marks = cut_lineage(marks.where(F.col("n") > 0).withColumn("_open", brackets.cast(_INTERVALS)))
+    marks = cut_lineage(marks.where(F.col("n") > 0).withColumn("_open", (F.array() if weight else brackets).cast(_INTERVALS)))
     around = marks.select(*keys, "n", "_edges", "_open")
-    if has_hot_series(data, keys) if hot is None else hot:
+    if not weight and (has_hot_series(data, keys) if hot is None else hot):
         around = cut_lineage(_narrowed(data, around, keys, probs))
     sides = {f"_{i}{side}": _rank(p, side) for i, p in enumerate(probs) for side in (0, 1)}
     missed = F.lit(False)
@@ -207,6 +212,6 @@ def _narrowed(data: DataFrame, marks: DataFrame, keys: list[str], probs: list[fl
     return counted.select(*keys, "n", "_edges", F.array(*narrow).cast(_INTERVALS).alias("_open"))
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], hot: bool | None = None) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], hot: bool | None = None, weight: str | None = None) -> DataFrame:
     """One row per group: keys, ``n`` and one exact quantile column per entry."""
-    return distribution(df, keys, value, quantiles, hot=hot)[0]
+    return distribution(df, keys, value, quantiles, hot=hot, weight=weight)[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantspark.operators import backtest, baseline, multivariate
+from plantspark.operators import aggregates, backtest, baseline, multivariate
 from plantspark.plans.detect import CHECKS, LIMITS, checked, limits
 from plantspark.plans.inputs import INSTRUMENTS, READINGS, instruments, readings
 from plantspark.plans.registry import query
@@ -59,7 +59,7 @@ GRID = """hm AS (SELECT plant, unit, tag, date_trunc('hour', time) AS b, avg(val
 @query("M4_feature_matrix", "plant unit time:t lead:d total:d width:l", """
     SELECT plant, unit, b AS time, max(value) FILTER (tag LIKE '%SI-%') AS lead, sum(value) AS total, count(value) AS width FROM hf GROUP BY plant, unit, b HAVING count(value) = 5""", f"{INSTRUMENTS}, {GRID.format(src='instruments')}")
 def feature_matrix(spark, sf):
-    m = multivariate.feature_matrix(instruments(spark, sf))
+    m = aggregates.expanded(multivariate.feature_matrix(instruments(spark, sf)), 60)
     return m.select(*UNIT, "time", F.col("features")[0].alias("lead"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("features").alias("width"))
 
 
@@ -81,7 +81,7 @@ def matrix_forest_split(spark, sf):
 
 @query("M8_matrix_forest", "plant unit time:t score:d is_anomaly:b")
 def matrix_forest(spark, sf):
-    return multivariate.matrix_forest(multivariate.feature_matrix(instruments(spark, sf)), trees=50)
+    return aggregates.expanded(multivariate.matrix_forest(multivariate.feature_matrix(instruments(spark, sf)), trees=50), 60)
 
 
 @query("M9_projection", "plant unit time:t energy:d width:l explained:d", """
@@ -90,7 +90,7 @@ def matrix_forest(spark, sf):
     f"{INSTRUMENTS}, {GRID.format(src='instruments')}, whole AS (SELECT * FROM hf QUALIFY count(value) OVER (PARTITION BY plant, unit, b) = 5)")
 def projection(spark, sf):
     """All components together keep every row's squared length."""
-    m = multivariate.projected(multivariate.feature_matrix(instruments(spark, sf)))
+    m = aggregates.expanded(multivariate.projected(multivariate.feature_matrix(instruments(spark, sf))), 60)
     energy = F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x)
     return m.select(*UNIT, "time", energy.alias("energy"), F.size("projected").alias("width"), "explained")
 
@@ -153,13 +153,13 @@ MAPPING = {"click": "click", "flow": ["view", "signup"]}
     FROM hf GROUP BY plant, unit, b HAVING max(value) FILTER (tag = 'click') IS NOT NULL AND max(value) FILTER (tag = 'error') IS NOT NULL AND max(value) FILTER (tag = 'purchase') IS NOT NULL AND max(value) FILTER (tag = 'signup') IS NOT NULL
       AND count(value) FILTER (tag IN ('view', 'signup')) > 0""", f"{READINGS}, {GRID.format(src='readings')}")
 def named_features(spark, sf):
-    m = multivariate.named_features(readings(spark, sf), FEATURES, MAPPING)
+    m = aggregates.expanded(multivariate.named_features(readings(spark, sf), FEATURES, MAPPING), 60)
     return m.select(*UNIT, "time", *[F.col("features")[i].alias(n) for i, n in enumerate(sorted(FEATURES))])
 
 
 @query("M15_reconstruction", "plant unit time:t error:d threshold:d is_anomaly:b")
 def reconstruction(spark, sf):
-    return multivariate.reconstruction_anomalies(multivariate.named_features(readings(spark, sf), FEATURES, MAPPING).drop("names"))
+    return aggregates.expanded(multivariate.reconstruction_anomalies(multivariate.named_features(readings(spark, sf), FEATURES, MAPPING).drop("names")), 60)
 
 
 # -- backtests -------------------------------------------------------------------------
