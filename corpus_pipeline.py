@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.llm import byte_bpe, decontaminate, pii, quality, simhash
-from plantspark.llm.common import prepare, table, text_or_empty
+from plantspark.llm.common import prepare, table, text_or_empty, written
 from plantspark.session import checkpoint_root
 
 
@@ -26,12 +26,13 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior keeps. The rules are weighed on all of them first."""
+    """Documents that the rules' posterior keeps. The rules are weighed on all of them first.
+
+    The texts are measured once: the rows with their counts wait in the shared folder.
+    """
     prepare(spark)
-    measured = quality.measure(docs.select(F.col("text").alias("text")))
-    model = quality.fit(measured)
-    verdict = quality.judge(quality.measure(_whole(docs)), model)
-    return verdict.where("kept").select("doc.*")
+    measured = written(quality.measure(_whole(docs)).drop("text"))
+    return quality.judge(measured, quality.fit(measured)).where("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
