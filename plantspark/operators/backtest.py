@@ -7,13 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantspark.functions.hashing import hash_fraction
 from plantspark.operators import detectors, forest, joins
 from plantspark.schema import SERIES, UNIT, moment, ratio, valid
 from plantspark.schema import as_of as as_of_column
 
-HASH_DIGITS = 13
-HASH_SPACE = float(16**HASH_DIGITS)
-
 
 # -- periods ---------------------------------------------------------------------------
 
@@ -139,12 +137,6 @@ def tuned_against_plain(df: DataFrame, limits: DataFrame, min_points: int = 10)
 
 # -- injection -------------------------------------------------------------------------
 
-def hash_fraction(seed: int, *columns: Column) -> Column:
-    """Reproducible uniform number in [0, 1) from an md5 over the text of the columns."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") / HASH_SPACE
-
-
 def identity_text() -> list[Column]:
     return [*[F.col(c) for c in SERIES], F.unix_micros("time").cast("string")]
 

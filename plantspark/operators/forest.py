@@ -3,7 +3,12 @@
 * every tree draws its rows from the whole group: a hash of row and tree decides, about
   ``max_samples`` rows a tree, so a group sends at most trees x max_samples rows to its
   one small fitting task (numpy), whatever its size;
-* rows are scored in salted shares of a group, so a hot group spreads over many tasks;
+* splits come from a hash too: of tree and node for the threshold, and of the feature for
+  the choice among features. So draws, trees and scores are the same in any run, and SQL
+  can repeat them (see the oracle queries);
+* with one feature a forest is a step function of the value: the model is its steps, and
+  rows are scored by an expression in the JVM. With more features rows are scored by numpy
+  in salted shares of a group, so a hot group spreads over many tasks;
 * scores are rounded to four digits and ties broken by a hash of the row, so the cut by
   contamination is exact and made of counts: per score value, then per hash bucket.
 
@@ -15,6 +20,7 @@ are not reproduced.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -22,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantspark.functions.hashing import fractions, hash_fraction, hash_number
 from plantspark.schema import SERIES
 from plantspark.session import cut_lineage
 
@@ -40,16 +47,18 @@ def _expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(big, 2.0 * (np.log(m - 1.0) + EULER) - 2.0 * (m - 1.0) / m, out)
 
 
-def _grow(rows: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """All trees at once, level by level. ``rows``: one line per draw, ``tree``: 0, 1, ... for each.
+def _grow(rows: np.ndarray, tree: np.ndarray, names: np.ndarray, limit: int, seed: int) -> dict[str, np.ndarray]:
+    """All trees at once, level by level. ``rows``: one line per draw, ``tree``: 0, 1, ... for each, ``names``: what the hashes call them.
 
     Nodes are numbered over all trees, roots first; feature -1 marks a leaf, whose
-    ``depth`` is the path length it stands for.
+    ``depth`` is the path length it stands for. In its tree a node is called 1, 2, 3 ... as
+    in a heap. ``low``: the least value of the first feature that can come here.
     """
-    trees = int(tree.max()) + 1
+    trees = len(names)
     node = tree
     parts: list[dict[str, np.ndarray]] = []
     level, ids, following = 0, np.arange(trees), trees
+    owner, heap, low_end = np.arange(trees), np.ones(trees, np.int64), np.full(trees, -np.inf)
     while len(ids):
         order = np.argsort(node, kind="stable")
         rows, node = rows[order], node[order]
@@ -58,15 +67,21 @@ def _grow(rows: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Generat
         low, high = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
         usable = high > low
         splits = (counts > 1) & usable.any(axis=1) & (level < limit)
-        feature = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
-        at = np.arange(len(ids))
+        feature, share = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        at = np.flatnonzero(splits)
+        called = [f"{seed}|{t}|{n}" for t, n in zip(names[owner[at]].tolist(), heap[at].tolist(), strict=True)]
+        share[at] = fractions(f"{c}|t" for c in called)
+        if rows.shape[1] > 1:
+            choice = np.array(fractions(f"{c}|{f}" for c in called for f in range(rows.shape[1]))).reshape(len(at), rows.shape[1])
+            feature[at] = np.where(usable[at], choice, -1.0).argmax(axis=1)
+        line = np.arange(len(ids))
         # Above the lowest and up to the highest value, so neither side is empty.
-        threshold = high[at, feature] - rng.random(len(ids)) * (high[at, feature] - low[at, feature])
+        threshold = high[line, feature] - share * (high[line, feature] - low[line, feature])
         left = np.where(splits, following + 2 * (np.cumsum(splits) - 1), 0)
         parts.append(
             {
-                "feature": np.where(splits, feature, -1), "threshold": np.where(splits, threshold, 0.0), "left": left,
-                "right": np.where(splits, left + 1, 0), "depth": np.where(splits, 0.0, level + _expected_path(counts)),
+                "feature": np.where(splits, feature, -1), "threshold": np.where(splits, threshold, 0.0), "left": left, "right": np.where(splits, left + 1, 0),
+                "depth": np.where(splits, 0.0, level + _expected_path(counts)), "tree": owner, "low": low_end,
             }
         )
         place = np.searchsorted(ids, node)
@@ -74,28 +89,56 @@ def _grow(rows: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Generat
         rows, place = rows[kept], place[kept]
         goes_right = rows[np.arange(len(rows)), feature[place]] >= threshold[place]
         node = left[place] + goes_right
-        ids = np.arange(following, following + 2 * int(splits.sum()))
+        ids = np.arange(following, following + 2 * len(at))
+        owner, heap = np.repeat(owner[at], 2), np.repeat(2 * heap[at], 2) + np.tile([0, 1], len(at))
+        low_end = np.column_stack([low_end[at], threshold[at]]).ravel()
         following += len(ids)
         level += 1
     return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
 
 
+def _score_of(total: np.ndarray, trees: int, n_fit: float) -> np.ndarray:
+    norm = max(float(_expected_path(n_fit)), 1e-12)
+    return np.round(np.power(2.0, -(total / trees) / norm), SCORE_DIGITS)
+
+
+def _steps(nodes: dict[str, np.ndarray], trees: int, n_fit: float) -> tuple[np.ndarray, np.ndarray]:
+    """With one feature: values where the score changes, and the score before the first and from each on.
+
+    The leaves of a tree in order of their lower ends are the steps of its path length; the
+    forest's are all of them together.
+    """
+    leaf = nodes["feature"] < 0
+    tree, low, depth = nodes["tree"][leaf], nodes["low"][leaf], nodes["depth"][leaf]
+    order = np.lexsort((low, tree))
+    tree, low, depth = tree[order], low[order], depth[order]
+    first = np.r_[True, tree[1:] != tree[:-1]]
+    change = np.where(first, 0.0, depth - np.r_[0.0, depth[:-1]])[~first]
+    starts, where = np.unique(low[~first], return_inverse=True)
+    total = depth[first].sum() + np.r_[0.0, np.cumsum(np.bincount(where, change, minlength=len(starts)))]
+    scores = _score_of(total, trees, n_fit)
+    new = scores[1:] != scores[:-1]
+    return starts[new], np.r_[scores[0], scores[1:][new]]
+
+
 MODEL = "n_fit double, trees int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
+#: Steps in blocks, so that a value is found among the blocks' first ones, then within one.
+STEPS = "_heads array<double>, _blocks array<array<double>>, _width int, _levels array<double>"
 
 
-def draws(identity: Sequence[str], fits: Column, trees: int, max_samples: int, seed: int) -> Column:
+def draws(identity: Sequence[Column | str], fits: Column, trees: int, max_samples: int, seed: int) -> Column:
     """The trees that draw a row, each with probability max_samples / ``fits`` (1 at most).
 
     One hash decides over as many trees as one draw in all of them is expected from, so a
     row of a large group costs one hash, not one per tree.
     """
+    text = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in identity]
     share = F.least(F.lit(1.0), F.lit(float(max_samples)) / fits)
     at_once = F.greatest(F.lit(1), F.least(F.lit(trees), F.floor(1.0 / share))).cast("int")
     rounds = F.sequence(F.lit(0), F.ceil(F.lit(trees) / at_once).cast("int") - 1)
 
     def drawn(r: Column) -> Column:
-        uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), r, *identity), 11) * F.lit(2.0**-53)
-        return F.struct((r * at_once).alias("first"), F.floor(uniform / share).alias("step"))
+        return F.struct((r * at_once).alias("first"), F.floor(hash_fraction(seed, r.cast("string"), *text) / share).alias("step"))
 
     hits = F.filter(F.transform(rounds, drawn), lambda d: (d["step"] < at_once) & (d["first"] + d["step"] < trees))
     return F.transform(hits, lambda d: (d["first"] + d["step"]).cast("int"))
@@ -103,16 +146,28 @@ def draws(identity: Sequence[str], fits: Column, trees: int, max_samples: int, s
 
 def _builder(keys: list[str], features: list[str], max_samples: int, seed: int):
     def build(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["_tree", "_order"])
-        _, tree, sizes = np.unique(pool["_tree"], return_inverse=True, return_counts=True)
+        names, tree, sizes = np.unique(pool["_tree"], return_inverse=True, return_counts=True)
         limit = int(np.ceil(np.log2(max(2, min(max_samples, sizes.max())))))
-        nodes = _grow(pool[features].to_numpy(dtype=float), tree, limit, np.random.default_rng(seed))
-        row = {k: [pool[k].iloc[0]] for k in keys} | {"n_fit": [float(sizes.mean())], "trees": [len(sizes)]}
-        return pd.DataFrame(row | {name: [column] for name, column in nodes.items()})
+        nodes = _grow(pool[features].to_numpy(dtype=float), tree, names, limit, seed)
+        n_fit, row = float(sizes.mean()), {k: [pool[k].iloc[0]] for k in keys}
+        if len(features) == 1:
+            starts, levels = _steps(nodes, len(names), n_fit)
+            width = max(1, isqrt(len(starts)))
+            blocks = [starts[i : i + width] for i in range(0, len(starts), width)]
+            return pd.DataFrame(row | {"_heads": [starts[::width]], "_blocks": [blocks], "_width": [width], "_levels": [levels]})
+        return pd.DataFrame(row | {"n_fit": [n_fit], "trees": [len(names)]} | {name: [nodes[name]] for name in ("feature", "threshold", "left", "right", "depth")})
 
     return build
 
 
+def _step_score(value: Column) -> Column:
+    """The level of the last step at or below the value."""
+    block = F.size(F.filter("_heads", lambda h: h <= value))
+    inside = F.size(F.filter(F.element_at("_blocks", F.greatest(block, F.lit(1))), lambda s: s <= value))
+    step = F.when(block == 0, F.lit(0)).otherwise((block - 1) * F.col("_width") + inside)
+    return F.when(value.isNotNull(), F.element_at("_levels", step + 1))
+
+
 def _scores(data: np.ndarray, model: pd.Series) -> np.ndarray:
     feature, threshold = np.asarray(model.feature), np.asarray(model.threshold)
     left, right, depth = np.asarray(model.left), np.asarray(model.right), np.asarray(model.depth)
@@ -128,8 +183,7 @@ def _scores(data: np.ndarray, model: pd.Series) -> np.ndarray:
             goes_left = data[lines, np.where(inner, f, 0)] < threshold[at]
             at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
         total += depth[at]
-    norm = max(float(_expected_path(model.n_fit)), 1e-12)
-    return np.round(np.power(2.0, -(total / model.trees) / norm), SCORE_DIGITS)
+    return _score_of(total, model.trees, model.n_fit)
 
 
 def forest_scores(
@@ -154,18 +208,25 @@ def forest_scores(
     ready = df.withColumn("_fit", F.coalesce(fit, F.lit(False)) if fit is not None else F.lit(True))
     sizes = ready.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count_if("_fit").alias("_fits")).where(F.col("_fits") >= min_rows)
     sized = ready.join(sizes, keys)
-    order = F.xxhash64(F.lit(seed), *keys, *identity)
-    tree = F.explode(draws([*keys, *identity], F.col("_fits"), trees, max_samples, seed)).alias("_tree")
-    pool = sized.where("_fit").select(*keys, *[F.col(f).cast("double").alias(f) for f in features], order.alias("_order"), tree)
+    text = _text(df, [*keys, *identity])
+    tree = F.explode(draws(text, F.col("_fits"), trees, max_samples, seed)).alias("_tree")
+    pool = sized.where("_fit").select(*keys, *[F.col(f).cast("double").alias(f) for f in features], tree)
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, max_samples, seed), f"{key_ddl}, {MODEL}")
-
+    models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, max_samples, seed), f"{key_ddl}, {STEPS if len(features) == 1 else MODEL}")
+    if len(features) == 1:
+        made = [c.strip().split()[0] for c in STEPS.split(", ")]
+        return df.join(cut_lineage(models), keys).withColumn("score", _step_score(F.col(features[0]).cast("double"))).drop(*made)
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     return apply_model(
-        df, models, sizes.select(*keys, "_rows"), keys, order, lambda rows, model: rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model)), schema
+        df, models, sizes.select(*keys, "_rows"), keys, F.xxhash64(F.lit(seed), *keys, *identity), lambda rows, model: rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model)), schema
     )
 
 
+def _text(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Columns as hashes see them: times as microseconds."""
+    return [(F.unix_micros(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c)).cast("string") for c in names]
+
+
 def apply_model(
     rows: DataFrame, models: DataFrame, sizes: DataFrame, keys: Sequence[str], spread: Column, fn: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: T.StructType
 ) -> DataFrame:
@@ -195,7 +256,7 @@ def cut_by_share(scored: DataFrame, share: Column | float, *, keys: Sequence[str
     (default all). ``share`` may differ per group.
     """
     keys = list(keys)
-    tie = F.shiftrightunsigned(F.xxhash64(*keys, *identity), 1)
+    tie = hash_number(*_text(scored, [*keys, *identity]))
     rows = scored.withColumns({"_tie": tie, "_bucket": F.pmod(tie, F.lit(TIE_BUCKETS)).cast("int")})
     base = rows.where(among) if among is not None else rows
     wish = share if isinstance(share, Column) else F.lit(float(share))

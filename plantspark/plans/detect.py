@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantspark import pipeline
 from plantspark.operators import dedup, detectors, incidents, speed, validation
+from plantspark.plans.forests import forest_ctes
 from plantspark.plans.inputs import INSTRUMENTS, READINGS, instruments, readings
 from plantspark.plans.registry import query
 from plantspark.plans.rows import SPEED, ZS, some_limits, speed_and_others
@@ -117,7 +118,18 @@ def verified_candidates(spark, sf):
     return hybrid_table(spark, sf)
 
 
-@query("T4_verified_with_forest", VERIFY_COLS)
+def with_forest(body: str, trees: int = 50) -> str:
+    """The verified table with the forest's rows beside the limits; ``body`` ends like VERIFIED."""
+    forest = forest_ctes("readings", ["value"], trees=trees, min_rows=30, share=0.02, end="_v")
+    body = body.replace("cand AS (SELECT", f"{forest}, cand AS (SELECT", 1)
+    body = body.replace("value < lo OR value > up AS hit FROM b25 b JOIN times USING (plant, unit, time)", """value < lo OR value > up AS lim, coalesce(f, false) AS fo, value < lo OR value > up OR coalesce(f, false) AS hit FROM b25 b JOIN times USING (plant, unit, time)
+      LEFT JOIN (SELECT plant, unit, tag, time, true AS f FROM judged_v WHERE is_outlier) USING (plant, unit, tag, time)""", 1)
+    body = body.replace("count(*) FILTER (hit) AS mtd_count", "count(*) FILTER (lim) AS mtd_count, count(*) FILTER (fo) AS found, count(*) FILTER (hit) AS hits", 1)
+    body = body.replace("mtd_count AS count, mtd_count * 1.0 / n AS rate", "hits AS count, hits * 1.0 / n AS rate", 1).replace("0 AS forest_count", "found AS forest_count", 1)
+    return body.replace("+ least(20.0, mtd_count * 2) END", "+ least(20.0, mtd_count * 2) + least(10.0, forest_count) END", 1)
+
+
+@query("T4_verified_with_forest", VERIFY_COLS, "SELECT * FROM verified", with_forest(VERIFIED))
 def verified_with_forest(spark, sf):
     return hybrid_table(spark, sf, with_forest=True, trees=50)
 
@@ -171,7 +183,11 @@ def limit_counts(spark, sf):
     return detectors.tuned_counts(readings(spark, sf), limits(spark, sf)).drop("lower", "upper")
 
 
-@query("T8_tuned_combined", "plant unit tag n:l limit_count:l forest_count:l count:l rate:d method confidence")
+@query("T8_tuned_combined", "plant unit tag n:l limit_count:l forest_count:l count:l rate:d method confidence", """
+    SELECT *, m AS limit_count, i AS forest_count, m + i AS count, (m + i) * 1.0 / n AS rate, CASE WHEN m > 0 AND i > 0 THEN 'MTD(' || m || ') + Isolation Forest(' || i || ')' WHEN m > 0 THEN 'MTD(' || m || ')' ELSE 'Isolation Forest(' || i || ')' END AS method,
+           CASE WHEN m > 0 AND i > 0 THEN 'VERY HIGH' WHEN m > 0 THEN CASE WHEN c THEN 'HIGH' ELSE 'MEDIUM' END ELSE 'HIGH' END AS confidence FROM
+      (SELECT plant, unit, tag, max(n) AS n, count(*) FILTER (value < lo OR value > up) AS m, bool_or(configured) AS c FROM b40 WHERE n >= 5 GROUP BY plant, unit, tag)
+      JOIN (SELECT plant, unit, tag, count(*) FILTER (is_outlier) AS i FROM judged GROUP BY plant, unit, tag) USING (plant, unit, tag) WHERE m + i > 0""", f"{BOUNDS}, {forest_ctes('readings', ['value'], trees=50, share=0.02)}")
 def tuned_combined(spark, sf):
     """Limits and forest added up."""
     return detectors.tuned(readings(spark, sf), limits(spark, sf), trees=50)
@@ -218,13 +234,29 @@ def tau_verified(spark, sf):
     return detectors.tau_verified(primary(spark, sf), readings(spark, sf))
 
 
-@query("T14_forest_verified", ROW + " tau:d forest_score:d")
+FIVE = ["value", "lag1", "step", "mean5", "std5"]
+
+
+def five_ctes(source: str, end: str = "", extra: str = "") -> str:
+    """The five features of every reading of ``source``; ``extra``: more text in its FROM clause."""
+    return f"""five{end} AS (SELECT * FROM (SELECT plant, unit, tag, time, value, coalesce(lag(value) OVER o, 0) AS lag1, coalesce(value - lag(value) OVER o, 0) AS step, avg(value) OVER w AS mean5, coalesce(stddev_samp(value) OVER w, 0) AS std5
+      FROM {source} WINDOW o AS ({PART}), w AS ({PART} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)){extra})"""
+
+
+STAGED = f"""{PRIMARY}, {tau_ctes('readings', 'prim')}, wanted AS (SELECT plant, unit, tag, count(*) AS wv, max(n) AS wn FROM ok JOIN (SELECT plant, unit, tag, time, n FROM prim) USING (plant, unit, tag, time) GROUP BY plant, unit, tag),
+    {five_ctes('readings', '', ' JOIN wanted USING (plant, unit, tag) WHERE wn >= 10')}, {forest_ctes('five', FIVE, trees=50, share='least(0.1, wv * 1.0 / wn)')},
+    final AS (SELECT ok.*, score FROM ok JOIN (SELECT plant, unit, tag, time, score FROM judged WHERE is_outlier) USING (plant, unit, tag, time) UNION ALL SELECT ok.*, NULL FROM ok SEMI JOIN (SELECT * FROM wanted WHERE wn < 10) USING (plant, unit, tag))"""
+
+
+@query("T14_forest_verified", ROW + " tau:d forest_score:d", f"SELECT {KEY}, tau, score AS forest_score FROM final", STAGED)
 def forest_verified(spark, sf):
     r = readings(spark, sf)
     return detectors.forest_verified(detectors.tau_verified(primary(spark, sf), r), r, trees=50)
 
 
-@query("T15_three_stage", ROW + " anomaly_score:d tau:d stage")
+@query("T15_three_stage", ROW + " anomaly_score:d tau:d stage", """
+    SELECT p.plant, p.unit, p.tag, p.time, p.value, abs(z) AS anomaly_score, ok.tau, CASE WHEN f.time IS NOT NULL THEN 'primary+mtd+isolation_forest' WHEN ok.tau IS NOT NULL THEN 'primary+mtd' ELSE 'primary' END AS stage FROM prim p
+    LEFT JOIN ok ON p.plant = ok.plant AND p.unit = ok.unit AND p.tag = ok.tag AND p.time = ok.time LEFT JOIN final f ON p.plant = f.plant AND p.unit = f.unit AND p.tag = f.tag AND p.time = f.time""", STAGED)
 def three_stage(spark, sf):
     r = readings(spark, sf)
     return detectors.three_stage(r, speed_cv=detectors.speed_variation(r, config(spark)), trees=50)
@@ -242,13 +274,23 @@ def statistical(spark, sf):
     return detectors.statistical(r, adaptive=True, speed_cv=detectors.speed_variation(r, config(spark)))
 
 
-@query("T17_forest_anomalies", ROW + " anomaly_score:d anomaly_method")
+SIXTH = """near AS (SELECT plant, unit, tag, time, coalesce(CASE WHEN nt IS NULL OR gb <= gn THEN CASE WHEN gb <= 600000000 THEN bv END WHEN gn <= 600000000 THEN nv END, 0) AS speed_value FROM
+      (SELECT b.*, n.time AS nt, n.value AS nv, coalesce(epoch_us(n.time) - epoch_us(b.time), 1000000000000) AS gn FROM
+        (SELECT o.*, s.value AS bv, coalesce(epoch_us(o.time) - epoch_us(s.time), 1000000000000) AS gb FROM readings o ASOF LEFT JOIN speed s ON o.plant = s.plant AND o.unit = s.unit AND o.time >= s.time) b
+       ASOF LEFT JOIN speed n ON b.plant = n.plant AND b.unit = n.unit AND b.time <= n.time))"""
+
+
+@query("T17_forest_anomalies", ROW + " anomaly_score:d anomaly_method", f"SELECT {KEY}, score AS anomaly_score, 'isolation_forest' AS anomaly_method FROM judged WHERE is_outlier",
+    f"{SPEED}, {SIXTH}, {five_ctes('readings', '', ' JOIN near USING (plant, unit, tag, time)')}, {forest_ctes('five', [*FIVE, 'speed_value'], trees=50, share=0.05)}")
 def forest_anomalies(spark, sf):
     speed_rows, _ = speed_and_others(spark, sf)
     return detectors.forest_anomalies(readings(spark, sf), adaptive=True, speed_rows=speed_rows, trees=50)
 
 
-@query("T18_hybrid_union", ROW + " anomaly_score:d anomaly_method")
+@query("T18_hybrid_union", ROW + " anomaly_score:d anomaly_method", f"""
+    SELECT {KEY}, arg_min(s, k) AS anomaly_score, 'hybrid' AS anomaly_method FROM (SELECT {KEY}, score AS s, 0 AS k FROM judged WHERE is_outlier UNION ALL
+      SELECT {KEY}, coalesce(abs(value - mean) / nullif(std, 0), 1) AS s, 1 AS k FROM zs JOIN q USING (plant, unit, tag) WHERE n >= 10 AND (abs(value - mean) / nullif(std, 0) > 3 OR value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))) GROUP BY {KEY}""",
+    f"{ZS}, {QUART}, {five_ctes('readings')}, {forest_ctes('five', FIVE, trees=50)}")
 def hybrid_union(spark, sf):
     return detectors.hybrid_union(readings(spark, sf), trees=50)
 
@@ -262,7 +304,7 @@ def speed_correlated(spark, sf):
     return detectors.speed_correlated(others.where("value > 100").select(*SERIES, "time", "value"), speed_rows, minutes=120)
 
 
-@query("T20_isolation_forest", ROW + " score:d is_outlier:b")
+@query("T20_isolation_forest", ROW + " score:d is_outlier:b", f"SELECT {KEY}, score, is_outlier FROM judged", f"{READINGS}, {forest_ctes('readings', ['value'], share=0.02)}")
 def isolation_forest(spark, sf):
     from plantspark.operators import forest
 
@@ -299,7 +341,14 @@ def speed_aware_report(spark, sf):
     return detectors.speed_aware(readings(spark, sf), config(spark), "sigma_tau", min_confidence=0.3)
 
 
-@query("T23_segment_aware", "plant unit tag n:l count:l sigma_count:l mtd_count:l forest_count:l confidence factor:d verified:b")
+SEGMENT = f"""{FACTORS}, {LIMITS}, seg AS (SELECT plant, unit, tag, time, seq, f AS factor, CASE WHEN abs(f - 1) >= 0.01 AND tag IS DISTINCT FROM t1 AND tag IS DISTINCT FROM t2 THEN value * f ELSE value END AS value FROM
+      (SELECT r.*, t1, t2, CASE WHEN s > 0 AND base IS NOT NULL THEN greatest(0.1, least(10, base / s)) ELSE 1 END AS f FROM readings r LEFT JOIN cfg c USING (plant, unit)
+       LEFT JOIN (SELECT c.plant, c.unit, avg(value) AS s FROM cfg c JOIN readings r ON c.plant = r.plant AND c.unit = r.unit AND c.t1 = r.tag GROUP BY c.plant, c.unit) USING (plant, unit)))"""
+SEGMENT_VERIFIED = SEGMENT + with_forest(VERIFIED.removeprefix(READINGS).replace(", " + LIMITS, "")).replace("readings", "seg").replace("WHERE tag = 'signup' AND value > 230", "WHERE false")
+
+
+@query("T23_segment_aware", "plant unit tag n:l count:l sigma_count:l mtd_count:l forest_count:l confidence factor:d verified:b", """
+    SELECT v.*, factor, (sigma_count > 0 OR external_count > 0) AND (mtd_count > 0 OR forest_count > 0) AND confidence IN ('HIGH', 'MEDIUM') AS verified FROM verified v JOIN (SELECT plant, unit, max(factor) AS factor FROM seg GROUP BY plant, unit) USING (plant, unit)""", SEGMENT_VERIFIED)
 def segment_aware(spark, sf):
     return detectors.segment_aware(readings(spark, sf), config(spark), limits(spark, sf), trees=50)
 
