@@ -371,6 +371,7 @@ def tune_forest(df: DataFrame, *, contaminations: Sequence[float] = (0.01, 0.02,
 
 
 def best_setting(table: DataFrame) -> DataFrame:
-    """The best scored grid point per unit."""
+    """The best scored grid point per unit; of equal ones the first by its other numbers."""
     rest = [c for c in table.columns if c not in UNIT]
-    return table.groupBy(*UNIT).agg(F.max_by(F.struct(*rest), "score").alias("_b")).select(*UNIT, "_b.*")
+    best = F.min(F.struct((-F.col("score")).alias("_order"), *rest))
+    return table.groupBy(*UNIT).agg(best.alias("_b")).select(*UNIT, *[F.col(f"_b.{c}") for c in rest])

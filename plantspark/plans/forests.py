@@ -69,8 +69,17 @@ def forest_ctes(
         f"ft{end} AS (SELECT rid, sum(depth) AS total FROM ({' UNION ALL '.join(depths)}) GROUP BY rid)",
         f"scored{end} AS (SELECT b.*, round(power(2.0, -(total / n_trees) / greatest({_expected('n_fit')}, 1e-12)), 4) AS score FROM fb{end} b JOIN fl{end} USING ({by}) JOIN ft{end} USING (rid))",
         f"ranked{end} AS (SELECT *, CAST('0x' || substr(md5({' || chr(124) || '.join(who)}), 1, 13) AS BIGINT) AS tie FROM scored{end})",
-        f"placed{end} AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, tie % 4096, tie) AS place, ceil(({share}) * count(*) OVER (PARTITION BY {by}) - 1e-9) AS wanted FROM ranked{end} WHERE {among})",
-        f"cut{end} AS (SELECT {by}, score AS cut_score, tie % 4096 AS cut_bucket, tie AS cut_tie FROM placed{end} WHERE place = wanted)",
-        f"judged{end} AS (SELECT r.*, coalesce(score > cut_score OR (score = cut_score AND (tie % 4096 < cut_bucket OR (tie % 4096 = cut_bucket AND tie <= cut_tie))), false) AS is_outlier FROM ranked{end} r LEFT JOIN cut{end} USING ({by}))",
+        *cut_ctes(by, f"ranked{end}", share, among, end),
     ]
     return ", ".join(parts)
+
+
+def cut_ctes(by: str, ranked: str, share: str | float, among: str, end: str) -> list[str]:
+    """CTEs up to ``judged{end}``: the rows of ``ranked`` with is_outlier, cut at a share of those among."""
+    order = f"PARTITION BY {by} ORDER BY score DESC, tie % 4096, tie"
+    beyond = "score > cut_score OR (score = cut_score AND (tie % 4096 < cut_bucket OR (tie % 4096 = cut_bucket AND tie <= cut_tie)))"
+    return [
+        f"placed{end} AS (SELECT *, row_number() OVER ({order}) AS place, ceil(({share}) * count(*) OVER (PARTITION BY {by}) - 1e-9) AS wanted FROM {ranked} WHERE {among})",
+        f"cut{end} AS (SELECT {by}, score AS cut_score, tie % 4096 AS cut_bucket, tie AS cut_tie FROM placed{end} WHERE place = wanted)",
+        f"judged{end} AS (SELECT r.*, coalesce({beyond}, false) AS is_outlier FROM {ranked} r LEFT JOIN cut{end} USING ({by}))",
+    ]

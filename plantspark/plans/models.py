@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from plantspark.operators import aggregates, backtest, baseline, multivariate
 from plantspark.plans.detect import CHECKS, LIMITS, checked, limits
+from plantspark.plans.detect import breakout_ctes
+from plantspark.plans.forests import cut_ctes, forest_ctes
 from plantspark.plans.inputs import INSTRUMENTS, READINGS, instruments, readings
+from plantspark.plans.matrices import based_cte, distance_ctes, matrix_cte, rates_ctes, robust_ctes, runs_ctes, split_runs_ctes
 from plantspark.plans.registry import query
 from plantspark.plans.rows import ZS
+from plantspark.plans.speeds import BINS
 from plantspark.schema import SERIES, UNIT
 
 PART = "PARTITION BY plant, unit, tag ORDER BY time"
@@ -63,23 +67,33 @@ def feature_matrix(spark, sf):
     return m.select(*UNIT, "time", F.col("features")[0].alias("lead"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("features").alias("width"))
 
 
-@query("M5_distance_anomalies", "plant unit rows:l test_rows:l anomalies:l anomaly_rate:d")
+MATRIX = f"{INSTRUMENTS}, {GRID.format(src='instruments')}, {matrix_cte()}"
+RATES = "plant unit rows:l test_rows:l anomalies:l anomaly_rate:d"
+VALUES = [f"f{i}" for i in range(5)]
+
+
+@query("M5_distance_anomalies", RATES, "SELECT * FROM rate", f"{MATRIX}, {based_cte(0.7)}, base AS (SELECT * FROM bx WHERE is_base), {distance_ctes('bx', 'base', '')}, {rates_ctes('md', 0.99, '')}")
 def distance_anomalies(spark, sf):
     return multivariate.anomaly_rates(multivariate.distance_anomalies(multivariate.feature_matrix(instruments(spark, sf))))
 
 
-@query("M6_robust_distance", "plant unit rows:l test_rows:l anomalies:l anomaly_rate:d")
+@query("M6_robust_distance", RATES, "SELECT * FROM rate", f"{MATRIX}, {based_cte(0.7)}, {robust_ctes('bx', 0.75, 3)}, {rates_ctes('md_r', 0.99, '')}")
 def robust_distance(spark, sf):
     return multivariate.anomaly_rates(multivariate.distance_anomalies(multivariate.feature_matrix(instruments(spark, sf)), robust=True))
 
 
-@query("M7_matrix_forest_split", "plant unit rows:l test_rows:l anomalies:l anomaly_rate:d")
+UNIT_FOREST = {"keys": ("plant", "unit"), "trees": 50}
+FOREST_RATE = "SELECT plant, unit, sum(n) AS rows, coalesce(sum(n) FILTER (NOT is_base), 0) AS test_rows, coalesce(sum(n) FILTER (NOT is_base AND is_outlier), 0) AS anomalies, coalesce(sum(n) FILTER (NOT is_base AND is_outlier), 0) * 1.0 / sum(n) FILTER (NOT is_base) AS anomaly_rate FROM {} GROUP BY plant, unit"
+
+
+@query("M7_matrix_forest_split", RATES, FOREST_RATE.format("judged"), f"{MATRIX}, {runs_ctes()}, {split_runs_ctes(0.7)}, {forest_ctes('sr', VALUES, fit='is_base', among='is_base', share=0.05, **UNIT_FOREST)}")
 def matrix_forest_split(spark, sf):
     m = multivariate.feature_matrix(instruments(spark, sf))
     return multivariate.anomaly_rates(multivariate.matrix_forest(m, split=0.7, contamination=0.05, trees=50))
 
 
-@query("M8_matrix_forest", "plant unit time:t score:d is_anomaly:b")
+@query("M8_matrix_forest", "plant unit time:t score:d is_anomaly:b", "SELECT plant, unit, time + INTERVAL 1 HOUR * i AS time, score, is_outlier AS is_anomaly FROM (SELECT *, unnest(range(0, n)) AS i FROM judged)",
+    f"{MATRIX}, {runs_ctes()}, ur AS (SELECT *, b AS time FROM mr), {forest_ctes('ur', VALUES, **UNIT_FOREST)}")
 def matrix_forest(spark, sf):
     return aggregates.expanded(multivariate.matrix_forest(multivariate.feature_matrix(instruments(spark, sf)), trees=50), 60)
 
@@ -192,7 +206,9 @@ def period_methods(spark, sf):
     return period_methods_table(spark, sf)
 
 
-@query("B3_forest_on_means", "period plant unit total_anomalies:l tags:l anomaly_rate:d")
+@query("B3_forest_on_means", "period plant unit total_anomalies:l tags:l anomaly_rate:d", """
+    SELECT period, plant, unit, count(*) FILTER (is_outlier) AS total_anomalies, count(*) AS tags, count(*) FILTER (is_outlier) * 1.0 / count(*) AS anomaly_rate FROM judged GROUP BY period, plant, unit""",
+    f"{PERIODS}, wm AS (SELECT period, plant, unit, tag, avg(value) AS value FROM weeks GROUP BY ALL), {forest_ctes('wm', ['value'], keys=('period', 'plant', 'unit'), identity=('tag',), min_rows=5)}")
 def forest_on_means(spark, sf):
     return backtest.forest_on_means(readings(spark, sf))
 
@@ -247,7 +263,19 @@ def sensitivity(spark, sf):
     return backtest.sensitivity(r, targets)
 
 
-@query("B9_breakout_backtest", "plant unit total_tags:l flagged_tags:l events:l flag_rate:d")
+# The chunk becomes part of the unit's name; the speed window is the unit's own.
+CHUNKED = f"""{BINS}, rng AS (SELECT plant, unit, centre - greatest(100, centre * 0.03) AS speed_low, centre + greatest(100, centre * 0.03) AS speed_high FROM mode WHERE points >= 50),
+    chunks AS (SELECT r.plant, r.unit || '#' || CAST(floor(date_diff('microsecond', start, time) / 8.64e11) AS BIGINT) AS unit, tag, time, value FROM readings r
+      JOIN (SELECT plant, unit, max(time) AS e, greatest(min(time), max(time) - INTERVAL 30 DAY) AS start FROM readings GROUP BY plant, unit) USING (plant, unit) WHERE time >= start AND time < e)"""
+CHUNKED += breakout_ctes(60).removeprefix(READINGS).replace("readings", "chunks").replace("LEFT JOIN filled s ON", "LEFT JOIN rng g ON g.plant = o.plant AND g.unit = split_part(o.unit, '#', 1) LEFT JOIN filled s ON").replace("BETWEEN 0 AND 100", "BETWEEN speed_low AND speed_high")
+
+
+@query("B9_breakout_backtest", "plant unit total_tags:l flagged_tags:l events:l flag_rate:d", """
+    WITH RECURSIVE chain AS (SELECT plant, unit, tag, min(p) AS p FROM hops GROUP BY plant, unit, tag
+      UNION ALL SELECT c.plant, c.unit, c.tag, h.nxt FROM chain c JOIN hops h ON c.plant = h.plant AND c.unit = h.unit AND c.tag = h.tag AND c.p = h.p WHERE h.nxt IS NOT NULL)
+    SELECT plant, unit, total_tags, coalesce(f, 0) AS flagged_tags, coalesce(e, 0) AS events, coalesce(f, 0) * 1.0 / total_tags AS flag_rate FROM
+      (SELECT plant, split_part(unit, '#', 1) AS unit, count(DISTINCT tag) AS total_tags FROM chunks WHERE tag <> 'click' GROUP BY ALL)
+      LEFT JOIN (SELECT plant, split_part(unit, '#', 1) AS unit, count(DISTINCT tag) AS f, count(*) AS e FROM chain GROUP BY ALL) USING (plant, unit)""", CHUNKED)
 def breakout_backtest(spark, sf):
     r = readings(spark, sf)
     from plantspark.operators.speed import speed_window
@@ -256,11 +284,39 @@ def breakout_backtest(spark, sf):
     return backtest.breakout_backtest(r, "click", ranges, chunk_days=10, minutes=60)
 
 
-@query("B10_distance_grid", "plant unit baseline_fraction:d quantile:d base_rate:d after_rate:d score:d")
+# Plain readings (hm, hf, mx) and readings with injected spikes (the same names with _i).
+SPIKED = (
+    INSTRUMENTS + INJECTED.removeprefix(READINGS).replace("readings", "instruments")
+    + ", spiked AS (SELECT r.plant, r.unit, r.tag, r.time, coalesce(injected, value) AS value FROM instruments r LEFT JOIN picks USING (plant, unit, tag, time)), "
+    + GRID.format(src="instruments") + ", " + GRID.format(src="spiked").replace("hm", "hm_i").replace("hg", "hg_i").replace("hf", "hf_i") + ", " + matrix_cte() + ", " + matrix_cte("mx_i", "hf_i")
+)
+
+
+def _grid_ctes(fraction: float, end: str) -> str:
+    return ", ".join(
+        f"{based_cte(fraction, m, f'bx{e}')}, ob{e} AS (SELECT * FROM bx{e} WHERE is_base), {distance_ctes(f'bx{e}', f'ob{e}', e)}, {rates_ctes(f'md{e}', 0.99, e)}" for m, e in (("mx", end), ("mx_i", f"{end}i"))
+    )
+
+
+@query("B10_distance_grid", "plant unit baseline_fraction:d quantile:d base_rate:d after_rate:d score:d", " UNION ALL ".join(
+    f"SELECT a.plant, a.unit, {f} AS baseline_fraction, 0.99 AS quantile, a.anomaly_rate AS base_rate, c.anomaly_rate AS after_rate, c.anomaly_rate - a.anomaly_rate - 2 * a.anomaly_rate AS score FROM rate{e} a JOIN rate{e}i c USING (plant, unit)" for f, e in ((0.6, "_6"), (0.7, "_7"))),
+    f"{SPIKED}, {_grid_ctes(0.6, '_6')}, {_grid_ctes(0.7, '_7')}")
 def distance_grid(spark, sf):
     return multivariate.tune_distance(instruments(spark, sf), fractions=(0.6, 0.7), quantiles=(0.99,))
 
 
-@query("B11_forest_grid", "plant unit contamination:d trees:l base_rate:d after_rate:d score:d")
+def _forest_grid_ctes() -> str:
+    out = [SPIKED, runs_ctes(), runs_ctes("hm_i", "mx_i", "_i"), split_runs_ctes(0.7), split_runs_ctes(0.7, "_i")]
+    for e in ("", "_i"):
+        out.append(forest_ctes(f"sr{e}", VALUES, fit="is_base", among="is_base", share=0.01, end=f"{e}_a", **UNIT_FOREST))
+        out += cut_ctes("plant, unit", f"ranked{e}_a", 0.03, "is_base", f"{e}_b")
+    for name, share in (("a", 0.01), ("b", 0.03)):
+        out.append(f"grid_{name} AS (SELECT plant, unit, {share} AS contamination, p.anomaly_rate AS base_rate, q.anomaly_rate AS after_rate FROM ({FOREST_RATE.format('judged_' + name)}) p JOIN ({FOREST_RATE.format('judged_i_' + name)}) q USING (plant, unit))")
+    return ", ".join(out)
+
+
+@query("B11_forest_grid", "plant unit contamination:d trees:l base_rate:d after_rate:d score:d", """
+    SELECT * EXCLUDE (r), 50 AS trees FROM (SELECT *, row_number() OVER (PARTITION BY plant, unit ORDER BY score DESC, base_rate, after_rate, contamination) AS r FROM
+      (SELECT *, after_rate - base_rate - 2 * base_rate AS score FROM (SELECT * FROM grid_a UNION ALL SELECT * FROM grid_b))) WHERE r = 1""", _forest_grid_ctes())
 def forest_grid(spark, sf):
     return multivariate.best_setting(multivariate.tune_forest(instruments(spark, sf), contaminations=(0.01, 0.03), tree_counts=(50,)))
