@@ -7,8 +7,9 @@
   the choice among features. So draws, trees and scores are the same in any run, and SQL
   can repeat them (see the oracle queries);
 * with one feature a forest is a step function of the value: the model is its steps, and
-  rows are scored by an expression in the JVM. With more features rows are scored by numpy
-  in salted shares of a group, so a hot group spreads over many tasks;
+  rows find theirs when both are put in order, in the JVM. With more features rows are
+  scored by numpy. Either way a group is dealt out in salted shares, so a hot group spreads
+  over many tasks;
 * scores are rounded to four digits and ties broken by a hash of the row, so the cut by
   contamination is exact and made of counts: per score value, then per hash bucket.
 
@@ -20,7 +21,6 @@ are not reproduced.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -122,8 +122,7 @@ def _steps(nodes: dict[str, np.ndarray], trees: int, n_fit: float) -> tuple[np.n
 
 
 MODEL = "n_fit double, trees int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
-#: Steps in blocks, so that a value is found among the blocks' first ones, then within one.
-STEPS = "_heads array<double>, _blocks array<array<double>>, _width int, _levels array<double>"
+STEPS = "_starts array<double>, _levels array<double>"
 
 
 def draws(identity: Sequence[Column | str], fits: Column, trees: int, max_samples: int, seed: int) -> Column:
@@ -152,20 +151,24 @@ def _builder(keys: list[str], features: list[str], max_samples: int, seed: int):
         n_fit, row = float(sizes.mean()), {k: [pool[k].iloc[0]] for k in keys}
         if len(features) == 1:
             starts, levels = _steps(nodes, len(names), n_fit)
-            width = max(1, isqrt(len(starts)))
-            blocks = [starts[i : i + width] for i in range(0, len(starts), width)]
-            return pd.DataFrame(row | {"_heads": [starts[::width]], "_blocks": [blocks], "_width": [width], "_levels": [levels]})
+            return pd.DataFrame(row | {"_starts": [np.r_[-np.inf, starts]], "_levels": [levels]})
         return pd.DataFrame(row | {"n_fit": [n_fit], "trees": [len(names)]} | {name: [nodes[name]] for name in ("feature", "threshold", "left", "right", "depth")})
 
     return build
 
 
-def _step_score(value: Column) -> Column:
-    """The level of the last step at or below the value."""
-    block = F.size(F.filter("_heads", lambda h: h <= value))
-    inside = F.size(F.filter(F.element_at("_blocks", F.greatest(block, F.lit(1))), lambda s: s <= value))
-    step = F.when(block == 0, F.lit(0)).otherwise((block - 1) * F.col("_width") + inside)
-    return F.when(value.isNotNull(), F.element_at("_levels", step + 1))
+def _step_scores(rows: DataFrame, models: DataFrame, sizes: DataFrame, keys: list[str], feature: str, spread: Column) -> DataFrame:
+    """Rows with the level of the last step at or below their value: rows and steps of a share in one order."""
+    shares = F.greatest(F.lit(1), F.ceil(F.col("_rows") / ROWS_PER_SHARE)).cast("int")
+    value, none = F.col(feature).cast("double"), F.lit(None)
+    dealt = rows.join(sizes, keys).select(*rows.columns, value.alias("_at"), F.pmod(spread, shares).cast("int").alias("_share"), none.cast("double").alias("_level"))
+    steps = models.join(sizes, keys).select(*keys, F.explode(F.arrays_zip("_starts", "_levels")).alias("_s"), F.sequence(F.lit(0), shares - 1).alias("_in"))
+    steps = steps.select(*keys, F.col("_s._starts").alias("_at"), F.explode("_in").alias("_share"), F.col("_s._levels").alias("_level"))
+    # At equal values the step comes first.
+    order = Window.partitionBy(*keys, "_share").orderBy("_at", F.col("_level").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    both = dealt.unionByName(steps.withColumn("_step", F.lit(True)), allowMissingColumns=True)
+    found = both.withColumn("score", F.when(F.col("_at").isNotNull(), F.last("_level", ignorenulls=True).over(order))).where(F.col("_step").isNull())
+    return found.select(*rows.columns, "score")
 
 
 def _scores(data: np.ndarray, model: pd.Series) -> np.ndarray:
@@ -214,8 +217,7 @@ def forest_scores(
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     models = pool.groupBy(*keys).applyInPandas(_builder(keys, features, max_samples, seed), f"{key_ddl}, {STEPS if len(features) == 1 else MODEL}")
     if len(features) == 1:
-        made = [c.strip().split()[0] for c in STEPS.split(", ")]
-        return df.join(cut_lineage(models), keys).withColumn("score", _step_score(F.col(features[0]).cast("double"))).drop(*made)
+        return _step_scores(df, models, sizes.select(*keys, "_rows"), keys, features[0], F.xxhash64(F.lit(seed), *keys, *identity))
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     return apply_model(
         df, models, sizes.select(*keys, "_rows"), keys, F.xxhash64(F.lit(seed), *keys, *identity), lambda rows, model: rows.assign(score=_scores(rows[features].to_numpy(dtype=float), model)), schema

@@ -29,7 +29,7 @@ def _with_steps(df: DataFrame, quantile: float = 0.95) -> DataFrame:
     stepped = sequence.row_frame(valid(df).select(*SERIES, "time", "value"), lambda w: {"_step": F.abs(F.col("value") - F.lag("value").over(w))}, before=1)
     plain = {"_n": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value")}
     stats, _ = distribution(stepped, SERIES, "_step", {"_limit": quantile}, plain, hot=not sequence.is_whole(stepped))
-    return sequence.strip(stepped).join(stats, list(SERIES))
+    return sequence.strip(stepped).join(cut_lineage(stats), list(SERIES))
 
 
 def _z_incident(size: Column, high: float) -> dict[str, Column]:

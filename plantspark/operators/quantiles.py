@@ -6,14 +6,14 @@
 2. one pass counts the values between the sketch's edges and keeps single values only in
    the narrow brackets around the wanted ranks. Counting is a grouped aggregate with
    partial sums, so one hot group spreads over all tasks. The counts are exact, so they
-   tell whether a rank lies in its bracket; if a sketch ever missed, the interval that holds
-   the rank is opened and counted again;
+   tell whether a rank lies in its bracket; for hot groups, where a sketch is merged from
+   many parts, an interval that holds a missed rank is opened and counted again;
 3. ``deviations`` bounds the median absolute deviation from those same counts (each
    interval has a least and a greatest distance from the median) and finds it, together
    with any counts that depend on the statistics, in one more pass.
 
-What is left of a group after a pass is small; it is written to the checkpoint folder, so
-nothing that uses it reads the readings again.
+What is left of a group after a pass is small. For hot groups and for deviations it is written
+to the checkpoint folder, so nothing that uses it reads the readings again.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ MARGIN = 4.0 / ACCURACY
 # Parts into which a round divides a bracket of a hot group.
 GRID = 1_000
 # Intervals whose counts bound the deviations from the median.
-CELLS = 400
+CELLS = 100
 _INTERVALS = "array<struct<lo:double,hi:double>>"
 
 
@@ -47,10 +47,25 @@ def _with_marks(data: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataF
     return data.join(marks, list(keys)) if keys else data.crossJoin(F.broadcast(marks))
 
 
+# Edges in one block; more are searched in two steps, so a row meets about two blocks of them.
+BLOCK = 10
+
+
+def _below() -> tuple[Column, Column]:
+    """The first edge of each block, to be named ``_heads``; and how many of the sorted ``_edges`` are below ``_v``: first among every BLOCK-th, then within a block."""
+    last = F.floor((F.size("_edges") - 1) / BLOCK).cast("int")
+    heads = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.try_element_at("_edges", i * BLOCK + 1))
+    inside = lambda b: F.size(F.filter(F.slice("_edges", (b - 1) * BLOCK + 1, F.lit(BLOCK)), lambda e: e < F.col("_v")))
+    # An array of one names the block, so that it is searched for once.
+    block = F.array(F.size(F.filter("_heads", lambda e: e < F.col("_v"))))
+    return heads, F.transform(block, lambda b: F.when(b == 0, F.lit(0)).otherwise((b - 1) * BLOCK + inside(b)))[0]
+
+
 def _slots(data: DataFrame, marks: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Counts of ``_v`` by interval between ``_edges``, and by value inside the ``_open`` intervals."""
     inside = F.exists("_open", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
-    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    heads, below = _below()
+    marks = marks.withColumn("_edges", F.array_sort("_edges")).withColumn("_heads", heads)
     return (
         _with_marks(data, marks, keys)
         .groupBy(*keys, below.alias("_slot"), F.when(inside, F.col("_v")).alias("_single"))
@@ -96,26 +111,58 @@ def distribution(
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     data = df.select(*[F.col(k) for k in keys], v.alias("_v"), times.alias("_w")).where(F.col("_v").isNotNull() & (F.col("_w") > 0))
-    edges = sorted({min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)} | {i / cells for i in range(1, cells)})
-    marks = df.groupBy(*keys).agg(F.coalesce(F.sum(F.when(v.isNotNull(), times)), F.lit(0)).alias("n"), F.percentile_approx(v, _numbers(edges), ACCURACY).alias("_edges"), *[c.alias(s) for s, c in sums.items()])
+    edges = sorted({min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)})
+    # The counts between the cells are exact, so a coarse sketch may place them.
+    parts = F.percentile_approx(v, _numbers([i / cells for i in range(1, cells)]), 10 * cells) if cells else F.array().cast("array<double>")
+    marks = df.groupBy(*keys).agg(F.coalesce(F.sum(F.when(v.isNotNull(), times)), F.lit(0)).alias("n"), F.percentile_approx(v, _numbers(edges), ACCURACY).alias("_near"), *[c.alias(s) for s, c in sums.items()], *([parts.alias("_edges")] if cells else []))
+    if not cells:
+        marks = marks.withColumn("_edges", parts)
 
     def edge(p: float, side: int) -> Column:
-        return F.element_at("_edges", edges.index(min(1.0, max(0.0, p + side * MARGIN))) + 1)
+        return F.element_at("_near", edges.index(min(1.0, max(0.0, p + side * MARGIN))) + 1)
 
     brackets = F.array(*[F.struct(edge(p, -1).alias("lo"), edge(p, 1).alias("hi")) for p in probs])
-    marks = cut_lineage(marks.where(F.col("n") > 0).withColumn("_open", (F.array() if weight else brackets).cast(_INTERVALS)))
-    around = marks.select(*keys, "n", "_edges", "_open")
-    if not weight and (has_hot_series(data, keys) if hot is None else hot):
-        around = cut_lineage(_narrowed(data, around, keys, probs))
+    marks = marks.where(F.col("n") > 0).withColumn("_open", (F.array() if weight else brackets).cast(_INTERVALS))
     sides = {f"_{i}{side}": _rank(p, side) for i, p in enumerate(probs) for side in (0, 1)}
+    if weight or (has_hot_series(data, keys) if hot is None else hot):
+        marks = cut_lineage(marks)
+        found, slots = _searched(data, marks.select(*keys, "n", "_edges", "_open"), keys, probs, sides, narrow=not weight)
+    else:
+        # Small groups: one lazy plan. The bracket holds four times the sketch's error, so a miss means a broken sketch.
+        marks = cut_lineage(marks) if cells else marks
+        slots = _slots(data, _ended(marks.select(*keys, "_edges", "_open"), keys), keys)
+        slots = cut_lineage(slots) if cells else slots
+        found = _ranked(slots, keys, sides)
+        exact = lambda name: F.coalesce(F.col(f"{name}.value"), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+        found = found.select(*keys, "n", *[F.struct(exact(name).alias("value")).alias(name) for name in sides])
+    columns = []
+    for name, p in quantiles.items():
+        i = probs.index(p)
+        fraction = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
+        low, high = F.col(f"_{i}0.value"), F.col(f"_{i}1.value")
+        columns.append((low + (high - low) * fraction).alias(name))
+    exact = found.select(*keys, *columns)
+    stats = marks.select(*keys, "n", *sums)
+    return _with_marks(stats, exact, keys), slots
+
+
+def _ended(around: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Marks whose edges include the ends of the open intervals."""
+    ends = F.flatten(F.transform("_open", lambda b: F.array(b["lo"], b["hi"])))
+    return around.select(*keys, F.array_distinct(F.concat("_edges", ends)).alias("_edges"), "_open")
+
+
+def _searched(data: DataFrame, around: DataFrame, keys: list[str], probs: list[float], sides: Mapping[str, Column], narrow: bool) -> tuple[DataFrame, DataFrame]:
+    """(ranks, slots) of large or weighted groups: narrowed first, and counted again wherever a rank is not in an open interval."""
+    if narrow:
+        around = cut_lineage(_narrowed(data, around, keys, probs))
     missed = F.lit(False)
     for name in sides:
         missed = missed | F.col(f"{name}.value").isNull()
     again = F.array_compact(F.array(*[F.when(F.col(f"{name}.value").isNull(), F.struct(F.col(f"{name}.lo").alias("lo"), F.col(f"{name}.hi").alias("hi"))) for name in sides]))
     found = slots = None
     while True:
-        ends = F.flatten(F.transform("_open", lambda b: F.array(b["lo"], b["hi"])))
-        part = cut_lineage(_slots(data, around.select(*keys, F.array_distinct(F.concat("_edges", ends)).alias("_edges"), "_open"), keys))
+        part = cut_lineage(_slots(data, _ended(around, keys), keys))
         placed = cut_lineage(_ranked(part, keys, sides))
         good = placed.where(~missed)
         found = good if found is None else found.unionByName(good)
@@ -123,18 +170,9 @@ def distribution(
         slots = kept if slots is None else slots.unionByName(kept)
         late = placed.where(missed).withColumn("_more", again).select(*keys, "_more")
         if late.isEmpty():
-            break
+            return found, slots
         # The interval that holds the rank is known exactly: open it.
         around = cut_lineage(_with_marks(around, late, keys).withColumn("_open", F.concat("_open", F.col("_more").cast(_INTERVALS))).drop("_more"))
-    columns = []
-    for name, p in quantiles.items():
-        i = probs.index(p)
-        fraction = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
-        low, high = F.col(f"_{i}0.value"), F.col(f"_{i}1.value")
-        columns.append((low + (high - low) * fraction).alias(name))
-    exact = found.select(*keys, *columns)
-    stats = marks.select(*keys, "n", *sums)
-    return cut_lineage(_with_marks(stats, exact, keys)), slots
 
 
 def deviations(df: DataFrame, keys: Sequence[str], value: str, stats: DataFrame, slots: DataFrame, *, centre: str = "median", far: float = 3.5, scale: float = 0.6745, counts: Mapping[str, Column] | None = None) -> DataFrame:
@@ -147,14 +185,13 @@ def deviations(df: DataFrame, keys: Sequence[str], value: str, stats: DataFrame,
     middle = F.col(centre)
     near, away = F.abs(F.col("_lo") - middle), F.abs(F.col("_hi") - middle)
     covers = (F.col("_lo") <= middle) & (middle <= F.col("_hi"))
-    spread = _with_marks(slots, stats.select(*keys, centre), keys)
-    # Rank by the nearer ends for the lower bound, by the farther ones for the upper.
-    bounds = None
-    for name, end, side in (("r_lo", F.when(covers, F.lit(0.0)).otherwise(F.least(near, away)), 0), ("r_hi", F.greatest(near, away), 1)):
-        by_end = spread.groupBy(*keys, end.alias("_lo")).agg(F.sum("_count").alias("_count"))
-        points = by_end.withColumns({"_hi": F.col("_lo"), "_slot": F.lit(0), "_single": F.col("_lo")})
-        one = _ranked(points, keys, {name: _rank(0.5, side)}).select(*keys, F.col(f"{name}.value").alias(name))
-        bounds = one if bounds is None else _with_marks(bounds, one, keys)
+    spread = _with_marks(slots, stats.select(*keys, "n", centre), keys)
+    # Counted by the nearer ends for the lower bound, by the farther ones for the upper.
+    ends = spread.withColumns({"_near": F.when(covers, F.lit(0.0)).otherwise(F.least(near, away)), "_away": F.greatest(near, away)})
+    upto = lambda end: F.sum("_count").over(Window.partitionBy(*keys).orderBy(end))
+    ends = ends.withColumn("_by_near", upto("_near")).withColumn("_by_away", upto("_away"))
+    low, high = F.min(F.when(F.col("_by_near") > _rank(0.5, 0), F.col("_near"))), F.min(F.when(F.col("_by_away") > _rank(0.5, 1), F.col("_away")))
+    bounds = ends.groupBy(*keys).agg(low.alias("r_lo"), high.alias("r_hi"))
     factor = far / scale
     wide = 1e-9  # rounding of the factor
     intervals = F.array(

@@ -30,7 +30,7 @@ def _outside(value: Column, low: float | None, high: float | None) -> Column:
     return out
 
 
-def _statistics(df: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+def _statistics(df: DataFrame, sums: dict[str, Column] | None = None, hot: bool | None = None) -> DataFrame:
     """Per series n, mean, std, quartiles, median deviation and the three outlier counts, with further plain sums.
 
     Three passes over the readings, whatever is asked: sums and sketch, counts by value,
@@ -38,7 +38,7 @@ def _statistics(df: DataFrame, sums: dict[str, Column] | None = None) -> DataFra
     """
     rows = valid(df).select(*SERIES, "value")
     plain = {"mean": F.avg("value"), "std": F.stddev_samp("value"), **(sums or {})}
-    stats, slots = distribution(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, plain, cells=CELLS)
+    stats, slots = distribution(rows, SERIES, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, plain, cells=CELLS, hot=hot)
     v, iqr = F.col("value"), F.col("q3") - F.col("q1")
     outside = (v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)
     return deviations(rows, SERIES, "value", stats, slots, counts={"z_outliers": F.abs(v - F.col("mean")) > 3 * F.col("std"), "iqr_outliers": outside})
@@ -82,12 +82,12 @@ def engineering_check(df: DataFrame) -> DataFrame:
     return _engineering_verdict(valid(df).groupBy(*SERIES).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in _engineering_sums().items()]))
 
 
-def step_noise(df: DataFrame, tolerance: float = 0.001) -> DataFrame:
+def step_noise(df: DataFrame, tolerance: float = 0.001, hot: bool | None = None) -> DataFrame:
     """Longest stuck stretch in percent, noise ratio and share of large jumps.
 
     Two ordered passes: the second needs the noise that the first has measured.
     """
-    rows = sequence.lay_out(valid(df).select(*SERIES, "time", "value"))
+    rows = sequence.lay_out(valid(df).select(*SERIES, "time", "value"), hot=hot)
     stepped = sequence.row_frame(rows, lambda w: {"_step": F.col("value") - F.lag("value").over(w)}, before=1)
     base = cut_lineage(
         stepped.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count("_step").alias("steps"), F.stddev_pop("_step").alias("_noise"), F.stddev_pop("value").alias("_signal"))
@@ -104,9 +104,9 @@ def step_noise(df: DataFrame, tolerance: float = 0.001) -> DataFrame:
     )
 
 
-def temporal_check(df: DataFrame, min_points: int = 10) -> DataFrame:
+def temporal_check(df: DataFrame, min_points: int = 10, hot: bool | None = None) -> DataFrame:
     """Stuck, noisy or jumping sensors."""
-    out = step_noise(df).where(F.col("n") >= min_points)
+    out = step_noise(df, hot=hot).where(F.col("n") >= min_points)
     stuck, noisy, jumpy = F.col("stuck_rate") > 30, F.col("noise_ratio") > 2, F.col("jump_rate") > 5
     verdict = F.when(stuck, "STUCK_SENSOR").when(noisy, "NOISY_SENSOR").when(jumpy, "UNSTABLE_SENSOR").otherwise("TEMPORAL_OK")
     return out.withColumn("verdict", verdict).withColumn("confidence", F.when(stuck, 85).when(noisy, 80).when(jumpy, 75).otherwise(70))
@@ -117,8 +117,9 @@ def combined_verdict(df: DataFrame) -> DataFrame:
 
     The first two checks come from one table of statistics, the third from one ordered pair of passes.
     """
-    stats = cut_lineage(_statistics(df, _engineering_sums()))
-    sides = {"s": _statistical_verdict(stats, 30), "e": _engineering_verdict(stats), "t": temporal_check(df)}
+    hot = sequence.has_hot_series(df)
+    stats = _statistics(df, _engineering_sums(), hot)
+    sides = {"s": _statistical_verdict(stats, 30), "e": _engineering_verdict(stats), "t": temporal_check(df, hot=hot)}
     out = df.select(*SERIES).distinct()
     for name, side in sides.items():
         out = out.join(side.select(*SERIES, F.col("verdict").alias(f"{name}_verdict"), F.col("confidence").alias(f"{name}_conf")), list(SERIES), "left")
