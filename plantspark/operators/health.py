@@ -99,13 +99,14 @@ def fleet_status(df: DataFrame, warn_hours: float = 0.5, limit_hours: float = 1.
 
 
 def judged_fleet(ages: DataFrame, warn_hours: float = 0.5, limit_hours: float = 1.0) -> DataFrame:
-    """H8 over a table of units that already has ``records``, ``last_time``, ``age_hours``."""
+    """H8 over a table of units that already has ``records``, ``last_time``, ``age_hours``; with their plant where it is known."""
     age = F.col("age_hours")
     status = F.when(age > limit_hours, "CRITICAL").when(age > warn_hours, "WARNING").otherwise("FRESH")
     alert = F.when(
         age > limit_hours, F.format_string(f"Data age %.1fh exceeds {limit_hours:.1f}h limit", age)
     ).when(age > warn_hours, F.format_string("Data age %.1fh approaching limit", age))
-    return ages.select("unit", "records", "last_time", age, status.alias("status"), alert.alias("alert"))
+    keys = [c for c in UNIT if c in ages.columns]
+    return ages.select(*keys, "records", "last_time", age, status.alias("status"), alert.alias("alert"))
 
 
 def fleet_summary(status: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def stream_dedup(spark, sf):
     """Three arrivals; late and repeated readings come within the lateness, a third of the span."""
 
     def twice(folder):
-        stream = pipelines.read_stream(spark, folder, files_per_batch=None)
+        stream = pipelines.read_stream(spark, folder)
         return pipelines.distinct_readings(stream.union(stream), "11 days")
 
     return arrived(spark, arrivals(spark, sf), twice, "dedup")
@@ -108,7 +108,7 @@ def stream_sessions(spark, sf):
 def stream_run_counter(spark, sf):
     """Three batches or more in time order; the counts after the last one are those of the whole series."""
     folders = arrivals(spark, sf, late=False)
-    counts = arrived(spark, folders, lambda folder: pipelines.run_counter(pipelines.read_stream(spark, folder, files_per_batch=None), z=2.0), "runs")
+    counts = arrived(spark, folders, lambda folder: pipelines.run_counter(pipelines.read_stream(spark, folder), z=2.0), "runs")
     newest = counts.groupBy(*SERIES).agg(F.max_by(F.struct("time", "rows", "flagged", "run", "longest_run"), "rows").alias("n"))
     return newest.select(*SERIES, "n.*")
 
@@ -190,7 +190,7 @@ def refresh_cycle(spark, sf):
     half = F.lit("2024-01-16").cast("timestamp")
     for arrival in (r.where(F.col("time") < half), r.where((F.col("time") >= half) & (F.col("unit") != "U-3"))):
         arrival.write.mode("append").parquet(f"{base}/incoming")
-        pipelines.refresh_and_analyse(spark, f"{base}/incoming", f"{base}/dataset", f"{base}/results", name, files_per_batch=None)
+        pipelines.refresh_and_analyse(spark, f"{base}/incoming", f"{base}/dataset", f"{base}/results", name)
     return spark.read.parquet(f"{base}/results")
 
 
@@ -198,12 +198,12 @@ PARTS = f"""{READINGS}, ends AS (SELECT epoch_us(min(time)) AS a, epoch_us(max(t
     parts AS (SELECT r.*, least(floor((epoch_us(time) - a) * 3.0 / (b - a)) + CASE WHEN seq % 10 = 0 THEN 1 ELSE 0 END, 2) AS part FROM readings r, ends)"""
 
 
-@query("I12_fleet_monitor", "unit batch:l records:l status", """
-    SELECT unit, batch, count(*) AS records, CASE WHEN a > 1 THEN 'CRITICAL' WHEN a > 0.5 THEN 'WARNING' ELSE 'FRESH' END AS status FROM
-      (SELECT unit, batch, date_diff('microsecond', max(time) OVER (PARTITION BY batch, unit), max(time) OVER (PARTITION BY batch)) / 3.6e9 AS a FROM parts JOIN generate_series(0, 2) g(batch) ON part <= batch) GROUP BY unit, batch, a""", PARTS)
+@query("I12_fleet_monitor", "plant unit batch:l records:l status", """
+    SELECT plant, unit, batch, count(*) AS records, CASE WHEN a > 1 THEN 'CRITICAL' WHEN a > 0.5 THEN 'WARNING' ELSE 'FRESH' END AS status FROM
+      (SELECT plant, unit, batch, date_diff('microsecond', max(time) OVER (PARTITION BY batch, plant, unit), max(time) OVER (PARTITION BY batch)) / 3.6e9 AS a FROM parts JOIN generate_series(0, 2) g(batch) ON part <= batch) GROUP BY plant, unit, batch, a""", PARTS)
 def fleet_monitor(spark, sf):
     """Three batches with late readings; each status covers all readings so far."""
     base, name = pipelines.scratch(spark, "monitor")
     for folder in arrivals(spark, sf):
-        pipelines.monitor_fleet(spark, folder, f"{base}/results", name, files_per_batch=None)
+        pipelines.monitor_fleet(spark, folder, f"{base}/results", name)
     return spark.read.parquet(f"{base}/results/status")

@@ -194,17 +194,17 @@ def refresh_and_analyse(spark: SparkSession, incoming: str, dataset: str, result
 
 
 def monitor_fleet(spark: SparkSession, incoming: str, results: str, name: str, warn_hours: float = 0.5, limit_hours: float = 1.0, files_per_batch: int | None = FILES_PER_BATCH) -> None:
-    """Newest reading per unit so far, judged after every batch.
+    """Newest reading per unit of a plant so far, judged after every batch.
 
     A batch leaves one merged row per unit, made of its own readings and the row the batch
     before it left; no earlier batch is read again.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.groupBy("unit").agg(F.max("time").alias("last_time"), F.count("*").alias("records"))
+        seen = batch.groupBy(*UNIT).agg(F.max("time").alias("last_time"), F.count("*").alias("records"))
         if batch_id:
             seen = seen.unionByName(spark.read.parquet(f"{results}/seen/{batch_id - 1}"))
-            seen = seen.groupBy("unit").agg(F.max("last_time").alias("last_time"), F.sum("records").alias("records"))
+            seen = seen.groupBy(*UNIT).agg(F.max("last_time").alias("last_time"), F.sum("records").alias("records"))
         seen.write.mode("overwrite").parquet(f"{results}/seen/{batch_id}")
         ages = spark.read.parquet(f"{results}/seen/{batch_id}")
         ages = ages.withColumn("age_hours", hours_between(ages.select(F.max("last_time")).scalar(), F.col("last_time")))
