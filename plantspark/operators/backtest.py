@@ -141,17 +141,29 @@ def identity_text() -> list[Column]:
     return [*[F.col(c) for c in SERIES], F.unix_micros("time").cast("string")]
 
 
+#: Intervals of the hash in which the rows near the bound are counted.
+INTERVALS = 4_096
+
+
 def lowest(df: DataFrame, fraction: Column, wanted: Column, n: Column, by: Sequence[str]) -> DataFrame:
     """The ``wanted`` rows of every group with the lowest hash fractions.
 
     Only rows below a bound that holds ``wanted`` of ``n`` uniform numbers (ten standard
-    deviations of margin) are ranked, so a large group is not sorted as a whole.
+    deviations of margin) are looked at. They are counted by interval of the hash, the
+    interval that holds the last wanted row is known from the sums, and rows are ranked
+    within an interval only, so no task orders the share of a hot group.
     """
     share = wanted / n
-    bound = share + 10 * F.sqrt(share / n) + 20 / n
-    near = df.withColumn("_u", fraction).where(F.col("_u") <= bound)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_u"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= wanted).drop("_rank", "_u")
+    top = share + 10 * F.sqrt(share / n) + 20 / n
+    near = df.withColumn("_u", fraction).where(F.col("_u") <= top)
+    near = near.withColumn("_slot", F.least(F.floor(F.col("_u") / top * INTERVALS), F.lit(INTERVALS - 1)))
+    counts = near.groupBy(*by, "_slot").agg(F.count("*").alias("_c"), F.max(wanted).alias("_wanted"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = counts.withColumn("_before", before).where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_c")))
+    edges = edges.select(*by, F.col("_slot").alias("_edge"), (F.col("_wanted") - F.col("_before")).alias("_left"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_u"))
+    placed = near.join(edges, list(by)).where(F.col("_slot") <= F.col("_edge")).withColumn("_rank", rank)
+    return placed.where((F.col("_slot") < F.col("_edge")) | (F.col("_rank") <= F.col("_left"))).drop("_u", "_slot", "_edge", "_left", "_rank")
 
 
 def injected_points(df: DataFrame, rate: float = 0.005, seed: int = 42, min_points: int = 20) -> DataFrame:
