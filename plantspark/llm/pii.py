@@ -144,6 +144,17 @@ def _hits(kind: Kind, pieces: Column, at: Column) -> Column:
     return F.transform(F.filter(places, lambda i: kind.check(F.get(pieces, i))), found)
 
 
+def _parts(spans_: Column) -> Column:
+    """Spans by start, in about as many parts as each has spans, with the start and the greatest end of each part.
+
+    A span is compared with the parts first: twice the root of their number, not all of them.
+    """
+    ordered = F.array_sort(F.transform(spans_, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(spans_)))).cast("int")
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans_) - 1) / width).cast("int")), lambda i: F.slice(ordered, i * width + 1, width))
+    return F.transform(cut_up, lambda p: F.struct(p[0]["start"].alias("start"), F.array_max(F.transform(p, lambda x: x["end"])).alias("end"), p.alias("spans")))
+
+
 def spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
     """Add ``out``: array of (kind, start, end, score), by kind in the order of ``KINDS``, then start; end is exclusive."""
     mine = [c for c in docs.columns if c != out]
@@ -163,8 +174,12 @@ def spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFram
     base = F.concat(*(F.col(f"__llm_{n}_hits") for n in BASE))
     df = df.withColumn("__llm_base", base)
     more = F.concat(*(F.col(f"__llm_{k.name}_hits") for k in KINDS if not k.base))
-    clash = lambda x: F.exists("__llm_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.when(F.size(more) > 0, F.filter(more, lambda x: (x["score"] >= THRESHOLD) & ~clash(x))).otherwise(nothing)
+    df = df.withColumn("__llm_more", more).withColumn("__llm_parts", F.when((F.size("__llm_more") > 0) & (F.size("__llm_base") > 0), _parts(F.col("__llm_base"))))
+    meets = lambda b, x: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    clash = lambda x: F.exists("__llm_parts", lambda p: meets(p, x) & F.exists(p["spans"], lambda b: meets(b, x)))
+    strong = F.filter("__llm_more", lambda x: x["score"] >= THRESHOLD)
+    # The parts are named twice, so the planner keeps them as a column and does not make them anew for every span.
+    added = F.when(F.size("__llm_more") == 0, nothing).when(F.col("__llm_parts").isNull(), strong).otherwise(F.filter(strong, lambda x: ~clash(x)))
     return df.select(*(F.col(f"`{c}`") for c in mine), F.concat("__llm_base", added).alias(out))
 
 

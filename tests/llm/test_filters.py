@@ -120,6 +120,16 @@ def test_personal_data_equals_brute_force(spark):
     assert pii.spans(frame(spark, [])).count() == 0
 
 
+def test_many_spans_in_one_text(spark):
+    """Added spans beside thousands of base spans: kept where they meet none, dropped where they do."""
+    n = 4000
+    texts = ["a@b.cc phone 555-123-4567 x " * n, "call +1 555-123-4567 " * n, "call 555-123-4567 or +1 555-123-4567 now " * n]
+    start = time.time()
+    found = {r.doc_id: Counter(s.kind for s in r.pii) for r in pii.spans(frame(spark, list(enumerate(texts)))).collect()}
+    assert found == {0: {"email": n, "localphone": n}, 1: {"phone": n}, 2: {"localphone": n, "phone": n}}
+    assert time.time() - start < 60
+
+
 def test_context_and_checksums_decide_on_other_kinds(spark):
     texts = {
         "My IBAN: DE89 3704 0044 0532 0130 00.": ["iban"],
