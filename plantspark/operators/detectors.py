@@ -361,12 +361,16 @@ def detect(df: DataFrame, method: str, inputs: Inputs | None = None, tags: Seque
 
 
 def speed_aware(df: DataFrame, config: DataFrame, method: str = "sigma_tau", **options) -> DataFrame:
-    """Detection before and after compensation, one report row per unit."""
-    factors = speed.compensation_factors(df, config, **options)
-    variation, rows = speed_variation(df, config), unit_speed(df, config)
+    """Detection before and after compensation, one report row per unit.
+
+    Factors and variation (a row per unit) and the anomalies found first are written once
+    and read by all that follows, instead of being derived from the readings each time.
+    """
     if method not in READING_DETECTORS:
         raise ValueError(f"{method!r} finds no single readings; choose from {', '.join(READING_DETECTORS)}")
-    original = detect(df, method)
+    factors = cut_lineage(speed.compensation_factors(df, config, **options))
+    variation, rows = cut_lineage(speed_variation(df, config)), unit_speed(df, config)
+    original = cut_lineage(detect(df, method))
     after = detect(speed.compensate(df, factors).select(*df.columns), method, Inputs(speed_cv=variation, speed_rows=rows))
     correlated = speed_correlated(original.select(*IDENTITY, "value"), rows)
 

@@ -54,6 +54,11 @@ def feature_matrix(df: DataFrame, minutes: int = 60, max_features: int | None =
     return complete.select(*UNIT, "time", "buckets", F.col("_v.value").alias("features"))
 
 
+def _weighted(matrix: DataFrame) -> DataFrame:
+    """A matrix whose rows say how many buckets they stand for; without such a column each is one."""
+    return matrix if "buckets" in matrix.columns else matrix.withColumn("buckets", F.lit(1).cast("long"))
+
+
 def split_baseline(matrix: DataFrame, fraction: float, minutes: int = 60) -> DataFrame:
     """Mark the first ``fraction`` of every unit's buckets in time as baseline; a row across the border becomes two."""
     placed = sequence.strip(sequence.running(matrix, {"_end": F.col("buckets")}, keys=UNIT))
@@ -146,7 +151,7 @@ def distance_anomalies(matrix: DataFrame, *, baseline_fraction: float = 0.7, qua
     The matrix is far smaller than the readings it comes from and is passed over several
     times, so it and the distances are written once (checkpoint) instead of recomputed.
     """
-    rows = cut_lineage(split_baseline(cut_lineage(matrix), min(0.9, max(0.5, baseline_fraction))))
+    rows = cut_lineage(split_baseline(cut_lineage(_weighted(matrix)), min(0.9, max(0.5, baseline_fraction))))
     base = rows.where("is_base")
     model = robust_model(base, min(0.95, max(0.5, support))) if robust else cut_lineage(moments(base))
     measured = cut_lineage(distances(rows, model))
@@ -172,7 +177,7 @@ def unpacked(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def matrix_forest(matrix: DataFrame, *, contamination: float = 0.1, split: float | None = None, trees: int = 100) -> DataFrame:
     """M7 / M8: forest on the matrix, fitted on the first share when ``split`` is given."""
-    matrix = cut_lineage(matrix)
+    matrix = cut_lineage(_weighted(matrix))
     rows = split_baseline(matrix, split) if split is not None else matrix.withColumn("is_base", F.lit(True))
     flat, names = unpacked(rows)
     scored = cut_lineage(forest.forest_scores(flat, names, keys=UNIT, trees=trees, fit=F.col("is_base")))
@@ -313,14 +318,14 @@ def _projection(components: int):
 
 def projected(matrix: DataFrame, components: int = 20) -> DataFrame:
     """M9: standard scaling, then the first principal components of every unit, with the share of variance they explain."""
-    matrix = cut_lineage(matrix)
+    matrix = cut_lineage(_weighted(matrix))
     schema = T.StructType([*matrix.schema.fields, T.StructField("projected", T.ArrayType(T.DoubleType())), T.StructField("explained", T.DoubleType())])
     return forest.apply_model(matrix, cut_lineage(moments(matrix)), unit_sizes(matrix), KEYS, F.xxhash64("time"), _projection(components), schema)
 
 
 def reconstruction_anomalies(matrix: DataFrame, components: int = 2, quantile: float = 0.995) -> DataFrame:
     """Rows a few principal components rebuild worst; threshold is a high quantile."""
-    matrix = cut_lineage(matrix)
+    matrix = cut_lineage(_weighted(matrix))
     schema = T.StructType([*matrix.schema.fields, T.StructField("error", T.DoubleType())])
     measured = cut_lineage(
         forest.apply_model(matrix, moments(matrix), unit_sizes(matrix), KEYS, F.xxhash64("time"), _reconstruction(components), schema)

@@ -219,3 +219,10 @@ def test_statistics_take_few_scans(spark):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert scans(plan) <= 8, name
         assert "SinglePartition" not in text.replace("SinglePartition, REPARTITION", ""), name
+
+
+def test_speed_aware_reports_take_few_scans(spark):
+    from plantspark.plans import QUERIES
+
+    for name, most in (("T21_speed_aware", 8), ("T22_speed_aware_report", 12)):
+        assert scans(QUERIES[name](spark, "/root/testdata/sf0.001")) <= most, name
